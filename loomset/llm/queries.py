@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomset.llm import media, packing, pii
+from loomset.llm import media, packing, pii, wacz
 from loomset.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op7_media, op8_packing)}
+def op10_wacz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wacz.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op7_media, op8_packing, op10_wacz)}
 
 ORACLE_SQL: dict[str, str] = {}
