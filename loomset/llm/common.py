@@ -98,13 +98,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    """n + 1 sums; span_hashes() gives the hash of any span of bytes from them."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(data)), out=out[1:])
+def prefix_of(values: np.ndarray) -> np.ndarray:
+    """n + 1 sums over 64-bit values; span_hashes() gives the hash of any run of them."""
+    out = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers(_BASE, len(values)), out=out[1:])
     return out
 
 
+def prefix_hashes(data: np.ndarray) -> np.ndarray:
+    """prefix_of() for bytes."""
+    return prefix_of(data.astype(np.uint64) + np.uint64(1))
+
+
 def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mixed((sums[end] - sums[start]) * powers(_UNBASE, len(sums))[start] + (end - start).astype(np.uint64))
 
@@ -132,3 +137,47 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     for k in range(size):
         out = out * _BASE + hashes[k : k + n]
     return mixed(out)
+
+
+def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
+    """The least of each `width` neighbours, by minima from both ends of blocks of that width."""
+    n = len(v)
+    if n < width:
+        return v[:0]
+    blocks = -(-n // width)
+    padded = np.full(blocks * width, np.iinfo(v.dtype).max, v.dtype)
+    padded[:n] = v
+    square = padded.reshape(blocks, width)
+    ahead = np.minimum.accumulate(square, axis=1).reshape(-1)
+    behind = np.minimum.accumulate(square[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
+
+
+def minimiser_runs(grams: np.ndarray, offs: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of consecutive windows of `size` units that share one minimiser: first window, windows, the minimiser's place.
+
+    grams[i] is the hash of the `gram` units from i on; offs are the rows' places in units. Windows stay within
+    a row. The minimiser of a window is its gram of least hash, the leftmost of equal ones, so equal windows have
+    equal minimisers.
+    """
+    units = int(offs[-1])
+    if units < size:
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    mask = np.uint64((1 << units.bit_length()) - 1)
+    v = (grams & ~mask) | np.arange(len(grams), dtype=np.uint64)
+    place = (sliding_min(v, size - gram + 1) & mask).astype(np.int64)
+    end = np.repeat(offs[1:], np.diff(offs))[: len(place)]
+    first = np.flatnonzero(np.arange(size, size + len(place)) <= end)
+    if not len(first):
+        return first, first, first
+    place = place[first]
+    new = np.ones(len(first), bool)
+    new[1:] = (place[1:] != place[:-1]) | (np.diff(first) != 1)
+    at = np.flatnonzero(new)
+    return first[at], np.diff(at, append=len(first)), place[at]
+
+
+def int64s(x: np.ndarray) -> pa.Array:
+    """Unsigned 64-bit hashes as Spark's signed ones, bit by bit."""
+    return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
