@@ -11,7 +11,10 @@ as they occur; a null doc_id is carried along. No group depends on a key of the
 
 from __future__ import annotations
 
+import functools
 import math
+import re
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,7 +29,7 @@ CAPACITY, SLACK, END = 4096, 64, 2
 #: UTF-8 bytes of text a group of documents has on average; its tokens are fewer.
 GROUP_BYTES = 4_000_000
 #: Words whose ids a worker keeps at most.
-CACHE = 400_000
+CACHE = 500_000
 
 
 def tokenizer_path() -> str:
@@ -35,24 +38,57 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Words of Latin letters, in one normal form whichever way they are typed, and the punctuation behind them.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]+)([!-&(-/:-@\\[-`{-~]*)")
+
+
+def byte_letters() -> dict[int, str]:
+    """The visible letter that byte-level tokenizers write for each byte: itself, or one of those from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 def word_encoder(path: str) -> Callable[[bytes], bytes]:
     """From a text's UTF-8 bytes to its ids as little-endian uint16.
 
     The pre-tokenizer never joins across a space or a line break, so ids of the words between them are looked up
-    one by one; the tokenizer itself encodes each word once.
+    one by one. A new word goes to the tokenizer; if it is of Latin letters, and so a single pre-token but for
+    punctuation at its end, straight to the tokenizer's model, which is several times quicker.
     """
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
     if tok.get_vocab_size() > 1 << 16:
         raise ValueError("ids don't fit 16 bits")
+    model, letters = tok.model, byte_letters()
+
+    def packed(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}H", *ids)
+
+    @functools.lru_cache(4096)
+    def whole(word: str) -> bytes:
+        return packed(tok.encode(word, add_special_tokens=False).ids)
+
+    class Stems(dict):
+        def __missing__(self, plain: str) -> bytes:
+            if len(self) >= CACHE // 2:
+                self.clear()
+            ids = self[plain] = packed([t.id for t in model.tokenize(plain if plain.isascii() else plain.encode().decode("latin-1").translate(letters))])
+            return ids
+
+    stems = Stems()
 
     class Cache(dict):
         def __missing__(self, word: bytes) -> bytes:
-            ids = np.array(tok.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u2").tobytes()
+            text = word.decode("utf-8", "replace")
+            if (m := _PLAIN.fullmatch(text)) and len(word) < 64:
+                ids = stems[m[1].lower()] + whole(m[2]) if m[2] else stems[m[1].lower()]
+            else:
+                ids = packed(tok.encode(text, add_special_tokens=False).ids)
             if len(self) >= CACHE:
                 self.clear()
-            if len(word) < 256:
+            if len(word) < 64:
                 self[word] = ids
             return ids
 
