@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomset.llm import media, packing, pii, substring_dedup, wacz
+from loomset.llm import media, packing, pii, substring_dedup, suffix_dedup, wacz
 from loomset.llm.common import table
 
 
@@ -15,6 +15,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_spans(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix_dedup.dedup_bytes(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = substring_dedup.dedup_words(table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -33,6 +38,6 @@ def op10_wacz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wacz.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op6_substring_dedup, op7_media, op8_packing, op10_wacz)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op5_suffix_dedup, op6_substring_dedup, op7_media, op8_packing, op10_wacz)}
 
 ORACLE_SQL: dict[str, str] = {}
