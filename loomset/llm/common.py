@@ -39,9 +39,9 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text (null: empty) and tkey, a hash of the text: rows alike in doc_id and tkey are alike."""
+    """doc_id, text (null: empty) and tkey, 32 bits of hash that tell texts of one doc_id apart."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("tkey", F.xxhash64("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("tkey", F.hash("text"))
 
 
 def same_row(a: DataFrame, b: DataFrame) -> Column:
@@ -153,29 +153,31 @@ def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def minimiser_runs(grams: np.ndarray, offs: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of consecutive windows of `size` units that share one minimiser: first window, windows, the minimiser's place.
+def minimiser_runs(grams: np.ndarray, offs: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of consecutive windows of `size` units that share one minimiser: first window, windows, the minimiser's first place and how many it has.
 
     grams[i] is the hash of the `gram` units from i on; offs are the rows' places in units. Windows stay within
     a row. The minimiser of a window is its gram of least hash, the leftmost of equal ones, so equal windows have
-    equal minimisers.
+    equal minimisers. Where a gram repeats, windows of one least hash stay together, however many places it has.
     """
     units = int(offs[-1])
     if units < size:
         none = np.zeros(0, np.int64)
-        return none, none, none
+        return none, none, none, none
     mask = np.uint64((1 << units.bit_length()) - 1)
     v = (grams & ~mask) | np.arange(len(grams), dtype=np.uint64)
     place = (sliding_min(v, size - gram + 1) & mask).astype(np.int64)
     end = np.repeat(offs[1:], np.diff(offs))[: len(place)]
     first = np.flatnonzero(np.arange(size, size + len(place)) <= end)
     if not len(first):
-        return first, first, first
+        return first, first, first, first
     place = place[first]
     new = np.ones(len(first), bool)
-    new[1:] = (place[1:] != place[:-1]) | (np.diff(first) != 1)
+    new[1:] = (grams[place[1:]] != grams[place[:-1]]) | (np.diff(first) != 1)
     at = np.flatnonzero(new)
-    return first[at], np.diff(at, append=len(first)), place[at]
+    moved = np.ones(len(first), np.int64)
+    moved[1:] = new[1:] | (place[1:] != place[:-1])
+    return first[at], np.diff(at, append=len(first)), place[at], np.add.reduceat(moved, at)
 
 
 def int64s(x: np.ndarray) -> pa.Array:

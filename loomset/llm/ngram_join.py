@@ -80,7 +80,7 @@ def prefix_length(n: int, percent: int) -> int:
 
 def classes_and_counts(docs: DataFrame, size: int) -> DataFrame:
     """Rows of two kinds: doc_id, tkey, c, n, parts of every document, and block, counts of every task's shingles."""
-    names = {"doc_id": pa.int64(), "tkey": pa.int64(), "c": pa.int64(), "n": pa.int32(), "parts": pa.binary(), "block": pa.int32(), "counts": pa.binary()}
+    names = {"doc_id": pa.int64(), "tkey": pa.int32(), "c": pa.int64(), "n": pa.int32(), "parts": pa.binary(), "block": pa.int32(), "counts": pa.binary()}
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
@@ -104,7 +104,7 @@ def classes_and_counts(docs: DataFrame, size: int) -> DataFrame:
             none = [pa.nulls(BLOCKS, t) for t in list(names.values())[:5]]
             yield pa.RecordBatch.from_arrays([*none, pa.array(range(BLOCKS), pa.int32()), pa.array([x.tobytes() for x in cuts], pa.binary())], list(names))
 
-    return docs.select("doc_id", "text", "tkey").mapInArrow(scan, "doc_id long, tkey long, c long, n int, parts binary, block int, counts binary")
+    return docs.select("doc_id", "text", "tkey").mapInArrow(scan, "doc_id long, tkey int, c long, n int, parts binary, block int, counts binary")
 
 
 def summed(counts: DataFrame) -> np.ndarray:

@@ -46,7 +46,7 @@ def runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
                 o = offs[i : j + 1] - offs[i]
                 hashes, *_, rows = words(data[offs[i] : offs[j]], o)
                 grams = windows(hashes, gram)
-                first, n, place = minimiser_runs(grams, rows, window, gram)
+                first, n, place, _ = minimiser_runs(grams, rows, window, gram)
                 if not len(first):
                     continue
                 row = np.searchsorted(rows, first, "right") - 1
@@ -55,7 +55,7 @@ def runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
                     [int64s(grams[place]), int64s(string), pa.array(ids[i + row]), pa.array(keys[i + row]), pa.array((first - rows[row]).astype(np.int32)), pa.array(n.astype(np.int32))], ["h", "g", "doc_id", "tkey", "start", "n"]
                 )
 
-    return docs.filter("doc_id is not null").select("doc_id", "text", "tkey").mapInArrow(scan, "h long, g long, doc_id long, tkey long, start int, n int")
+    return docs.filter("doc_id is not null").select("doc_id", "text", "tkey").mapInArrow(scan, "h long, g long, doc_id long, tkey int, start int, n int")
 
 
 def cut_strings(found: DataFrame, docs: DataFrame, window: int) -> DataFrame:

@@ -3,9 +3,10 @@
 Windows of 400 bytes that share a minimiser (the 32 bytes of least hash in them) make runs. Equal windows have
 equal minimisers, so those that occur twice do so within one minimiser's bucket.
 
-1. Every run is counted at its minimiser by two hashes; a minimiser that occurs once has no repeated window. The
+1. Every run is counted at its minimiser by two hashes; a minimiser with one place has no repeated window. The
    counts are pre-aggregated, and joins on hot minimisers are split by Spark.
-2. Where a bucket has one string only, many times, all its windows repeat. Where it has several, one copy of each
+2. Where a bucket has one string only, many times, all its windows repeat. Where it has several, or one in which
+   the minimiser repeats, one copy of each
    goes to a group of buckets, whose suffixes are sorted in two stages: only suffixes smaller than their
    successors are compared, the others follow from them by scans over the buckets of first bytes. Neighbours in
    that order with a common prefix of 400 bytes are repeated windows. Buckets of more than `most` strings are
@@ -44,7 +45,7 @@ def pieces(offs: np.ndarray, window: int, most: int = SLICE_BYTES) -> Iterator[t
 
 
 def runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """h (minimiser), g (string), doc_id, tkey, start (byte), n (windows) of every run in the rows of keyed()."""
+    """h (minimiser), g (string), doc_id, tkey, start (byte), n (windows), p (places of the minimiser) of every run in the rows of keyed()."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -54,17 +55,17 @@ def runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
                 sums = prefix_hashes(data[a:b])
                 at = np.arange(max(0, b - a - gram + 1))
                 grams = span_hashes(sums, at, at + gram)
-                first, n, place = minimiser_runs(grams, o, window, gram)
+                first, n, place, places = minimiser_runs(grams, o, window, gram)
                 if not len(first):
                     continue
                 row = np.searchsorted(o, first, "right") - 1
                 rows = pa.array(i + row)
                 yield pa.RecordBatch.from_arrays(
-                    [int64s(grams[place]), int64s(span_hashes(sums, first, first + n + (window - 1))), batch.column(0).take(rows), batch.column(2).take(rows), pa.array((first + a - offs[i + row]).astype(np.int32)), pa.array(n.astype(np.int32))],
-                    ["h", "g", "doc_id", "tkey", "start", "n"],
+                    [int64s(grams[place]), int64s(span_hashes(sums, first, first + n + (window - 1))), batch.column(0).take(rows), batch.column(2).take(rows), pa.array((first + a - offs[i + row]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(places.astype(np.int32))],
+                    ["h", "g", "doc_id", "tkey", "start", "n", "p"],
                 )
 
-    return docs.select("doc_id", "text", "tkey").mapInArrow(scan, "h long, g long, doc_id long, tkey long, start int, n int")
+    return docs.select("doc_id", "text", "tkey").mapInArrow(scan, "h long, g long, doc_id long, tkey int, start int, n int, p int")
 
 
 def cut_strings(found: DataFrame, docs: DataFrame, window: int) -> DataFrame:
@@ -235,22 +236,23 @@ def repeated_windows(bucket: pd.DataFrame, window: int) -> pd.DataFrame:
 def removed_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, most: int = MOST_STRINGS) -> DataFrame:
     """doc_id, tkey and the byte ranges [lo, hi) to remove, as an array for each row."""
     found = runs(docs, window, gram)
-    again = found.groupBy("h").agg(F.count("*").alias("times")).filter("times > 1").select("h")
+    again = found.groupBy("h").agg(F.sum("p").alias("times")).filter("times > 1").select("h")
     shared = written(found.join(again, "h"))
 
-    strings = shared.groupBy("h", "g").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "tkey", "start", "n")).alias("m")).select("h", "g", "c", "m.*")
+    strings = shared.groupBy("h", "g").agg(F.count("*").alias("c"), F.max("p").alias("p"), F.min(F.struct("doc_id", "tkey", "start", "n")).alias("m")).select("h", "g", "c", "p", "m.*")
     sizes = strings.groupBy("h").agg(F.count("*").alias("strings"))
     kept = written(strings.join(sizes, "h"))
-    volume = kept.filter("strings > 1").agg(F.coalesce(F.sum(F.col("n") + window), F.lit(0)), F.coalesce(F.max("strings"), F.lit(0))).first()
+    mixed, plain = kept.filter("strings > 1 or p > 1"), kept.filter("strings = 1 and p = 1")
+    volume = mixed.agg(F.coalesce(F.sum(F.col("n") + window), F.lit(0)), F.coalesce(F.max("strings"), F.lit(0))).first()
     groups = max(1, int(volume[0] / bucket_bytes) + 1)
 
-    cut = cut_strings(kept.filter("strings > 1"), docs, window)
+    cut = cut_strings(mixed, docs, window)
     if volume[1] > most:
         cut = cut.join(sizes, "h")
         apart = in_windows(cut.filter(F.col("strings") > most).dropDuplicates(["h", "g"]), window)
         cut = cut.filter(F.col("strings") <= most).drop("strings")
     ranges = cut.groupBy(F.pmod("h", F.lit(groups)).alias("grp")).applyInPandas(lambda pdf: repeated_windows(pdf, window), "h long, g long, a int, b int")
-    ranges = ranges.unionByName(kept.filter("strings = 1").select("h", "g", F.lit(0).alias("a"), F.col("n").alias("b")))
+    ranges = ranges.unionByName(plain.select("h", "g", F.lit(0).alias("a"), F.col("n").alias("b")))
     if volume[1] > most:
         ranges = ranges.unionByName(apart)
     hit = shared.join(ranges, ["h", "g"])
