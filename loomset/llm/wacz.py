@@ -265,7 +265,8 @@ def read_wacz(packages: DataFrame) -> DataFrame:
             file.close()
 
     listed = packages.select("path", "size").repartition("path").mapInArrow(places, "path string, start long, length long")
-    dealt = listed.repartition("path", F.floor(F.col("start") / SHARE_BYTES)).sortWithinPartitions("path", "start")
+    shares = int((packages.agg(F.sum("size")).first()[0] or 0) / SHARE_BYTES) + 1
+    dealt = listed.repartition(shares, "path", F.floor(F.col("start") / SHARE_BYTES)).sortWithinPartitions("path", "start")
     return dealt.mapInArrow(records, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
 
 
