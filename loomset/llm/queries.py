@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomset.llm import media, ngram_join, packing, pii, substring_dedup, suffix_dedup, wacz
+from loomset.llm import decontamination, media, ngram_join, packing, pii, substring_dedup, suffix_dedup, wacz
 from loomset.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = suffix_dedup.dedup_bytes(table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -42,6 +46,6 @@ def op10_wacz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wacz.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op3_ngram_join, op5_suffix_dedup, op6_substring_dedup, op7_media, op8_packing, op10_wacz)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op3_ngram_join, op4_decontamination, op5_suffix_dedup, op6_substring_dedup, op7_media, op8_packing, op10_wacz)}
 
 ORACLE_SQL: dict[str, str] = {}
