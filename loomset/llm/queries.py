@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomset.llm import decontamination, media, ngram_join, packing, pii, substring_dedup, suffix_dedup, wacz
+from loomset.llm import decontamination, media, ngram_join, packing, pii, quality, substring_dedup, suffix_dedup, wacz
 from loomset.llm.common import table
 
 
@@ -15,6 +15,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_spans(table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -46,6 +51,6 @@ def op10_wacz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wacz.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op3_ngram_join, op4_decontamination, op5_suffix_dedup, op6_substring_dedup, op7_media, op8_packing, op10_wacz)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_quality, op3_ngram_join, op4_decontamination, op5_suffix_dedup, op6_substring_dedup, op7_media, op8_packing, op10_wacz)}
 
 ORACLE_SQL: dict[str, str] = {}
