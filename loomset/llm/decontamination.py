@@ -21,6 +21,7 @@ they go to the tasks in blocks of a bounded number of bytes, one block after ano
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomset.llm.common import mixed, slices, text_buffers, windows, words
+from loomset.llm.common import slices, text_buffers, windows, words
 
 SHINGLE, PERCENT = 5, 80
 #: Fingerprints within so many bits are compared exactly.
@@ -158,42 +159,59 @@ class Items:
         return out
 
 
-def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", percent: int = PERCENT, item_bytes: int = ITEM_BYTES) -> DataFrame:
-    """doc_id, item_id, first_word, end_word and similarity of every stretch of a document that leaks an item."""
+def item_blocks(items: DataFrame, item_id: str, item_text: str, item_bytes: int) -> Iterator[tuple[list[int], list[str]]]:
+    """Ids and texts of the items, so many bytes at a time, dealt by a hash."""
     items = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).filter("text is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = int(total / item_bytes) + 1
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = None
     for k in range(blocks):
         held = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        found = _searched(docs, [r.item_id for r in held], [r.text for r in held], percent)
-        out = found if out is None else out.unionByName(found)
-    return out
+        yield [r.item_id for r in held], [r.text for r in held]
+
+
+def _found(items: Items, column: pa.Array, percent: int) -> Iterator[tuple[int, list[tuple]]]:
+    """Row and leaks of each text that leaks."""
+    data, offs = text_buffers(column)
+    for i, j in slices(offs):
+        hashes, _, _, rows = words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], lower=True)
+        for row in items.suspects(hashes, rows).tolist():
+            if got := items.found_in(hashes[rows[row] : rows[row + 1]], percent):
+                yield i + row, got
+
+
+def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", percent: int = PERCENT, item_bytes: int = ITEM_BYTES) -> DataFrame:
+    """doc_id, item_id, first_word, end_word and similarity of every stretch of a document that leaks an item."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    names, types = ["doc_id", "item_id", "first_word", "end_word", "similarity"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()]
 
+    def searched(ids: list[int], texts: list[str]) -> DataFrame:
+        block = docs.sparkSession.sparkContext.broadcast((ids, texts))
 
-def _searched(docs: DataFrame, ids: list[int], texts: list[str], percent: int) -> DataFrame:
-    block = docs.sparkSession.sparkContext.broadcast((ids, texts))
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = Items(*block.value)
+            for b in batches:
+                out = [(b.column(0)[row].as_py(), held.ids[k], x, y, shared / whole) for row, got in _found(held, b.column(1), percent) for k, x, y, shared, whole in got]
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], names)
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(*block.value)
-        for b in batches:
-            data, offs = text_buffers(b.column(1))
-            out: list[tuple] = []
-            for i, j in slices(offs):
-                hashes, _, _, rows = words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], lower=True)
-                for row in items.suspects(hashes, rows).tolist():
-                    doc = b.column(0)[i + row].as_py()
-                    out += [(doc, items.ids[k], x, y, shared / whole) for k, x, y, shared, whole in items.found_in(hashes[rows[row] : rows[row + 1]], percent)]
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], ["doc_id", "item_id", "first_word", "end_word", "similarity"])
+        return docs.mapInArrow(scan, "doc_id long, item_id long, first_word int, end_word int, similarity double")
 
-    return docs.mapInArrow(scan, "doc_id long, item_id long, first_word int, end_word int, similarity double")
+    return functools.reduce(DataFrame.unionByName, (searched(*x) for x in item_blocks(items, item_id, item_text, item_bytes)))
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", percent: int = PERCENT, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """The rows that leak no item, all their columns as they were."""
-    key = F.xxhash64(F.col(text_col))
-    keyed = docs.withColumn("__text", key)
-    found = leaks(keyed, items, "__text", text_col, percent=percent).select(F.col("doc_id").alias("__leak")).distinct()
-    return keyed.join(found, keyed["__text"] == found["__leak"], "left_anti").drop("__text")
+    place = docs.columns.index(text_col)
+
+    def cleaned(rows: DataFrame, ids: list[int], texts: list[str]) -> DataFrame:
+        block = docs.sparkSession.sparkContext.broadcast((ids, texts))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = Items(*block.value)
+            for b in batches:
+                stay = np.ones(b.num_rows, bool)
+                stay[[row for row, _ in _found(held, b.column(place), percent)]] = False
+                yield b.filter(pa.array(stay))
+
+        return rows.mapInArrow(scan, docs.schema)
+
+    return functools.reduce(lambda rows, x: cleaned(rows, *x), item_blocks(items, item_id, item_text, item_bytes), docs)

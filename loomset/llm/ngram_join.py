@@ -300,7 +300,7 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = 80) -> DataFrame:
-    """doc_id, tkey, n_shingles and component_id (the smallest doc_id reachable by links) of every row."""
+    """doc_id, tkey, n_shingles, component_id (the smallest doc_id reachable by links) and comp (the component's key, null without shingles) of every row."""
     source = keyed(docs, id_col, text_col)
     known = written(classes_and_counts(source, size))
     of_docs = known.filter("c is not null")
@@ -325,4 +325,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = of_docs.join(whole, F.col("c") == F.col("node"), "left").select("doc_id", "tkey", "n", F.coalesce("component", "c").alias("comp"))
     least = joined.filter("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
     out = joined.join(least, "comp", "left")
-    return out.select("doc_id", "tkey", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "tkey", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("comp")).alias("comp"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = 80) -> DataFrame:
+    """The rows of the smallest doc_id of each component, and those without shingles; a row that repeats stays once."""
+    places = near_duplicates(docs, id_col, text_col, size, percent)
+    place = [F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__null"), F.col("tkey").alias("__tkey")]
+    placed = places.select("comp", *place)
+    best = placed.filter("comp is not null").groupBy("comp").agg(F.min(F.struct("__null", "__id", "__tkey")).alias("m")).select("m.__id", "m.__null", "m.__tkey")
+    stay = best.unionByName(placed.filter("comp is null").select("__id", "__null", "__tkey")).distinct()
+    own = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "__null": F.col(id_col).isNull(), "__tkey": F.hash(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
+    return own.join(stay, ["__id", "__null", "__tkey"], "left_semi").dropDuplicates(["__id", "__null", "__tkey"]).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomset.llm import decontamination, media, ngram_join, packing, pii, quality, substring_dedup, suffix_dedup, wacz
+from loomset.llm import decontamination, media, ngram_join, packing, pii, quality, substring_dedup, suffix_dedup, tool_calls, wacz
 from loomset.llm.common import table
 
 
@@ -47,10 +47,44 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_calls.turns(table(spark, sf_dir, "conversations"))
+    out = tool_calls.linked(calls, results, tool_calls.turn_schemas(spark))
+    return out.select("conv_id", "call_id", "turn", "result_turn", F.col("level").cast("long").alias("level"), "status", F.size("errors").cast("long").alias("n_errors"), "json")
+
+
 def op10_wacz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wacz.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_quality, op3_ngram_join, op4_decontamination, op5_suffix_dedup, op6_substring_dedup, op7_media, op8_packing, op10_wacz)}
-
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_quality, op3_ngram_join, op4_decontamination, op5_suffix_dedup, op6_substring_dedup, op7_media, op8_packing, op9_tool_calls, op10_wacz)}
+
+ORACLE_SQL: dict[str, str] = {
+    "op9_tool_calls": """
+WITH said AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+placed AS (
+  SELECT *, last_value(CASE WHEN role <> 'assistant' THEN turn END IGNORE NULLS)
+    OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS asked
+  FROM said),
+calls AS (
+  SELECT conv_id, turn, role AS name, text, conv_id || ':' || turn AS call_id,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS level
+  FROM placed WHERE role <> 'assistant'),
+answers AS (
+  SELECT conv_id, conv_id || ':' || coalesce(asked::VARCHAR, 'null') AS call_id, min(turn) AS result_turn,
+    arg_min(text, turn) AS content, count(*) AS n
+  FROM placed WHERE role = 'assistant' GROUP BY 1, 2),
+met AS (
+  SELECT coalesce(c.conv_id, a.conv_id) AS conv_id, coalesce(c.call_id, a.call_id) AS call_id, c.turn, a.result_turn, c.level,
+    CASE WHEN c.call_id IS NULL THEN 'no call' WHEN a.call_id IS NULL THEN 'no result' ELSE 'linked' END AS status,
+    CASE WHEN a.n > 1 THEN 1 ELSE 0 END AS n_errors, c.name, c.text, a.content
+  FROM calls c FULL JOIN answers a ON c.conv_id = a.conv_id AND c.call_id = a.call_id)
+SELECT conv_id, call_id, turn, result_turn, level::BIGINT AS level, status, n_errors::BIGINT AS n_errors,
+  '{' || CASE WHEN text IS NULL THEN '' ELSE '"arguments":{"text":' || to_json(text)::VARCHAR || '},' END
+  || CASE WHEN content IS NULL THEN '' ELSE '"content":' || to_json(content)::VARCHAR || ',' END
+  || '"errors":[' || CASE WHEN n_errors > 0 THEN '"repeated result"' ELSE '' END || '],"id":' || to_json(call_id)::VARCHAR
+  || CASE WHEN level IS NULL THEN '' ELSE ',"level":' || level END
+  || CASE WHEN name IS NULL THEN '' ELSE ',"name":' || to_json(name)::VARCHAR END || ',"status":"' || status || '"}' AS json
+FROM met
+""",
+}
