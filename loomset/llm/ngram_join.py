@@ -5,14 +5,15 @@ rare to frequent, by counts over all documents in a table of fixed size, and its
 the prefix: two sets of similarity 0.8 share a gram there.
 
 1. One pass hashes every document to its class and counts shingles; a second gives the prefix rows.
-2. Prefix rows meet by gram. A gram of one class ends there. Each class tries the partner that it shares most
-   grams with, out of the first class of each gram and its neighbour, and what verifies is contracted to components.
-3. Grams that still join different components give the remaining pairs, each of which passes the length filter,
-   the positional filter and the suffix filter (a bound on the sets' difference from counts over 256 parts of
-   the hash space) before its texts meet and are compared. So a large group of near copies, one component after
-   step 2, is never spelled out in pairs, and no link between components is lost.
+2. Prefix rows meet by gram. A gram of one class ends there. A pair has to pass the length filter, the positional
+   filter and the suffix filter (a bound on the sets' difference from counts over 256 parts of the hash space).
+   Of the pairs of a gram that pass, a forest that would join them all is compared first, each pair's texts once,
+   and what verifies is contracted to components.
+3. Grams that still join different components give all the pairs between them that pass the filters, which are
+   compared too. So a large group of near copies is never spelled out in pairs, and no link between components
+   is lost.
 
-Very frequent grams are dealt out by salt in step 2, and in blocks of bounded size in step 3.
+Very frequent grams are dealt out by salt where single ones are sorted out, and in blocks of bounded size later.
 
 Null and empty texts have no shingles and no links. Repeated rows are one class. A null doc_id takes part, and
 counts as larger than others: its component is the smallest doc_id that isn't null, if there is one. Hashes have
@@ -21,7 +22,7 @@ counts as larger than others: its component is the smallest doc_id that isn't nu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -169,16 +170,15 @@ def prefixes(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> Da
 
 
 def meetings(rows: DataFrame) -> DataFrame:
-    """Prefix rows of grams that more than one class has, with the gram's first class and the neighbour: lead, prev.
+    """Prefix rows t, c, n, i of grams that more than one class has.
 
     A pass over sorted partitions, which holds a row at a time from one batch to the next. Salted grams stay,
     since their other classes may be elsewhere.
     """
-
-    names = ["t", "c", "n", "i", "lead", "prev"]
+    names = ["t", "c", "n", "i"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # the last row so far, which is out once its successor is known: t, s, c, n, i, lead, prev, head
+        last = None  # the last row so far, which is out once its successor is known: t, s, c, n, i, whether it begins its gram
         for b in batches:
             t, s, c, n, i = (x.to_numpy(zero_copy_only=False) for x in b.columns)
             if not len(t):
@@ -188,19 +188,17 @@ def meetings(rows: DataFrame) -> DataFrame:
             head = np.r_[True, (t[1:] != t[:-1]) | (s[1:] != s[:-1])]
             fresh = head | np.r_[True, c[1:] != c[:-1]]  # tasks may have sent a class twice
             t, s, c, n, i, head = (x[fresh] for x in (t, s, c, n, i, head))
-            at = np.maximum.accumulate(np.where(head, np.arange(len(c)), 0))
-            lead, prev = c[at], np.where(head, c, np.r_[c[0], c[:-1]])
             if last:
-                lead[at == 0], prev[0], head[0] = last[5:]
+                head[0] = last[5]
             alone = head & np.r_[head[1:], True] & (s < 0)
-            last = (t[-1], s[-1], c[-1], n[-1], i[-1], lead[-1], prev[-1], head[-1])
+            last = (t[-1], s[-1], c[-1], n[-1], i[-1], head[-1])
             k = np.flatnonzero(~alone[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(x[k]) for x in (t, c, n, i, lead, prev)], names)
-        if last and not (last[7] and last[1] < 0):
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([last[k]])) for k in (0, 2, 3, 4, 5, 6)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(x[k]) for x in (t, c, n, i)], names)
+        if last and not (last[5] and last[1] < 0):
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([last[k]])) for k in (0, 2, 3, 4)], names)
 
-    dealt = rows.repartition("t", "s").sortWithinPartitions("t", "s", "n", "c")
-    return dealt.mapInArrow(scan, "t long, c long, n int, i int, lead long, prev long")
+    dealt = rows.repartition("t", "s").sortWithinPartitions("t", "s", "c")
+    return dealt.mapInArrow(scan, "t long, c long, n int, i int")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -227,31 +225,74 @@ def possible(na: np.ndarray, nb: np.ndarray, ia: np.ndarray, ib: np.ndarray, per
     return fits & (np.minimum(na - ia, nb - ib) >= least), na + nb - 2 * least
 
 
-def candidates(rows: DataFrame, percent: int) -> DataFrame:
+def forest(keys: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray], whole: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (j, k) of a group whose keys differ and that near(j, ks) doesn't rule out (it gives distances, -1 for no).
+
+    Unless whole, a pair makes its two keys one, and of several ways to a key the nearest is taken, so there are
+    fewer pairs than rows.
+    """
+    keys = keys.copy()
+    for j in range(len(keys) - 1):
+        ks = j + 1 + np.flatnonzero(keys[j + 1 :] != keys[j])
+        if not len(ks):
+            continue
+        apart = near(j, ks)
+        ks, apart = ks[apart >= 0], apart[apart >= 0]
+        if whole or not len(ks):
+            yield np.full(len(ks), j), ks
+            continue
+        ks = ks[np.argsort(apart, kind="stable")]
+        _, first = np.unique(keys[ks], return_index=True)
+        yield np.full(len(first), j), ks[first]
+        keys[np.isin(keys, keys[ks[first]])] = keys[j]
+
+
+def candidates(rows: DataFrame, percent: int, whole: bool) -> DataFrame:
     """Pairs (a, b) of different components that share a prefix gram and pass the filters. rows: t, c, n, i, comp, parts.
 
-    A gram's classes are compared in blocks: its rows are dealt to every pair of blocks, so that a task holds two
-    blocks of one gram at most.
+    All such pairs if whole, else of each gram those of a forest. A gram's classes are compared in blocks: its rows
+    are dealt to every pair of blocks, so that a task holds two blocks of one gram at most.
     """
     open_ = rows.groupBy("t").agg(F.count("*").alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y")
     open_ = open_.select("t", F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("blocks"))
     own = F.pmod(F.hash("c"), F.col("blocks"))
     met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, own).alias("x"), F.greatest(k, own).alias("y")))
     dealt = rows.join(open_, "t").withColumn("own", own).withColumn("xy", F.explode(met)).select("t", "xy.x", "xy.y", "own", "c", "n", "i", "comp", "parts")
-    dealt = dealt.repartition("t", "x", "y").sortWithinPartitions("t", "x", "y")
-
-    def compare(block: list[np.ndarray], parts: np.ndarray, a: np.ndarray, b: np.ndarray, out: list) -> None:
-        own, c, n, i, comp, x, y = block
-        keep = (comp[a] != comp[b]) & ((x[a] == y[a]) | (own[a] != own[b]))
-        a, b = a[keep], b[keep]
-        fits, most = possible(n[a], n[b], i[a], i[b], percent)
-        a, b, most = a[fits], b[fits], most[fits]
-        for k in range(0, len(a), 20_000):
-            s = slice(k, k + 20_000)
-            apart = np.abs(parts[a[s]].astype(np.int16) - parts[b[s]]).sum(1)
-            near = apart <= most[s]
-            p, q = c[a[s]][near], c[b[s]][near]
-            out.append((np.minimum(p, q), np.maximum(p, q)))
+    dealt = dealt.repartition("t", "x", "y").sortWithinPartitions("t", "x", "y", "n")
+
+    def pairs_of(ready: pa.Table, at: np.ndarray) -> np.ndarray:
+        x, y, own, c, n, i, comp = (ready.column(k).to_numpy() for k in range(1, 8))
+        n, i = n.astype(np.int64), i.astype(np.int64)
+        parts = np.frombuffer(b"".join(ready.column(8).to_pylist()), np.uint8).reshape(-1, PARTS)
+        size = np.diff(at, append=ready.num_rows)
+        out = []
+
+        def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            fits, most = possible(n[a], n[b], i[a], i[b], percent)
+            fits &= (x[a] == y[a]) | (own[a] != own[b])  # two rows of one block meet where that block meets itself
+            got = np.full(len(b), -1, np.int64)
+            where = np.flatnonzero(fits)
+            for k in range(0, len(where), 20_000):
+                w = where[k : k + 20_000]
+                apart = np.abs(parts[a[w]].astype(np.int16) - parts[b[w]]).sum(1)
+                got[w] = np.where(apart <= most[w], apart, -1)
+            return got
+
+        group = np.repeat(np.arange(len(at)), size)
+        small = size[group] <= 6
+        for lag in range(1, 6):
+            k = np.flatnonzero(small[:-lag] & (group[lag:] == group[:-lag]) & (comp[lag:] != comp[:-lag])) if len(group) > lag else ()
+            if len(k):
+                k = k[distance(k, k + lag) >= 0]
+                out.append((c[k], c[k + lag]))
+        for g in np.flatnonzero(size > 6):
+            first = int(at[g])
+            for a, b in forest(comp[first : first + size[g]], lambda j, ks, f=first: distance(np.full(len(ks), f + j), f + ks), whole):
+                out.append((c[first + a], c[first + b]))
+        if not out:
+            return np.zeros((0, 2), np.int64)
+        p, q = (np.concatenate([o[k] for o in out]) for k in (0, 1))
+        return np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)], 1), axis=0)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -261,34 +302,13 @@ def candidates(rows: DataFrame, percent: int) -> DataFrame:
             if rest is None or not rest.num_rows:
                 continue
             t, x, y = (rest.column(k).to_numpy() for k in range(3))
-            new = np.r_[True, (t[1:] != t[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
-            at = np.flatnonzero(new)
-            if b is not None:
-                whole = int(at[-1])  # the last group may go on
-                ready, rest = rest.slice(0, whole), rest.slice(whole)
-                at = at[:-1]
+            at = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+            if b is not None:  # the last group may go on
+                ready, rest, at = rest.slice(0, int(at[-1])), rest.slice(int(at[-1])), at[:-1]
             else:
                 ready, rest = rest, None
-            if not ready.num_rows:
-                continue
-            block = [ready.column(k).to_numpy() for k in (3, 4, 5, 6, 7, 1, 2)]
-            block[2], block[3] = block[2].astype(np.int64), block[3].astype(np.int64)
-            parts = np.frombuffer(b"".join(ready.column(8).to_pylist()), np.uint8).reshape(-1, PARTS)
-            size = np.diff(at, append=ready.num_rows)
-            out: list = []
-            group = np.repeat(np.arange(len(at)), size)
-            small = size[group] <= 64
-            for lag in range(1, 64):
-                k = np.flatnonzero(small[:-lag] & (group[lag:] == group[:-lag])) if len(group) > lag else ()
-                if not len(k):
-                    break
-                compare(block, parts, k, k + lag, out)
-            for g in np.flatnonzero(size > 64):
-                for j in range(size[g] - 1):
-                    k = np.arange(at[g] + j + 1, at[g] + size[g])
-                    compare(block, parts, np.full(len(k), at[g] + j), k, out)
-            if out:
-                found = np.unique(np.stack([np.concatenate([p for p, _ in out]), np.concatenate([q for _, q in out])], 1), axis=0)
+            if ready.num_rows:
+                found = pairs_of(ready, at)
                 yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
     return dealt.mapInArrow(scan, "a long, b long").distinct()
@@ -310,16 +330,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = rows.select("c").distinct()
     one_of = of_docs.groupBy("c").agg(F.min(F.struct("doc_id", "tkey")).alias("m"), F.first("parts").alias("parts")).join(met, "c").select("c", "m.*", "parts")
     classes = written(one_of)
-    texts = written(source.join(classes, same_row(source, classes)).select("c", source["text"]).dropDuplicates(["c"]))
+    texts = source.join(classes, same_row(source, classes)).select("c", source["text"])
+    if not of_docs.groupBy("doc_id", "tkey").count().filter("count > 1").isEmpty():
+        texts = texts.dropDuplicates(["c"])
+    texts = written(texts)
+    placed = rows.join(classes.select("c", "parts"), "c")
 
-    partners = rows.select("c", F.explode(F.array("lead", "prev")).alias("p")).filter("c <> p").groupBy("c", "p").count()
-    best = partners.groupBy("c").agg(F.max(F.struct("count", "p")).alias("m")).select(F.least("c", "m.p").alias("a"), F.greatest("c", "m.p").alias("b")).distinct()
-    links = written(verified(best, texts, size, percent))
+    links = written(verified(candidates(placed.withColumn("comp", F.col("c")), percent, False), texts, size, percent))
     first = components(links)
-
-    labelled = rows.select("t", "c", "n", "i").join(first, F.col("c") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "c"))
-    labelled = labelled.select("t", "c", "n", "i", "comp").join(classes.select("c", "parts"), "c")
-    more = verified(candidates(labelled, percent), texts, size, percent)
+    labelled = placed.join(first, placed["c"] == first["node"], "left").select("t", "c", "n", "i", F.coalesce("component", "c").alias("comp"), "parts")
+    more = verified(candidates(labelled, percent, True), texts, size, percent)
     whole = components(links.unionByName(written(more)))
 
     joined = of_docs.join(whole, F.col("c") == F.col("node"), "left").select("doc_id", "tkey", "n", F.coalesce("component", "c").alias("comp"))

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomset.functions import text as X
-from loomset.operators import agreement, curation, graph, points, profiling, splits, text_items, timeseries
+from loomset.functions import schedule, similarity
+from loomset.operators import agreement, augmentation, curation, graph, points, profiling, splits, text_items, timeseries
+from loomset.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -526,3 +528,99 @@ def meta_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS domain, count(*) AS pages FROM pages GROUP BY 1")
 def domain_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curation.domain_counts(table(spark, sf_dir, "pages"), "url")
+
+
+# exports, similarity, augmentation, scheduling
+
+
+@query("""SELECT '{"id":' || doc_id || ',"lang":' || to_json(lang)::VARCHAR || ',"source":' || to_json(source)::VARCHAR || ',"text":' || to_json(text)::VARCHAR || '}' AS value FROM documents""")
+def export_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.json_lines(table(spark, sf_dir, "documents"), "doc_id", "text", ["lang", "source"])
+
+
+@query("""SELECT doc_id::VARCHAR AS id, array_to_string(list_filter([CASE WHEN quality = 1 THEN 'quality' END, CASE WHEN toxic = 1 THEN 'toxic' END], lambda x: x IS NOT NULL), '|') AS labels, text AS content FROM documents LEFT JOIN labels USING (doc_id)""")
+def export_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.csv_rows(items(spark, sf_dir), "doc_id", "text", "labels")
+
+
+@query("SELECT row_number() OVER (ORDER BY name) AS id, name FROM (SELECT DISTINCT p_brand AS name FROM part)")
+def coco_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.coco_categories(table(spark, sf_dir, "part"), "p_brand")
+
+
+@query(f"""WITH {EDGES} SELECT '<edge source="' || src || '" target="' || dst || '"/>' AS value FROM edges""")
+def graphml_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.graphml_edges(edges(spark, sf_dir))
+
+
+@query(f"WITH {POINTS} SELECT cloud, printf('%.6f %.6f %.6f', x, y, z) AS value FROM points")
+def ply_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.ply_lines(cloud(spark, sf_dir))
+
+
+_BENCH_WORDS = "list_distinct(regexp_extract_all(lower({0}.text), '[\\p{{L}}\\p{{N}}_]+'))"
+
+
+@query(f"""SELECT a.item_id, b.item_id AS other, round(len(list_intersect({_BENCH_WORDS.format('a')}, {_BENCH_WORDS.format('b')})) / len(list_distinct(list_concat({_BENCH_WORDS.format('a')}, {_BENCH_WORDS.format('b')}))), 6) AS jaccard,
+round(1 - levenshtein(a.text, b.text) / greatest(length(a.text), length(b.text)), 6) AS levenshtein FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1""")
+def neighbour_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "benchmark")
+    b = a.select((F.col("item_id") - 1).alias("item_id"), F.col("item_id").alias("other"), F.col("text").alias("next"))
+    return a.join(b, "item_id").select("item_id", "other", F.round(similarity.word_jaccard(F.col("text"), F.col("next")), 6).alias("jaccard"), F.round(similarity.levenshtein_similarity(F.col("text"), F.col("next"), 100_000), 6).alias("levenshtein"))
+
+
+@query("""WITH g AS (SELECT DISTINCT item_id, substring(lower(trim(text)), i, 3) AS g FROM (SELECT item_id, text, unnest(range(1, greatest(length(trim(text)) - 1, 1))) AS i FROM benchmark) WHERE length(trim(text)) >= 3), n AS (SELECT item_id, count(*) AS n FROM g GROUP BY 1),
+c AS (SELECT a.item_id, b.item_id AS other, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND b.item_id = a.item_id + 1 GROUP BY 1, 2)
+SELECT a.item_id, b.item_id AS other, round(coalesce(c, 0) / (a.n + b.n - coalesce(c, 0)), 6) AS similarity FROM n a JOIN n b ON b.item_id = a.item_id + 1 LEFT JOIN c ON c.item_id = a.item_id""")
+def trigram_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "benchmark")
+    b = a.select((F.col("item_id") - 1).alias("item_id"), F.col("item_id").alias("other"), F.col("text").alias("next"))
+    return a.join(b, "item_id").select("item_id", "other", F.round(similarity.ngram_similarity(F.col("text"), F.col("next")), 6).alias("similarity"))
+
+
+_CHANCE = "(('0x' || substring(md5('0:' || {key} || ':' || ({place})), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+_SPACED = PIECES.format(t="text").replace("lower(text)", "text")
+
+
+@query(f"""WITH w AS (SELECT doc_id, {_SPACED} AS w FROM documents), u AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM w),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM u WHERE {_CHANCE.format(key='doc_id', place='i')} >= 0.1::DOUBLE GROUP BY 1)
+SELECT doc_id, coalesce(text, w[1], '') AS text FROM w LEFT JOIN k USING (doc_id)""")
+def words_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return augmentation.random_deletion(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query(f"""WITH w AS (SELECT doc_id, {_SPACED} AS w FROM documents), p AS (SELECT doc_id, w, floor({_CHANCE.format(key='doc_id', place='-1')} * len(w))::INT + 1 AS i, floor({_CHANCE.format(key='doc_id', place='-2')} * len(w))::INT + 1 AS j FROM w)
+SELECT doc_id, array_to_string(list_transform(range(1, len(w) + 1), lambda k: CASE WHEN k = i THEN w[j] WHEN k = j THEN w[i] ELSE w[k] END), ' ') AS text FROM p""")
+def words_swapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return augmentation.random_swap(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query(f"""WITH x AS (SELECT doc_id AS augmented_from, unnest(range(1, 4)) AS copy FROM documents)
+SELECT augmented_from, copy::INT AS copy, CASE WHEN {_CHANCE.format(key='augmented_from', place='copy')} < 0.5::DOUBLE THEN 'deletion' ELSE 'swap' END AS augmentation_type FROM x""")
+def augmentation_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return augmentation.augmented(table(spark, sf_dir, "documents"), "doc_id", 3)
+
+
+@query("""SELECT event_id, least(2.0::DOUBLE * pow(2, event_id % 8), 100::DOUBLE) AS exponential, least(2.0::DOUBLE * (event_id % 8 + 1), 100::DOUBLE) AS linear,
+least(2.0::DOUBLE * [1, 2, 3, 5, 8, 13, 21, 34][(event_id % 8 + 1)::INT], 100::DOUBLE) AS fibonacci, strftime(ts, '%H:%M:%S') BETWEEN '22:00:00' AND '23:59:59' AS blackout FROM events""")
+def retry_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = (F.col("event_id") % 8).cast("int")
+    return table(spark, sf_dir, "events").select("event_id", schedule.exponential_delay(k, 2.0, 100.0).alias("exponential"), schedule.linear_delay(k, 2.0, 100.0).alias("linear"), schedule.fibonacci_delay(k, 2.0, 100.0).alias("fibonacci"), schedule.in_blackout(F.col("ts"), "22:00:00", "23:59:59").alias("blackout"))
+
+
+@query("""SELECT o_orderstatus, year(o_orderdate)::INT AS year, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY ROLLUP (o_orderstatus, year(o_orderdate))""")
+def status_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").rollup("o_orderstatus", F.year("o_orderdate").alias("year")).agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation), h AS (SELECT 'c1' AS id, 0 AS hops UNION SELECT dst, hops + 1 FROM e JOIN h ON src = id WHERE hops < 6)
+SELECT id, min(hops)::INT AS hops FROM h GROUP BY 1""")
+def hops_from(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.hops(edges(spark, sf_dir), "c1")
+
+
+@query(f"""WITH RECURSIVE {EDGES}, b AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), r AS (SELECT 'r' || r_regionkey AS id FROM region),
+n AS (SELECT 'n' || n_nationkey AS id, 'r' || n_regionkey AS root FROM nation), l AS (SELECT 'c' || c_custkey AS id, root FROM customer JOIN n ON n.id = 'n' || c_nationkey UNION ALL SELECT 's' || s_suppkey, root FROM supplier JOIN n ON n.id = 'n' || s_nationkey UNION ALL SELECT id, root FROM n UNION ALL SELECT DISTINCT root, root FROM n)
+SELECT id, min(id) OVER (PARTITION BY root) AS component FROM l""")
+def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.connected(edges(spark, sf_dir))
