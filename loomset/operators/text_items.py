@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomset.functions import language
 from loomset.functions import text as X
 
 #: Lifts exact halves, which engines round differently, to the upper side.
@@ -119,3 +120,33 @@ def cleaned(items: DataFrame, key: str, text: str) -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     x = items.select(key, F.length(t).cast("long").alias("length_before"), X.cleaned(t).alias("text"))
     return x.withColumn("length_after", F.length("text").cast("long"))
+
+
+def summarised(items: DataFrame, key: str, text: str, most: int = 3, top: int = 20) -> DataFrame:
+    """The sentences that hold most of a text's keywords, in the order of the text; a text of no more sentences is whole.
+
+    A sentence's score is the sum of its words' keyword counts, half as much again for the first three; of equal
+    ones the later counts.
+    """
+    s = items.select(key, F.posexplode(X.sentences(F.col(text))).alias("place", "sentence"))
+    words = s.select(key, "place", F.explode(X.words(F.col("sentence"))).alias("word")).groupBy(key, "place", "word").agg(F.count("*").alias("times"))
+    scores = words.join(keywords(items, key, text, top).select(key, "word", "n"), [key, "word"]).groupBy(key, "place").agg(F.sum(F.col("n") * F.col("times")).alias("score"))
+    boosted = F.coalesce("score", F.lit(0)) * F.when(F.col("place") < 3, 1.5).otherwise(1.0)
+    ranked = s.join(scores, [key, "place"], "left").withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(boosted.desc(), F.desc("place"))))
+    best = ranked.filter(F.col("rank") <= most).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "sentence"))), lambda x: x["sentence"]), " ").alias("summary"))
+    return items.select(key, text).join(best, key, "left").select(key, F.when(F.size(X.sentences(F.col(text))) <= most, F.col(text)).otherwise(F.col("summary")).alias("summary"))
+
+
+def stemmed(items: DataFrame, key: str, text: str) -> DataFrame:
+    return items.select(key, language.stemmed(F.col(text)).alias("stems"))
+
+
+def tag_counts(items: DataFrame, key: str, text: str) -> DataFrame:
+    """How many words of each part of speech a text has."""
+    return items.select(key, F.explode(X.words(F.col(text))).alias("w")).groupBy(key, language.tag(F.col("w")).alias("tag")).agg(F.count("*").alias("n"))
+
+
+def tokens(items: DataFrame, key: str, text: str) -> DataFrame:
+    """Words, strings, sentences and characters of a text, and its pairs of neighbouring words."""
+    t = F.col(text)
+    return items.select(key, F.size(X.words(t)).cast("long").alias("words"), F.size(X.pieces(t)).cast("long").alias("strings"), F.size(X.sentences(t)).cast("long").alias("sentences"), F.length(t).cast("long").alias("characters"), language.bigrams(t).alias("bigrams"))

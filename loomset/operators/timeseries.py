@@ -65,3 +65,27 @@ def sessions(df: DataFrame, user: str, time: str, key: str, gap_seconds: int) ->
     return x.groupBy(user, "session").agg(F.min(time).alias("start"), F.max(time).alias("end"), F.count("*").alias("events"))
 
 
+
+
+def iqr_anomalies(df: DataFrame, series: str, key: str, value: str, multiplier: float = 3.0) -> DataFrame:
+    """Values beyond the quartiles (interpolated) by so many interquartile ranges."""
+    q = df.groupBy(series).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    width = (F.col("q")[1] - F.col("q")[0]) * multiplier
+    return df.join(q, series).filter((F.col(value) < F.col("q")[0] - width) | (F.col(value) > F.col("q")[1] + width)).select(series, key, value)
+
+
+def seasonal_strength(df: DataFrame, series: str, time: str, value: str, period: int = 7) -> DataFrame:
+    """How much of what the trend leaves, and of what the season leaves, isn't residual: 0 to 1 each."""
+    parts = decomposed(df, series, time, value, period).filter("residual is not null")
+    v = parts.groupBy(series).agg(*(F.var_pop(c).alias(c) for c in ("trend", "seasonal", "residual")))
+    share = {k: F.greatest(F.lit(0.0), 1 - F.try_divide(F.col("residual"), F.col("residual") + F.col(k))) for k in ("trend", "seasonal")}
+    return v.select(series, *(F.round(c, 4).alias(f"{k}_strength") for k, c in share.items()))
+
+
+def aligned_groups(df: DataFrame, group: str, time: str, key: str, kind: str, gap_seconds: int = 60) -> DataFrame:
+    """Runs of a group's items with no longer gap than that, of two items and two kinds at least."""
+    w = Window.partitionBy(group).orderBy(time, key)
+    second = F.col(time).cast("timestamp").cast("double")
+    x = df.withColumn("new", (F.coalesce(second - F.lag(second).over(w), F.lit(1e18)) > gap_seconds).cast("long"))
+    x = x.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return x.groupBy(group, "run").agg(F.min(time).alias("start"), F.count("*").alias("items"), F.count_distinct(kind).alias("kinds")).filter("items >= 2 and kinds >= 2")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomset.functions import text as X
@@ -558,15 +558,20 @@ def ply_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.ply_lines(cloud(spark, sf_dir))
 
 
+def _ascii(column: str) -> Column:
+    """DuckDB's edit distance counts bytes, Spark's characters: both are given texts in which they are the same."""
+    return F.regexp_replace(column, "[^ -~]", "?")
+
+
 _BENCH_WORDS = "list_distinct(regexp_extract_all(lower({0}.text), '[\\p{{L}}\\p{{N}}_]+'))"
 
 
 @query(f"""SELECT a.item_id, b.item_id AS other, round(len(list_intersect({_BENCH_WORDS.format('a')}, {_BENCH_WORDS.format('b')})) / len(list_distinct(list_concat({_BENCH_WORDS.format('a')}, {_BENCH_WORDS.format('b')}))), 6) AS jaccard,
-round(1 - levenshtein(a.text, b.text) / greatest(length(a.text), length(b.text)), 6) AS levenshtein FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1""")
+round(1 - levenshtein(regexp_replace(a.text, '[^ -~]', '?', 'g'), regexp_replace(b.text, '[^ -~]', '?', 'g')) / greatest(length(a.text), length(b.text)), 6) AS levenshtein FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1""")
 def neighbour_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "benchmark")
     b = a.select((F.col("item_id") - 1).alias("item_id"), F.col("item_id").alias("other"), F.col("text").alias("next"))
-    return a.join(b, "item_id").select("item_id", "other", F.round(similarity.word_jaccard(F.col("text"), F.col("next")), 6).alias("jaccard"), F.round(similarity.levenshtein_similarity(F.col("text"), F.col("next"), 100_000), 6).alias("levenshtein"))
+    return a.join(b, "item_id").select("item_id", "other", F.round(similarity.word_jaccard(F.col("text"), F.col("next")), 6).alias("jaccard"), F.round(similarity.levenshtein_similarity(_ascii("text"), _ascii("next"), 100_000), 6).alias("levenshtein"))
 
 
 @query("""WITH g AS (SELECT DISTINCT item_id, substring(lower(trim(text)), i, 3) AS g FROM (SELECT item_id, text, unnest(range(1, greatest(length(trim(text)) - 1, 1))) AS i FROM benchmark) WHERE length(trim(text)) >= 3), n AS (SELECT item_id, count(*) AS n FROM g GROUP BY 1),
