@@ -247,17 +247,19 @@ def forest(keys: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray], whol
         keys[np.isin(keys, keys[ks[first]])] = keys[j]
 
 
-def candidates(rows: DataFrame, percent: int, whole: bool) -> DataFrame:
-    """Pairs (a, b) of different components that share a prefix gram and pass the filters. rows: t, c, n, i, comp, parts.
+def candidates(rows: DataFrame, parts: DataFrame, percent: int, whole: bool) -> DataFrame:
+    """Pairs (a, b) of different components that share a prefix gram and pass the filters. rows: t, c, n, i, comp; parts: c, parts.
 
     All such pairs if whole, else of each gram those of a forest. A gram's classes are compared in blocks: its rows
-    are dealt to every pair of blocks, so that a task holds two blocks of one gram at most.
+    are dealt to every pair of blocks, so that a task holds two blocks of one gram at most. The parts, which are
+    wide, join only rows of grams that are still open, just before those are dealt.
     """
     open_ = rows.groupBy("t").agg(F.count("*").alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y")
     open_ = open_.select("t", F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("blocks"))
     own = F.pmod(F.hash("c"), F.col("blocks"))
     met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, own).alias("x"), F.greatest(k, own).alias("y")))
-    dealt = rows.join(open_, "t").withColumn("own", own).withColumn("xy", F.explode(met)).select("t", "xy.x", "xy.y", "own", "c", "n", "i", "comp", "parts")
+    placed = rows.join(open_, "t").join(parts, "c")
+    dealt = placed.withColumn("own", own).withColumn("xy", F.explode(met)).select("t", "xy.x", "xy.y", "own", "c", "n", "i", "comp", "parts")
     dealt = dealt.repartition("t", "x", "y").sortWithinPartitions("t", "x", "y", "n")
 
     def pairs_of(ready: pa.Table, at: np.ndarray) -> np.ndarray:
@@ -334,12 +336,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not of_docs.groupBy("doc_id", "tkey").count().filter("count > 1").isEmpty():
         texts = texts.dropDuplicates(["c"])
     texts = written(texts)
-    placed = rows.join(classes.select("c", "parts"), "c")
+    parts = classes.select("c", "parts")
 
-    links = written(verified(candidates(placed.withColumn("comp", F.col("c")), percent, False), texts, size, percent))
+    links = written(verified(candidates(rows.withColumn("comp", F.col("c")), parts, percent, False), texts, size, percent))
     first = components(links)
-    labelled = placed.join(first, placed["c"] == first["node"], "left").select("t", "c", "n", "i", F.coalesce("component", "c").alias("comp"), "parts")
-    more = verified(candidates(labelled, percent, True), texts, size, percent)
+    labelled = rows.join(first, rows["c"] == first["node"], "left").select("t", "c", "n", "i", F.coalesce("component", "c").alias("comp"))
+    more = verified(candidates(labelled, parts, percent, True), texts, size, percent)
     whole = components(links.unionByName(written(more)))
 
     joined = of_docs.join(whole, F.col("c") == F.col("node"), "left").select("doc_id", "tkey", "n", F.coalesce("component", "c").alias("comp"))
