@@ -1,7 +1,7 @@
 """Chat formatting: tool calls linked to their results, ordered, validated and written as canonical JSON.
 
 Calls and results meet in a hash join on conversation and identifier. Calls are ordered by levels: a call's level
-is one more than the highest of those it depends on, found level by level with joins. Arguments are parsed as
+is one more than the highest of those it depends on, found by joins: chains by doubling, the rest round by round. Arguments are parsed as
 VARIANT and held against schemas, and the whole is written as JSON with sorted keys and no white space. Everything
 is DataFrame operations.
 
@@ -15,6 +15,8 @@ left out of the JSON.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -65,29 +67,62 @@ def turns(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return asked, answered
 
 
+def _at(x: DataFrame, call: str, y: DataFrame) -> Column:
+    """Whether a row of x points, in its own conversation, to the call of a row of y (c, d)."""
+    return x["conv_id"].eqNullSafe(y["c"]) & (x[call] == y["d"])
+
+
+def ends_of_chains(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Where the chains of single dependencies lead: tables of conv_id, call_id, up, dist, and what never ends (cycles).
+
+    nodes: conv_id, call_id, up (the call depended on; itself for an end), dist (1; 0 for an end), done (whether it is
+    an end). Each round every open call takes over where the call it points to has got, so a chain of n calls takes
+    log2(n) rounds; what is open after as many rounds as calls allow is on a cycle or leads to one.
+    """
+    done, open_ = [nodes.filter("done")], nodes.filter("not done")
+    for _ in range(nodes.count().bit_length() + 1):
+        if open_.isEmpty():
+            break
+        ahead = functools.reduce(DataFrame.unionByName, [*done, open_]).select(F.col("conv_id").alias("c"), F.col("call_id").alias("d"), F.col("up").alias("next"), F.col("dist").alias("more"), F.col("done").alias("there"))
+        moved = written(open_.join(ahead, _at(open_, "up", ahead)).select("conv_id", "call_id", F.col("next").alias("up"), (F.col("dist") + F.col("more")).alias("dist"), F.col("there").alias("done")))
+        done, open_ = [*done, moved.filter("done")], moved.filter("not done")
+    return done, open_
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """conv_id, call_id, level and unknown (whether a dependency isn't a call) of distinct calls with depends_on.
 
-    Each round settles the calls whose dependencies are all settled; rounds are as many as the longest chain.
+    Chains of single dependencies are shortened first; what is left are calls with several dependencies, which are
+    settled round by round, once all they wait for are: rounds are as many as such calls follow each other.
     """
-    own = calls.select("conv_id", "call_id")
+    stuck = F.coalesce(F.array_contains("depends_on", F.col("call_id")), F.lit(False))
+    own = calls.select("conv_id", "call_id", stuck.alias("stuck"))
     asked = calls.select("conv_id", "call_id", F.explode("depends_on").alias("dep")).filter("dep is not null and dep <> call_id").distinct()
     there = own.select(F.col("conv_id").alias("c"), F.col("call_id").alias("d"), F.lit(True).alias("known"))
-    edges = written(asked.join(there, asked["conv_id"].eqNullSafe(there["c"]) & (asked["dep"] == there["d"]), "left").select("conv_id", "call_id", "dep", "known"))
-    selves = calls.filter(F.array_contains("depends_on", F.col("call_id"))).select("conv_id", "call_id", F.lit(None).cast("string").alias("dep"), F.lit(True).alias("known"))
-    wait = edges.filter("known").unionByName(selves)
-    held = wait.groupBy("conv_id", "call_id").agg(F.count("*").alias("left")).withColumnsRenamed({"conv_id": "c", "call_id": "d"})
-    now = written(own.join(held, own["conv_id"].eqNullSafe(held["c"]) & (own["call_id"] == held["d"]), "left").select("conv_id", "call_id", F.when(F.col("left").isNull(), 0).alias("level")))
-    k = 0
-    while not now.filter(F.col("level") == k).isEmpty() and not now.filter("level is null").isEmpty():
-        # an edge counts as met once the call it points to is settled
-        settled = now.filter("level is not null").select(F.col("conv_id").alias("c"), F.col("call_id").alias("d"))
-        open_ = wait.join(settled, wait["conv_id"].eqNullSafe(settled["c"]) & wait["dep"].eqNullSafe(settled["d"]), "left_anti")
-        open_ = open_.select(F.col("conv_id").alias("c"), F.col("call_id").alias("d"), F.lit(True).alias("open")).distinct()
-        k += 1
-        now = written(now.join(open_, now["conv_id"].eqNullSafe(open_["c"]) & (now["call_id"] == open_["d"]), "left").select("conv_id", "call_id", F.when(F.col("level").isNotNull(), F.col("level")).when(F.col("open").isNull(), k).alias("level")))
+    edges = written(asked.join(there, _at(asked, "dep", there), "left").select("conv_id", "call_id", "dep", "known"))
+    needs = edges.filter("known").groupBy("conv_id", "call_id").agg(F.count("*").alias("deps"), F.min("dep").alias("one")).withColumnsRenamed({"conv_id": "c", "call_id": "d"})
+    end = F.col("stuck") | (F.coalesce("deps", F.lit(0)) != 1)
+    nodes = written(own.join(needs, _at(own, "call_id", needs), "left").select("conv_id", "call_id", F.when(end, F.col("call_id")).otherwise(F.col("one")).alias("up"), F.when(end, 0).otherwise(1).cast("long").alias("dist"), end.alias("done"), "stuck", F.coalesce("deps", F.lit(0)).alias("deps")))
+
+    done, _ = ends_of_chains(nodes.select("conv_id", "call_id", "up", "dist", "done"))
+    placed = functools.reduce(DataFrame.unionByName, done)
+    settled = nodes.filter("not stuck and deps = 0").select(F.col("conv_id").alias("c"), F.col("call_id").alias("d"), F.lit(0).cast("long").alias("base"))
+    several = nodes.filter("not stuck and deps > 1").select(F.col("conv_id").alias("c"), F.col("call_id").alias("d"))
+    if not several.isEmpty():
+        links = edges.filter("known").join(several, _at(edges, "call_id", several), "left_semi").select("conv_id", "call_id", "dep")
+        to = placed.select(F.col("conv_id").alias("c"), F.col("call_id").alias("d"), "up", (F.col("dist") + 1).alias("more"))
+        links = written(links.join(to, _at(links, "dep", to), "left").select("conv_id", "call_id", "up", "more"))
+        while True:
+            met = links.join(settled, _at(links, "up", settled), "left").groupBy("conv_id", "call_id").agg(F.count("*").alias("all"), F.count("base").alias("met"), F.max(F.col("more") + F.col("base")).alias("base"))
+            new = written(met.filter(F.col("all") == F.col("met")).select(F.col("conv_id").alias("c"), F.col("call_id").alias("d"), "base"))
+            if new.isEmpty():
+                break
+            settled = written(settled.unionByName(new))
+            links = written(links.join(new, _at(links, "call_id", new), "left_anti"))
+    ranked = placed.join(settled, _at(placed, "up", settled)).select(F.col("conv_id").alias("p_conv"), F.col("call_id").alias("p_call"), (F.col("dist") + F.col("base")).alias("level"))
     lost = edges.filter("known is null").select(F.col("conv_id").alias("c"), F.col("call_id").alias("d"), F.lit(True).alias("unknown")).distinct()
-    return now.join(lost, now["conv_id"].eqNullSafe(lost["c"]) & (now["call_id"] == lost["d"]), "left").select("conv_id", "call_id", "level", F.coalesce("unknown", F.lit(False)).alias("unknown"))
+    out = own.join(ranked, own["conv_id"].eqNullSafe(ranked["p_conv"]) & (own["call_id"] == ranked["p_call"]), "left").select("conv_id", "call_id", "level")
+    return out.join(lost, _at(out, "call_id", lost), "left").select("conv_id", "call_id", "level", F.coalesce("unknown", F.lit(False)).alias("unknown"))
 
 
 def argument_errors(arguments: Column, params: Column) -> Column:

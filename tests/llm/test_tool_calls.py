@@ -1,4 +1,5 @@
 import json
+import random
 
 from loomset.llm import tool_calls as tc
 
@@ -61,3 +62,27 @@ def test_empty_table(spark):
     empty = message(spark, [])
     assert tc.linked(*tc.turns(empty), tc.turn_schemas(spark)).count() == 0
     assert tc.linked(*tc.parsed(empty), tc.schemas(spark, TOOLS)).count() == 0
+
+
+def brute_levels(deps):
+    """Level of each call of a graph, None for those on a cycle or behind one."""
+    level = {}
+    while True:
+        new = {c: 1 + max((level[d] for d in ds), default=-1) for c, ds in deps.items() if c not in level and all(d in level for d in ds)}
+        if not new:
+            return {c: level.get(c) for c in deps}
+        level |= new
+
+
+def test_levels_of_random_graphs(spark):
+    rng = random.Random(3)
+    rows, want = [], {}
+    for conv in range(12):
+        n = rng.randint(1, 30)
+        back = rng.random() < 0.6  # now and then a dependency on a later call, which makes cycles
+        deps = {f"k{i}": sorted({f"k{rng.randrange(n if back and rng.random() < 0.4 else max(i, 1))}" for _ in range(rng.choice([0, 1, 1, 1, 2, 3]))}) if i else [] for i in range(n)}
+        rows += [(conv if conv else None, c, d) for c, d in deps.items()]
+        want |= {(conv if conv else None, c): x for c, x in brute_levels(deps).items()}
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, depends_on array<string>")
+    assert {(r.conv_id, r.call_id): r.level for r in tc.levels(calls).collect()} == want
+    assert None in want.values() and max(x for x in want.values() if x is not None) > 5
