@@ -1,18 +1,17 @@
-"""Benchmark passages in documents: SimHash fingerprints of item-sized windows, then an exact comparison.
+"""Benchmark passages in documents: item-sized windows around shared shingles, compared exactly.
 
 A document leaks an item if one of its windows, as long as the item in words, has a weighted Jaccard similarity
 of 0.8 or more with it: sums of the smaller over sums of the larger counts of word 5-grams. Words are compared in
 lower case. Such a window shares a 5-gram with the item, so windows are looked at only where a document has a
 5-gram of some item; that loses nothing.
 
-1. Where a 5-gram of an item of n words stands in a document, the windows of n words that hold it get 64-bit
-   SimHash fingerprints over their 5-grams, by sums that slide along the words.
-2. Fingerprints are cut into radius + 1 blocks of bits; a window and an item within the radius agree in one block
-   at least, so looking each block up in its own index finds every such pair.
-3. Windows that are found are compared exactly.
+1. Where a 5-gram of an item of n words stands in a document, the windows of n words that hold it are looked at.
+2. Their shared weight with the item is counted exactly for all of them at once: the k-th occurrence of a 5-gram
+   in a window counts if the item has it k times or more, so each place in the document counts for one run of
+   window starts. That takes time and memory in proportion to the words, however often a word repeats.
 
-A window that reaches the similarity shares eight ninths of the 5-grams, so its fingerprint differs from the
-item's in ten bits on average, with a spread of three; RADIUS leaves almost five spreads of room.
+No fingerprint decides: SimHash bits measure the cosine of the counts, which a repeated 5-gram (a mask, a rule of
+dashes) pulls far below the Jaccard similarity. `fingerprints` and `blocks_of` stay for callers that want sketches.
 
 Items shorter than five words are one shingle each. Null and empty texts, of either table, leak nothing and match
 nothing. Repeated rows give repeated results; a null doc_id is carried along. The items are a stated query set:
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 from loomset.llm.common import slices, text_buffers, windows, words
 
 SHINGLE, PERCENT = 5, 80
-#: Fingerprints within so many bits are compared exactly.
+#: Bits within which `blocks_of` finds every pair of fingerprints.
 RADIUS = 24
 #: UTF-8 bytes of items that a task holds at once.
 ITEM_BYTES = 16 << 20
@@ -67,13 +66,32 @@ def similarity(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
     return int(np.minimum(p, q).sum()), int(np.maximum(p, q).sum())
 
 
+def shared_weights(part: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Shared weight with the item's bag of shingles of each run of as many neighbouring shingles."""
+    count = len(item)
+    starts = len(part) - count + 1
+    kinds, most = np.unique(item, return_counts=True)
+    kind = np.minimum(np.searchsorted(kinds, part), len(kinds) - 1)
+    at = np.flatnonzero(kinds[kind] == part)
+    at = at[np.argsort(kind[at], kind="stable")]  # by shingle, then place
+    k = kind[at]
+    # a place counts for windows that begin behind the place `most` occurrences before it
+    before = np.arange(len(at)) - most[k]
+    same = before >= np.searchsorted(k, k, "left")
+    lo = np.maximum((at - count + 1).clip(0), np.where(same, at[before.clip(0)] + 1, 0))
+    hi = np.minimum(at, starts - 1)
+    held = lo <= hi
+    steps = np.bincount(lo[held], minlength=starts + 1) - np.bincount(hi[held] + 1, minlength=starts + 1)
+    return np.cumsum(steps)[:starts]
+
+
 class Items:
-    """Shingles, fingerprints and block indexes of some items, by their length in words."""
+    """Shingles of some items, by their length in words."""
 
-    def __init__(self, ids: list[int], texts: list[str], size: int = SHINGLE, radius: int = RADIUS):
+    def __init__(self, ids: list[int], texts: list[str], size: int = SHINGLE):
         data, offs = text_buffers(pa.array(texts, pa.string()))
         hashes, _, _, rows = words(data[offs[0] : offs[-1]], offs - offs[0], lower=True)
-        self.size, self.radius, self.ids, self.lengths, self.grams = size, radius, [], [], []
+        self.size, self.ids, self.lengths, self.grams = size, [], [], []
         for i, (a, b) in zip(ids, zip(rows.tolist(), rows[1:].tolist(), strict=False), strict=True):
             if b > a:
                 self.ids.append(i)
@@ -90,15 +108,6 @@ class Items:
             self.known[w] = (grams[order], item[order])
             self.marked[w] = np.zeros(1 << 20, bool)
             self.marked[w][(grams >> np.uint64(44)).astype(np.int64)] = True
-        self.prints = np.array([fingerprints(g, len(g))[0] for g in self.grams], np.uint64)
-        self.blocks = blocks_of(self.prints, radius)
-
-    def near(self, item: int, prints: np.ndarray) -> np.ndarray:
-        """Which fingerprints agree with the item's in a block, and are within the radius."""
-        agree = np.zeros(len(prints), bool)
-        for own, theirs in zip(self.blocks, blocks_of(prints, self.radius), strict=True):
-            agree |= theirs == own[item]
-        return agree & (np.bitwise_count(prints ^ self.prints[item]) <= self.radius)
 
     def suspects(self, hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Rows of a slice that hold a shingle of some item."""
@@ -138,24 +147,16 @@ class Items:
             elif a <= b:
                 spans.append([a, b])
         for a, b in spans:
-            starts = np.arange(a, b + 1)
             part = own[a : min(b + count, len(own))]
             if len(part) < count:  # a document shorter than the item: its whole is the window
-                chosen, starts = np.ones(1, bool), starts[:1]
+                s, (shared, whole) = 0, similarity(part, grams)
             else:
-                hits = np.zeros(len(part) + 1, np.int64)
-                hits[1:] = np.cumsum(np.isin(part, grams))
-                # a window can't be alike enough with fewer of the item's shingles than that
-                chosen = hits[count:] - hits[:-count] >= -(-2 * count * percent // (100 + percent))
-                if chosen.any():
-                    chosen &= self.near(item, fingerprints(part, count))
-            best = None
-            for s in starts[chosen[: len(starts)]].tolist():
-                shared, whole = similarity(own[s : s + count], grams)
-                if 100 * shared >= percent * whole and (best is None or shared * best[4] > best[3] * whole):
-                    best = (item, s, min(s + n, len(hashes)), shared, whole)
-            if best:
-                out.append(best)
+                weights = shared_weights(part, grams)
+                s = int(weights.argmax())
+                shared = int(weights[s])
+                whole = 2 * count - shared
+            if 100 * shared >= percent * whole:
+                out.append((item, a + s, min(a + s + n, len(hashes)), shared, whole))
         return out
 
 

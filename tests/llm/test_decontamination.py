@@ -88,3 +88,25 @@ def test_fingerprints_slide():
 def test_empty_tables(spark):
     none, table = spark.createDataFrame([], DOCS), spark.createDataFrame([], "item_id long, text string")
     assert dc.leaks(none, table).count() == 0 and dc.leaks(docs(spark, ODD), table).count() == 0
+
+
+def test_repeated_shingles_lose_nothing(spark):
+    rng = random.Random(4)
+    items, rows = [], []
+    for k in range(12):
+        w = [f"a{k}x{i}" for i in range(400)]
+        at = rng.randrange(20, 340)
+        masked = [*w[:at], *["____"] * 40, *w[at + 40 :]]
+        items.append((k, " ".join(masked if k % 3 == 2 else w)))  # a mask in the document, or in the item
+        rows.append((k, " ".join(w if k % 3 == 2 else masked)))
+    got = dc.leaks(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == brute(rows, items) == {(k, k) for k in range(12)}
+    assert {(r.first_word, r.end_word, r.similarity) for r in got} == {(0, 400, 352 / 440)}
+
+
+def test_shared_weights_slide():
+    rng = np.random.default_rng(5)
+    for kinds in (1, 3, 20):
+        for count in (1, 2, 9, 40):
+            part, item = rng.integers(0, kinds + 1, 60).astype(np.uint64), rng.integers(0, kinds, count).astype(np.uint64)
+            assert dc.shared_weights(part, item).tolist() == [dc.similarity(part[s : s + count], item)[0] for s in range(60 - count + 1)]
