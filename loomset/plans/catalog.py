@@ -571,7 +571,7 @@ round(1 - levenshtein(regexp_replace(a.text, '[^ -~]', '?', 'g'), regexp_replace
 def neighbour_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "benchmark")
     b = a.select((F.col("item_id") - 1).alias("item_id"), F.col("item_id").alias("other"), F.col("text").alias("next"))
-    return a.join(b, "item_id").select("item_id", "other", F.round(similarity.word_jaccard(F.col("text"), F.col("next")), 6).alias("jaccard"), F.round(similarity.levenshtein_similarity(_ascii("text"), _ascii("next"), 100_000), 6).alias("levenshtein"))
+    return a.join(b, "item_id").select("item_id", "other", F.round(similarity.word_jaccard(F.col("text"), F.col("next")), 6).alias("jaccard"), F.round(similarity.levenshtein_similarity(_ascii("text"), _ascii("next")), 6).alias("levenshtein"))
 
 
 @query("""WITH g AS (SELECT DISTINCT item_id, substring(lower(trim(text)), i, 3) AS g FROM (SELECT item_id, text, unnest(range(1, greatest(length(trim(text)) - 1, 1))) AS i FROM benchmark) WHERE length(trim(text)) >= 3), n AS (SELECT item_id, count(*) AS n FROM g GROUP BY 1),
