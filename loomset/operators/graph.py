@@ -26,22 +26,26 @@ def basic_metrics(edges: DataFrame) -> DataFrame:
     return x.withColumn("density", F.round(F.try_divide(F.col("edges"), F.col("nodes") * (F.col("nodes") - 1)), 6))
 
 
-def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
+def pagerank(edges: DataFrame, rounds: int = 100, damping: float = 0.85) -> DataFrame:
     """Ranks after so many rounds from 1 / n; the mass of nodes without out-edges is dropped.
 
     Parallel edges are counted once for all before the rounds; each round is one join and one pre-aggregated sum.
+    Rounds end early only where one leaves every rank exactly as it was: the others would too.
     """
     nodes = nodes_of(edges)
     n = nodes.count()
     links = edges.groupBy("src", "dst").agg(F.count("*").alias("k"))
     out = edges.groupBy("src").agg(F.count("*").alias("out"))
-    weighted = links.join(out, "src").select("src", "dst", (F.col("k") / F.col("out")).alias("w"))
-    ranks = nodes.select("id", F.lit(1.0 / max(n, 1)).alias("rank"))
+    weighted = links.join(out, "src").select("src", "dst", (F.col("k") / F.col("out")).alias("w")).checkpoint()
+    ranks = nodes.select("id", F.lit(1.0 / max(n, 1)).alias("rank")).checkpoint()
     for k in range(rounds):
         gained = weighted.join(ranks, weighted["src"] == ranks["id"]).groupBy("dst").agg(F.sum(F.col("w") * F.col("rank")).alias("s"))
-        ranks = nodes.join(gained, nodes["id"] == gained["dst"], "left").select("id", (F.lit((1 - damping) / max(n, 1)) + damping * F.coalesce("s", F.lit(0.0))).alias("rank"))
+        ranks = ranks.join(gained, ranks["id"] == gained["dst"], "left").select("id", F.col("rank").alias("old"), (F.lit((1 - damping) / max(n, 1)) + damping * F.coalesce("s", F.lit(0.0))).alias("rank"))
         if k % 5 == 4:
             ranks = ranks.checkpoint()
+            if ranks.filter("old <> rank").isEmpty():
+                break
+        ranks = ranks.select("id", "rank")
     return ranks.select("id", F.round("rank", 8).alias("rank"))
 
 

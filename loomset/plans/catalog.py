@@ -433,7 +433,7 @@ _ROUNDS = "".join(f", r{k} AS (SELECT id, 0.15::DOUBLE / (SELECT count(*) FROM v
 @query(f"""WITH {EDGES}, v AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges), o AS (SELECT src, count(*) AS o FROM edges GROUP BY 1), r0 AS (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM v) AS rank FROM v){_ROUNDS}
 SELECT id, round(rank, 8) AS rank FROM r5""")
 def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.pagerank(edges(spark, sf_dir), rounds=5)
+    return graph.pagerank(edges(spark, sf_dir))
 
 
 @query(f"""WITH {POINTS}, b AS (SELECT cloud, count(*) AS n, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz, max(x) - min(x) AS ex, max(y) - min(y) AS ey, max(z) - min(z) AS ez FROM points GROUP BY 1),
