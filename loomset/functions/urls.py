@@ -66,8 +66,27 @@ def wanted(url: Column, include: list[str], exclude: list[str]) -> Column:
     return F.coalesce(keep, F.lit(False))
 
 
+def _undotted(place: Column) -> Column:
+    """A path without its . and .. segments; query and fragment stay."""
+    found = F.regexp_extract(place, r"^([^?#]*)", 1)
+    parts = F.slice(F.split(found, "/"), 2, F.greatest(F.size(F.split(found, "/")) - 1, F.lit(1)))
+    up = lambda done: F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda done, x: F.when(x == "..", up(done)).when(x == ".", done).otherwise(F.concat(done, F.array(x))))
+    ends = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    plain = F.concat(F.lit("/"), F.array_join(ends, "/"))
+    return F.when(found.rlike(r"/\.\.?(/|$)"), F.concat(plain, F.substring(place, F.length(found) + 1, F.length(place)))).otherwise(place)
+
+
 def resolved(link: Column, base: Column) -> Column:
-    """A link of a page as a whole address; links relative to a folder are left as they are."""
+    """A link of a page as a whole address, as urljoin gives it: relative to the folder, dot segments taken out."""
     root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)//", 1)
-    return F.when(link.startswith("//"), F.concat(scheme, link)).when(link.startswith("/"), F.concat(root, link)).otherwise(link)
+    folder = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/(?:[^?#]*/)?)", 1)
+    whole = F.regexp_extract(base, r"^([^?#]*)", 1)
+    joined = F.concat(F.when(folder == "", "/").otherwise(folder), link)
+    return (
+        F.when(link.startswith("//"), F.concat(scheme, link))
+        .when((root == "") | link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
+        .when(link.startswith("?"), F.concat(whole, link))
+        .otherwise(F.concat(root, _undotted(F.when(link.startswith("/"), link).otherwise(joined))))
+    )

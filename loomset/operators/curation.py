@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomset.functions import vectors
+from loomset.operators import pages as pages_of
 
 
 def page(items: DataFrame, where: Column, order: list, skip: int = 0, limit: int = 50) -> DataFrame:
@@ -87,7 +88,7 @@ def meta_tags(pages: DataFrame, key: str, html: str) -> DataFrame:
         key,
         F.trim(F.regexp_extract(h, r"(?i)<title[^>]*>([^<]*)", 1)).alias("title"),
         F.regexp_extract(h, r"(?i)<meta[^>]*name=[\"']description[\"'][^>]*content=[\"']([^\"']*)", 1).alias("description"),
-        F.regexp_count(h, F.lit(r"(?i)<a [^>]*href=")).cast("long").alias("links"),
+        F.regexp_count(h, F.lit(pages_of.ANCHOR)).cast("long").alias("links"),
         F.regexp_count(h, F.lit(r"(?i)<img[ />]")).cast("long").alias("images"),
         F.regexp_count(h, F.lit(r"(?i)<h[1-6][ >]")).cast("long").alias("headings"),
         F.regexp_count(h, F.lit(r"(?i)<p[ >]")).cast("long").alias("paragraphs"),

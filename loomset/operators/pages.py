@@ -11,6 +11,10 @@ from loomset.functions import urls
 # Elements without content of their own, and those that end a line.
 BOILERPLATE = ["script", "style", "nav", "footer", "header", "aside", "form"]
 BLOCKS = r"(?i)</?(?:p|div|br|li|tr|h[1-6]|article|section|ul|ol|table|title|body)\b[^>]*>"
+ATTRIBUTE = r"""[^\s=>"'/]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"']++))?+"""
+BETWEEN = r"""(?:[\s/]++|(?<=["']))"""
+#: An anchor up to its first href; its value is in quotes of either kind or none. Possessive, so that no page takes long.
+ANCHOR = rf"""(?i)<a(?:{BETWEEN}(?!href[\s=]){ATTRIBUTE})*+{BETWEEN}href\s*=\s*("[^"]*+"|'[^']*+'|[^\s>"']++)"""
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
 
 
@@ -26,9 +30,12 @@ def page_text(html: Column) -> Column:
 
 
 def links(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
-    """Each distinct link of a page as a whole address; those within the page and scripts are left out."""
-    found = F.array_distinct(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r'(?i)<a [^>]*href="([^"#]+)"'), F.lit(1)))
-    x = pages.select(key, F.col(url).alias("__base"), F.explode(found).alias("link")).filter("lower(link) not like 'javascript:%'")
+    """Each distinct link of a page as a whole address; those that begin with # (within the page) and scripts are left out."""
+    found = F.array_distinct(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(ANCHOR), F.lit(1)))
+    x = pages.select(key, F.col(url).alias("__base"), F.explode(found).alias("link"))
+    x = x.withColumn("link", F.trim(F.regexp_replace("link", r"""^["']|["']$""", ""))).filter("link <> '' and link not like '#%' and lower(link) not like 'javascript:%'")
+    for name, char in ENTITIES.items():
+        x = x.withColumn("link", F.replace("link", F.lit(name), F.lit(char)))
     return x.select(key, urls.resolved(F.col("link"), F.col("__base")).alias("link")).distinct()
 
 
