@@ -512,6 +512,13 @@ def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curation.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 50 == 0)
 
 
+@query("""SELECT doc_id, 'removed' AS change FROM documents d WHERE doc_id <> (SELECT min(doc_id) FROM documents e WHERE md5(lower(trim(e.text))) = md5(lower(trim(d.text))))""")
+def copies_removed_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    kept = first_copies(spark, sf_dir).filter("not is_duplicate").select("doc_id")
+    return curation.versions_diff(d, d.join(kept, "doc_id", "left_semi"), "doc_id")
+
+
 @query("""SELECT * FROM (SELECT o_orderkey, array_to_string(list_filter([CASE WHEN NOT (o_totalprice BETWEEN 10000 AND 300000) THEN 'total_range' END, CASE WHEN NOT o_orderstatus IN ('F', 'O') THEN 'status_enum' END,
 CASE WHEN NOT regexp_matches(o_orderpriority, '^[1-5]-') THEN 'priority_pattern' END], lambda x: x IS NOT NULL), ',') AS errors FROM orders) WHERE errors <> ''""")
 def schema_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
