@@ -22,20 +22,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder's path under the folder that the cluster shares (spark.checkpoint.dir).
 
-    Where that setting is absent, as in tests on one machine, a temporary folder takes its place.
+    Where that setting is absent, a temporary folder takes its place, but only on a local master: executors of a
+    cluster could not read it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         base = "file://" + tempfile.mkdtemp(prefix="loomset-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/loomset-{uuid.uuid4().hex}"
 
 
+#: Spark removes an execution's shuffle files at its end where this is set; nothing reads them once a table is written.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """The rows written as Parquet into the shared folder and read again: lineage ends here."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The rows written as Parquet into the shared folder and read again: lineage ends here, and the shuffle files go."""
+    spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the folders of tables from written() that nothing reads any more."""
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

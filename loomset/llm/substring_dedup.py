@@ -8,7 +8,8 @@ Equal windows have equal minimisers, so a minimiser's bucket holds every occurre
    a bucket's rows together.
 2. Where a bucket has several different strings, one copy of each travels there, packed, with the smallest
    doc_id that has it. Sorting the windows of all of them gives each window's smallest doc_id. Buckets of more
-   than `most` strings are taken apart into windows, which Spark groups, so a task never holds one whole.
+   than `most` strings, or `most_windows` windows, are taken apart into windows, which Spark groups, so a task
+   never holds one whole.
 3. Each run learns its windows' smallest documents from its string; words of windows known from a smaller
    doc_id are removed.
 
@@ -27,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomset.llm.common import int64s, keyed, minimiser_runs, prefix_hashes, prefix_of, same_row, slices, span_hashes, text_buffers, windows, words, written
+from loomset.llm.common import discard, int64s, keyed, minimiser_runs, prefix_hashes, prefix_of, same_row, slices, span_hashes, text_buffers, windows, words, written
 
 WINDOW, GRAM = 13, 3
-#: Packed bytes that a group of buckets has on average, and strings of one minimiser that are sorted in one task.
-BUCKET_BYTES, MOST_STRINGS = 4_000_000, 30_000
+#: Packed bytes that a group of buckets has on average; strings of one minimiser, and their windows, that are sorted in one task.
+BUCKET_BYTES, MOST_STRINGS, MOST_WINDOWS = 4_000_000, 30_000, 1_000_000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -116,32 +117,33 @@ def sorted_windows(bucket: pd.DataFrame, window: int) -> pd.DataFrame:
     return pd.DataFrame(steps(bucket["h"].to_numpy(), bucket["g"].to_numpy(), string, place, least))
 
 
-def removed_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, most: int = MOST_STRINGS) -> DataFrame:
+def removed_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, most: int = MOST_STRINGS, most_windows: int = MOST_WINDOWS) -> DataFrame:
     """doc_id, tkey and the word ranges [lo, hi) that windows of smaller documents cover, as an array for each row."""
     found = runs(docs, window, gram)
     several = found.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h")
     shared = written(found.join(several, "h"))
 
     strings = shared.groupBy("h", "g").agg(F.min(F.struct("doc_id", "tkey", "start", "n")).alias("m")).select("h", "g", "m.*")
-    sizes = strings.groupBy("h").agg(F.count("*").alias("strings"))
+    sizes = strings.groupBy("h").agg(F.count("*").alias("strings"), F.sum("n").alias("windows"))
     kept = written(strings.join(sizes, "h"))
-    volume = kept.filter("strings > 1").agg(F.coalesce(F.sum(F.col("n") + window - 1), F.lit(0)), F.coalesce(F.max("strings"), F.lit(0))).first()
+    wide = (F.col("strings") > most) | (F.col("windows") > most_windows)
+    volume = kept.filter("strings > 1").agg(F.coalesce(F.sum(F.col("n") + window - 1), F.lit(0)), F.coalesce(F.max(wide), F.lit(False))).first()
     groups = max(1, int(volume[0] * 7 / bucket_bytes) + 1)
 
-    packed = cut_strings(kept.filter("strings > 1"), docs, window)
-    if volume[1] > most:
-        packed = packed.join(sizes, "h")
-        apart = in_windows(packed.filter(F.col("strings") > most).drop("strings"), window)
-        packed = packed.filter(F.col("strings") <= most).drop("strings")
+    packed = cut_strings(kept.filter("strings > 1").filter(~wide), docs, window)
     schema = "h long, g long, a int, b int, low long"
     sorted_ = packed.groupBy(F.pmod("h", F.lit(groups)).alias("grp")).applyInPandas(lambda pdf: sorted_windows(pdf, window), schema)
     alone = kept.filter("strings = 1").select("h", "g", F.lit(0).alias("a"), F.col("n").alias("b"), F.col("doc_id").alias("low"))
     lows = sorted_.unionByName(alone)
-    if volume[1] > most:
-        lows = lows.unionByName(apart)
+    if volume[1]:
+        lows = lows.unionByName(in_windows(cut_strings(kept.filter("strings > 1").filter(wide), docs, window), window))
+    lows = written(lows)
+    discard(kept)
     hit = shared.join(lows, ["h", "g"]).filter("low < doc_id")
     spans = hit.select("doc_id", "tkey", (F.col("start") + F.col("a")).alias("lo"), (F.col("start") + F.col("b") + (window - 1)).alias("hi"))
-    return spans.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    spans = written(spans.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")))
+    discard(shared, lows)
+    return spans
 
 
 def in_windows(packed: DataFrame, window: int) -> DataFrame:
@@ -157,10 +159,10 @@ def in_windows(packed: DataFrame, window: int) -> DataFrame:
     return rows.join(least, ["one", "two"]).select("h", "g", "a", (F.col("a") + 1).alias("b"), "low")
 
 
-def dedup_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, most: int = MOST_STRINGS) -> DataFrame:
+def dedup_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, most: int = MOST_STRINGS, most_windows: int = MOST_WINDOWS) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words left, joined by one space) of every row."""
     source = keyed(docs, id_col, text_col)
-    spans = removed_words(source, window, gram, bucket_bytes, most)
+    spans = removed_words(source, window, gram, bucket_bytes, most, most_windows)
     joined = source.join(spans, same_row(source, spans), "left").select(source["doc_id"], source["text"], F.expr("spans.lo").alias("lo"), F.expr("spans.hi").alias("hi"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -42,10 +42,10 @@ def corpus(seed, n=60):
     return rows + [(5, "a " * 60), (9, "a " * 50), (9, "a " * 50), (n + 1, rows[0][1]), (None, rows[0][1])] + ODD
 
 
-@pytest.mark.parametrize(("seed", "most"), [(1, 30_000), (2, 30_000), (3, 2)])
-def test_equals_brute_force(spark, seed, most):
+@pytest.mark.parametrize(("seed", "most", "most_windows"), [(1, 30_000, 10**6), (2, 30_000, 30), (3, 2, 10**6)])
+def test_equals_brute_force(spark, seed, most, most_windows):
     rows = corpus(seed)
-    got = sd.dedup_words(docs(spark, rows), bucket_bytes=2000, most=most).collect()
+    got = sd.dedup_words(docs(spark, rows), bucket_bytes=2000, most=most, most_windows=most_windows).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept).hexdigest()) for r in got), key=str) == brute(rows, 13)
 
 
