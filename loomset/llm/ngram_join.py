@@ -7,11 +7,12 @@ the prefix: two sets of similarity 0.8 share a gram there.
 1. One pass hashes every document to its class and counts shingles; a second gives the prefix rows.
 2. Prefix rows meet by gram. A gram of one class ends there. A pair has to pass the length filter, the positional
    filter and the suffix filter (a bound on the sets' difference from counts over 256 parts of the hash space).
-   Of the pairs of a gram that pass, a forest that would join them all is compared first, each pair's texts once,
-   and what verifies is contracted to components.
-3. Grams that still join different components give all the pairs between them that pass the filters, which are
-   compared too. So a large group of near copies is never spelled out in pairs, and no link between components
-   is lost.
+   In turns, each class shows its first few open grams; of the pairs of a gram that pass, a forest that would join
+   them all is compared, each pair's texts once, and what verifies is contracted to components. Grams of one
+   component are closed.
+3. Grams that still join different components give all the pairs between them that pass the filters, each pair at
+   the first place the two classes' open grams meet, and those not yet compared are. So a large group of near
+   copies is never spelled out in pairs, and no link between components is lost.
 
 Very frequent grams are dealt out by salt where single ones are sorted out, and in blocks of bounded size later.
 
@@ -26,10 +27,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomset.llm.common import int64s, keyed, mixed, same_row, slices, text_buffers, windows, words, written
+from loomset.llm.common import discard, int64s, keyed, mixed, same_row, slices, text_buffers, windows, words, written
 from loomset.llm.components import components
 
 SHINGLE = 5
@@ -39,6 +40,10 @@ CELLS, BLOCKS, PARTS = 1 << 20, 64, 256
 HOT_TIMES, HOT_ROWS = 8, 50_000
 #: Classes of one gram that are compared with each other in one task.
 BLOCK_ROWS = 2000
+#: Open grams of a class in a turn of forests; turns at most; a turn that joins less than one in so many open classes is the last.
+RANKS, TURNS, TURN_SHARE = 6, 8, 50
+#: Open grams before a place that tell whether two classes have met before.
+LAST = 6
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -247,25 +252,37 @@ def forest(keys: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray], whol
         keys[np.isin(keys, keys[ks[first]])] = keys[j]
 
 
-def candidates(rows: DataFrame, parts: DataFrame, percent: int, whole: bool) -> DataFrame:
-    """Pairs (a, b) of different components that share a prefix gram and pass the filters. rows: t, c, n, i, comp; parts: c, parts.
+def still_open(rows: DataFrame) -> DataFrame:
+    """The rows t, c, n, i, comp of grams that more than one component has, with their number m in the gram."""
+    grams = rows.groupBy("t").agg(F.count("*").alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y")
+    return rows.select("t", "c", "n", "i", "comp").join(grams.select("t", "m"), "t")
 
-    All such pairs if whole, else of each gram those of a forest. A gram's classes are compared in blocks: its rows
-    are dealt to every pair of blocks, so that a task holds two blocks of one gram at most. The parts, which are
-    wide, join only rows of grams that are still open, just before those are dealt.
+
+def candidates(rows: DataFrame, parts: DataFrame, percent: int, turn: int | None) -> DataFrame:
+    """Pairs (a, b) of different components that share a prefix gram and pass the filters. rows: those of still_open(); parts: c, parts.
+
+    With a turn, each class shows its first RANKS open grams only, and each gram gives a forest, in an order that
+    changes from turn to turn. Without, all pairs come out, each where the two classes' open grams first meet: a
+    gram is passed over if an earlier one is among the LAST before it of both. A gram's classes are compared in
+    blocks: its rows are dealt to every pair of blocks, so that a task holds two blocks of one gram at most.
     """
-    open_ = rows.groupBy("t").agg(F.count("*").alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y")
-    open_ = open_.select("t", F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("blocks"))
+    whole = turn is None
+    along = Window.partitionBy("c").orderBy("i")
+    if whole:  # c stands for no gram: it's never another class's
+        placed = rows.withColumn("before", F.array(*(F.coalesce(F.lag("t", k).over(along), "c") for k in range(1, LAST + 1))))
+    else:
+        placed = rows.withColumn("rank", F.row_number().over(along)).filter(F.col("rank") <= RANKS).drop("rank").withColumn("before", F.array().cast("array<long>"))
+    placed = placed.join(parts, "c").withColumn("blocks", F.ceil(F.col("m") / BLOCK_ROWS).cast("int"))
     own = F.pmod(F.hash("c"), F.col("blocks"))
     met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, own).alias("x"), F.greatest(k, own).alias("y")))
-    placed = rows.join(open_, "t").join(parts, "c")
-    dealt = placed.withColumn("own", own).withColumn("xy", F.explode(met)).select("t", "xy.x", "xy.y", "own", "c", "n", "i", "comp", "parts")
-    dealt = dealt.repartition("t", "x", "y").sortWithinPartitions("t", "x", "y", "n")
+    dealt = placed.withColumn("own", own).withColumn("xy", F.explode(met)).select("t", "xy.x", "xy.y", "own", "c", "n", "i", "comp", "parts", "before")
+    dealt = dealt.repartition("t", "x", "y").sortWithinPartitions("t", "x", "y", F.xxhash64("c", F.lit(turn or 0)))
 
     def pairs_of(ready: pa.Table, at: np.ndarray) -> np.ndarray:
         x, y, own, c, n, i, comp = (ready.column(k).to_numpy() for k in range(1, 8))
         n, i = n.astype(np.int64), i.astype(np.int64)
         parts = np.frombuffer(b"".join(ready.column(8).to_pylist()), np.uint8).reshape(-1, PARTS)
+        before = ready.column(9).combine_chunks().flatten().to_numpy().reshape(ready.num_rows, -1)
         size = np.diff(at, append=ready.num_rows)
         out = []
 
@@ -276,6 +293,10 @@ def candidates(rows: DataFrame, parts: DataFrame, percent: int, whole: bool) ->
             where = np.flatnonzero(fits)
             for k in range(0, len(where), 20_000):
                 w = where[k : k + 20_000]
+                met = np.zeros(len(w), bool)
+                for p in before.T:
+                    met |= (p[a[w], None] == before[b[w]]).any(1)
+                w = w[~met]
                 apart = np.abs(parts[a[w]].astype(np.int16) - parts[b[w]]).sum(1)
                 got[w] = np.where(apart <= most[w], apart, -1)
             return got
@@ -321,6 +342,31 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
+def linked(rows: DataFrame, parts: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """node, component of every class that a link joins to another. rows: t, c, n, i; parts: c, parts; texts: c, text.
+
+    Turns of forests go on as long as they join one in TURN_SHARE of the classes that are still open; what is left
+    between components is then compared whole.
+    """
+    live = written(still_open(rows.withColumn("comp", F.col("c"))))
+    links = compared = None
+    for turn in range(TURNS):
+        pairs = candidates(live, parts, percent, turn)
+        pairs = written(pairs.join(compared, ["a", "b"], "left_anti") if compared else pairs)
+        found = written(verified(pairs, texts, size, percent))
+        compared, links = (compared.unionByName(pairs), links.unionByName(found)) if compared else (pairs, found)
+        if not (joined := found.count()):
+            break
+        labels = components(links).withColumnRenamed("component", "now")
+        relabelled = live.join(labels, live["c"] == labels["node"], "left").select("t", "c", "n", "i", F.coalesce("now", "c").alias("comp"))
+        before, live = live, written(still_open(relabelled))
+        discard(before)
+        if TURN_SHARE * joined < live.agg(F.count_distinct("c")).first()[0]:
+            break
+    pairs = candidates(live, parts, percent, None).join(compared, ["a", "b"], "left_anti")
+    return components(links.unionByName(written(verified(pairs, texts, size, percent))))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = 80) -> DataFrame:
     """doc_id, tkey, n_shingles, component_id (the smallest doc_id reachable by links) and comp (the component's key, null without shingles) of every row."""
     source = keyed(docs, id_col, text_col)
@@ -336,13 +382,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not of_docs.groupBy("doc_id", "tkey").count().filter("count > 1").isEmpty():
         texts = texts.dropDuplicates(["c"])
     texts = written(texts)
-    parts = classes.select("c", "parts")
-
-    links = written(verified(candidates(rows.withColumn("comp", F.col("c")), parts, percent, False), texts, size, percent))
-    first = components(links)
-    labelled = rows.join(first, rows["c"] == first["node"], "left").select("t", "c", "n", "i", F.coalesce("component", "c").alias("comp"))
-    more = verified(candidates(labelled, parts, percent, True), texts, size, percent)
-    whole = components(links.unionByName(written(more)))
+    whole = linked(rows, classes.select("c", "parts"), texts, size, percent)
+    discard(rows, classes, texts)
 
     joined = of_docs.join(whole, F.col("c") == F.col("node"), "left").select("doc_id", "tkey", "n", F.coalesce("component", "c").alias("comp"))
     least = joined.filter("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
