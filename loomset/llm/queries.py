@@ -30,7 +30,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = suffix_dedup.dedup_bytes(table(spark, sf_dir, "documents"))
-    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_echoes")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,12 +6,12 @@ equal minimisers, so those that occur twice do so within one minimiser's bucket.
 1. Every run is counted at its minimiser by two hashes; a minimiser with one place has no repeated window. The
    counts are pre-aggregated, and joins on hot minimisers are split by Spark.
 2. Where a bucket has one string only, many times, all its windows repeat. Where it has several, or one in which
-   the minimiser repeats, one copy of each
-   goes to a group of buckets, whose suffixes are sorted in two stages: only suffixes smaller than their
+   the minimiser repeats, one copy of each goes to a group of buckets, whose suffixes are sorted in two stages: only suffixes smaller than their
    successors are compared, the others follow from them by scans over the buckets of first bytes. Neighbours in
-   that order with a common prefix of 400 bytes are repeated windows. Buckets of more than `most` strings are
-   taken apart into windows, which Spark groups, so a task never holds one whole.
+   that order with a common prefix of 400 bytes are repeated windows. Buckets of more than `most` strings
+   or `most_bytes` bytes are taken apart into windows, which Spark groups, so a task never holds one whole.
 3. Each run learns its repeated windows from its string, and each row the byte ranges to remove.
+4. Repeats shorter than that stay, but are told of: see echoes().
 
 Null and empty texts have no bytes. A null doc_id is a document like others; repeated rows are documents that
 repeat each other. Windows never cross documents. Documents longer than a slice are read in overlapping slices.
@@ -27,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomset.llm.common import SLICE_BYTES, int64s, keyed, minimiser_runs, prefix_hashes, same_row, slices, span_hashes, text_buffers, written
+from loomset.llm.common import SLICE_BYTES, discard, int64s, keyed, minimiser_runs, prefix_hashes, same_row, slices, sliding_min, span_hashes, text_buffers, written
 
 WINDOW, GRAM = 400, 32
-#: Bytes of strings that a group of buckets has on average, and strings of one minimiser that are sorted in one task.
-BUCKET_BYTES, MOST_STRINGS = 2_000_000, 5_000
+#: Bytes of strings that a group of buckets has on average; strings of one minimiser, and their bytes, that are sorted in one task.
+BUCKET_BYTES, MOST_STRINGS, MOST_BYTES = 2_000_000, 5_000, 8_000_000
+#: Echoes: strings of ECHO bytes at the least hash of any ECHO_STEP neighbours, so each ECHO + ECHO_STEP - 1 bytes hold one whole.
+ECHO, ECHO_STEP = 160, 128
 
 
 def pieces(offs: np.ndarray, window: int, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, int, int]]:
@@ -233,31 +235,62 @@ def repeated_windows(bucket: pd.DataFrame, window: int) -> pd.DataFrame:
     return pd.DataFrame({"h": bucket["h"].to_numpy()[s], "g": bucket["g"].to_numpy()[s], "a": (a - base[s]).astype(np.int32), "b": (b - base[s] + 1).astype(np.int32)})
 
 
-def removed_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, most: int = MOST_STRINGS) -> DataFrame:
+def removed_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, most: int = MOST_STRINGS, most_bytes: int = MOST_BYTES) -> DataFrame:
     """doc_id, tkey and the byte ranges [lo, hi) to remove, as an array for each row."""
     found = runs(docs, window, gram)
     again = found.groupBy("h").agg(F.sum("p").alias("times")).filter("times > 1").select("h")
     shared = written(found.join(again, "h"))
 
     strings = shared.groupBy("h", "g").agg(F.count("*").alias("c"), F.max("p").alias("p"), F.min(F.struct("doc_id", "tkey", "start", "n")).alias("m")).select("h", "g", "c", "p", "m.*")
-    sizes = strings.groupBy("h").agg(F.count("*").alias("strings"))
+    sizes = strings.groupBy("h").agg(F.count("*").alias("strings"), F.sum(F.col("n") + window).alias("bytes"))
     kept = written(strings.join(sizes, "h"))
     mixed, plain = kept.filter("strings > 1 or p > 1"), kept.filter("strings = 1 and p = 1")
-    volume = mixed.agg(F.coalesce(F.sum(F.col("n") + window), F.lit(0)), F.coalesce(F.max("strings"), F.lit(0))).first()
+    wide = (F.col("strings") > most) | (F.col("bytes") > most_bytes)
+    volume = mixed.agg(F.coalesce(F.sum(F.col("n") + window), F.lit(0)), F.coalesce(F.max(wide), F.lit(False))).first()
     groups = max(1, int(volume[0] / bucket_bytes) + 1)
 
-    cut = cut_strings(mixed, docs, window)
-    if volume[1] > most:
-        cut = cut.join(sizes, "h")
-        apart = in_windows(cut.filter(F.col("strings") > most).dropDuplicates(["h", "g"]), window)
-        cut = cut.filter(F.col("strings") <= most).drop("strings")
+    cut = cut_strings(mixed.filter(~wide), docs, window)
     ranges = cut.groupBy(F.pmod("h", F.lit(groups)).alias("grp")).applyInPandas(lambda pdf: repeated_windows(pdf, window), "h long, g long, a int, b int")
     ranges = ranges.unionByName(plain.select("h", "g", F.lit(0).alias("a"), F.col("n").alias("b")))
-    if volume[1] > most:
-        ranges = ranges.unionByName(apart)
+    if volume[1]:
+        ranges = ranges.unionByName(in_windows(cut_strings(mixed.filter(wide), docs, window).dropDuplicates(["h", "g"]), window))
+    ranges = written(ranges)
+    discard(kept)
     hit = shared.join(ranges, ["h", "g"])
     spans = hit.select("doc_id", "tkey", (F.col("start") + F.col("a")).alias("lo"), (F.col("start") + F.col("b") + (window - 1)).alias("hi"))
-    return spans.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    spans = written(spans.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")))
+    discard(shared, ranges)
+    return spans
+
+
+def echoes(docs: DataFrame, size: int = ECHO, step: int = ECHO_STEP, gram: int = GRAM) -> DataFrame:
+    """doc_id, tkey, n_echoes: the distinct strings of `size` bytes, one at least in `size` + `step` - 1 bytes, that other documents have too.
+
+    Tells of repeats that are shorter than the windows, which stay. Places are chosen by their own bytes only, so
+    equal passages choose equal strings. None for documents without.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = text_buffers(batch.column(1))
+            for i, j, a, b in pieces(offs, size + step):
+                o = np.clip(offs[i : j + 1], a, b) - a
+                sums = prefix_hashes(data[a:b])
+                at = np.arange(max(0, b - a - gram + 1))
+                if len(at) < step:
+                    continue
+                mask = np.uint64((1 << int(b - a).bit_length()) - 1)
+                place = np.unique(sliding_min((span_hashes(sums, at, at + gram) & ~mask) | at.astype(np.uint64), step) & mask).astype(np.int64)
+                row = np.searchsorted(o, place, "right") - 1
+                inside = place + size <= o[row + 1]
+                place, row = place[inside], row[inside]
+                rows = pa.array(i + row)
+                yield pa.RecordBatch.from_arrays([int64s(span_hashes(sums, place, place + size)), batch.column(0).take(rows), batch.column(2).take(rows)], ["e", "doc_id", "tkey"])
+
+    found = docs.select("doc_id", "text", "tkey").mapInArrow(scan, "e long, doc_id long, tkey int")
+    own = F.xxhash64("doc_id", "tkey")
+    several = found.groupBy("e").agg(F.min(own).alias("x"), F.max(own).alias("y")).filter("x < y").select("e")
+    return found.join(several, "e").groupBy("doc_id", "tkey").agg(F.count_distinct("e").alias("n_echoes"))
 
 
 def in_windows(cut: DataFrame, window: int) -> DataFrame:
@@ -286,11 +319,13 @@ def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[at], reach[np.r_[at[1:] - 1, len(lo) - 1]]
 
 
-def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, most: int = MOST_STRINGS) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept (the bytes left) of every row."""
+def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, most: int = MOST_STRINGS, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (the bytes left) and n_echoes (see echoes()) of every row."""
     source = keyed(docs, id_col, text_col)
-    spans = removed_bytes(source, window, gram, bucket_bytes, most)
-    joined = source.join(spans, same_row(source, spans), "left").select(source["doc_id"], source["text"], F.expr("spans.lo").alias("lo"), F.expr("spans.hi").alias("hi"))
+    spans = removed_bytes(source, window, gram, bucket_bytes, most, most_bytes)
+    short = written(echoes(source))
+    joined = source.join(spans, same_row(source, spans), "left").join(short, same_row(source, short), "left")
+    joined = joined.select(source["doc_id"], source["text"], F.expr("spans.lo").alias("lo"), F.expr("spans.hi").alias("hi"), F.coalesce("n_echoes", F.lit(0)).cast("long").alias("n_echoes"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -307,6 +342,6 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     gone.append(int((his - los).sum()))
                     count.append(len(los))
                     kept.append(b"".join(own[x:y].tobytes() for x, y in zip(np.r_[0, his].tolist(), np.r_[los, len(own)].tolist(), strict=True)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary()), part.column(4)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "n_echoes"])
 
-    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, n_echoes long")

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 from loomset.llm import suffix_dedup as sd
-from loomset.llm.common import prefix_hashes
+from loomset.llm.common import keyed, prefix_hashes
 from tests.llm.helpers import DOCS, ODD, docs
 
 
@@ -43,10 +43,10 @@ def corpus(seed, n=50):
     return rows + [(100, "ab" * 200), (101, "ab" * 30 + "zzzz" * 60), (102, rows[0][1]), (102, rows[0][1]), (None, rows[3][1]), *odd]
 
 
-@pytest.mark.parametrize(("seed", "most", "size"), [(1, 5000, 3000), (2, 5000, 10**6), (3, 2, 3000)])
-def test_equals_brute_force(spark, seed, most, size):
+@pytest.mark.parametrize(("seed", "most", "size", "most_bytes"), [(1, 5000, 3000, 10**6), (2, 5000, 10**6, 300), (3, 2, 3000, 10**6)])
+def test_equals_brute_force(spark, seed, most, size, most_bytes):
     rows = corpus(seed)
-    got = sd.dedup_bytes(docs(spark, rows), window=40, gram=8, bucket_bytes=size, most=most).collect()
+    got = sd.dedup_bytes(docs(spark, rows), window=40, gram=8, bucket_bytes=size, most=most, most_bytes=most_bytes).collect()
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got), key=str) == brute(rows, 40)
 
 
@@ -92,3 +92,13 @@ def test_production_window_and_empty_table(spark):
     got = sd.dedup_bytes(docs(spark, rows)).collect()
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got), key=str) == brute(rows, 400)
     assert sd.dedup_bytes(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_echoes_tell_of_shorter_repeats(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdefgh é") for _ in range(1500)) for _ in range(8)]
+    texts[1] = texts[1][:700] + texts[0][300:590] + texts[1][700:]  # 287 bytes and more
+    texts[2] = texts[2][:700] + texts[3][300:440] + texts[2][700:]  # fewer than 160 bytes
+    rows = [*enumerate(texts), (20, texts[6]), (21, None), (22, ""), (None, texts[7])]
+    got = {r.doc_id: r.n_echoes for r in sd.echoes(keyed(docs(spark, rows))).collect()}
+    assert set(got) == {0, 1, 6, 20, 7, None} and got[6] == got[20] > 5 and got[7] == got[None]
