@@ -16,16 +16,16 @@ STOPWORDS = (
     "than too very just also now here there then"
 ).split()
 LABEL_WORDS = {
-    "positive": ["excellent", "amazing", "great", "wonderful", "fantastic", "love", "perfect", "best"],
-    "negative": ["terrible", "awful", "horrible", "worst", "hate", "bad", "poor"],
-    "technology": ["software", "hardware", "ai", "machine learning", "programming", "tech", "computer"],
-    "business": ["company", "market", "stock", "finance", "investment", "economy"],
-    "health": ["medical", "health", "doctor", "hospital", "medicine", "treatment"],
-    "sports": ["game", "team", "player", "championship", "football", "basketball"],
-    "education": ["university", "school", "student", "learning", "course", "teacher"],
-    "entertainment": ["movie", "music", "celebrity", "show", "actor", "singer"],
-    "science": ["research", "study", "experiment", "scientist", "discovery"],
-    "politics": ["government", "election", "president", "minister", "policy"],
+    "positive": ["excellent", "amazing", "great", "wonderful", "fantastic", "love", "perfect", "best", "عالی", "فوق‌العاده", "بهترین"],
+    "negative": ["terrible", "awful", "horrible", "worst", "hate", "bad", "poor", "افتضاح", "بد", "ضعیف"],
+    "technology": ["software", "hardware", "ai", "machine learning", "programming", "tech", "computer", "نرم‌افزار", "هوش مصنوعی"],
+    "business": ["company", "market", "stock", "finance", "investment", "economy", "شرکت", "بازار", "سرمایه"],
+    "health": ["medical", "health", "doctor", "hospital", "medicine", "treatment", "پزشکی", "سلامت", "درمان"],
+    "sports": ["game", "team", "player", "championship", "football", "basketball", "ورزش", "بازی", "تیم"],
+    "education": ["university", "school", "student", "learning", "course", "teacher", "دانشگاه", "مدرسه", "آموزش"],
+    "entertainment": ["movie", "music", "celebrity", "show", "actor", "singer", "فیلم", "موسیقی", "سینما"],
+    "science": ["research", "study", "experiment", "scientist", "discovery", "تحقیق", "علم", "کشف"],
+    "politics": ["government", "election", "president", "minister", "policy", "دولت", "انتخابات", "سیاست"],
 }
 SPACES = r"[ \t\n\x0B\f\r]+"
 
@@ -49,13 +49,12 @@ def total_length(strings: Column) -> Column:
 
 
 def syllables(text: Column) -> Column:
-    """Vowel groups of each word, a silent final e apart, one at least."""
-
-    def of(w: Column) -> Column:
-        n = F.regexp_count(w, F.lit("[aeiouy]+"))
-        return F.greatest(F.lit(1), n - F.when(w.endswith("e") & (n > 1), 1).otherwise(0))
-
-    return F.aggregate(words(text), F.lit(0).cast("long"), lambda n, w: n + of(w))
+    """Vowel groups of each word, a silent final e apart, one at least; counted over the whole text, since no group crosses words."""
+    low, letter, other = F.lower(text), r"[\p{L}\p{N}_]", r"[\p{L}\p{N}_&&[^aeiouy]]"
+    groups = F.regexp_count(low, F.lit("[aeiouy]+"))
+    silent = F.regexp_count(low, F.lit(rf"[aeiouy]{other}++[aeiouy]*e(?!{letter})"))
+    without = F.regexp_count(low, F.lit(rf"(?<!{letter}){other}++(?!{letter})"))
+    return (groups - silent + without).cast("long")
 
 
 def cleaned(text: Column) -> Column:

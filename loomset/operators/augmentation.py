@@ -45,3 +45,61 @@ def augmented(items: DataFrame, key: str, per_item: int, seed: int = 0, rules: d
         upto += weight / total
         kind = F.when(draw < upto, name) if kind is None else kind.when(draw < upto, name)
     return x.withColumn("augmentation_type", kind.otherwise(list(rules)[-1]))
+
+
+# Synonyms, and the keys beside each key.
+SYNONYMS = {
+    "good": ["great", "excellent", "fine", "nice"],
+    "bad": ["poor", "terrible", "awful", "horrible"],
+    "big": ["large", "huge", "enormous", "massive"],
+    "small": ["tiny", "little", "miniature", "compact"],
+    "happy": ["joyful", "pleased", "glad", "delighted"],
+    "sad": ["unhappy", "sorrowful", "melancholy", "depressed"],
+    "fast": ["quick", "rapid", "swift", "speedy"],
+    "slow": ["sluggish", "gradual", "unhurried", "leisurely"],
+}
+KEYS_BESIDE = {
+    "a": "sqwz", "b": "vghn", "c": "xdfv", "d": "erfcxs", "e": "wrsdf", "f": "rtgvcd", "g": "tyhbvf", "h": "yujnbg", "i": "uojkl",
+    "j": "uikmnh", "k": "iolmj", "l": "opk", "m": "njk", "n": "bhjm", "o": "iplk", "p": "ol", "q": "wa", "r": "etdf", "s": "wedxza",
+    "t": "ryfg", "u": "yihj", "v": "cfgb", "w": "qesa", "x": "zsdc", "y": "tugh", "z": "asx",
+}
+
+
+def _table(values: dict) -> Column:
+    return F.create_map(*(x for k, v in values.items() for x in (F.lit(k), F.array(*(F.lit(s) for s in v)))))
+
+
+def synonyms(items: DataFrame, key: str, text: str, n: int = 2, seed: int = 0) -> DataFrame:
+    """The n words with a synonym that the draw puts first replaced, with their capital; a text without any stays as it is."""
+    x = items.select(key, F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("w", _words(F.col("t")))
+    draws = F.transform("w", lambda v, i: F.when(F.lower(v).isin(list(SYNONYMS)), F.struct(chance(seed, F.col(key), i).alias("c"), i.alias("i"))))
+    x = x.withColumn("chosen", F.transform(F.slice(F.array_sort(F.array_compact(draws)), 1, n), lambda d: d["i"]))
+
+    def replaced(v: Column, i: Column) -> Column:
+        others = F.try_element_at(_table(SYNONYMS), F.lower(v))
+        new = F.get(others, F.floor(chance(seed, F.col(key), -i - 10) * F.size(others)).cast("int"))
+        return F.when(F.array_contains("chosen", i), F.when(F.substring(v, 1, 1) != F.lower(F.substring(v, 1, 1)), F.initcap(new)).otherwise(new)).otherwise(v)
+
+    return x.select(key, F.when(F.size("chosen") == 0, F.col("t")).otherwise(F.array_join(F.transform("w", replaced), " ")).alias("text"), F.size("chosen").alias("replaced"))
+
+
+def random_insertion(items: DataFrame, key: str, text: str, seed: int = 0) -> DataFrame:
+    """One of a text's words put at a random place."""
+    x = items.select(key, _words(F.coalesce(F.col(text), F.lit(""))).alias("w"))
+    n = F.size("w")
+    i, j = F.floor(chance(seed, F.col(key), F.lit(-3)) * n).cast("int"), F.floor(chance(seed, F.col(key), F.lit(-4)) * (n + 1)).cast("int")
+    x = x.withColumns({"i": i, "j": j})
+    both = F.concat(F.slice("w", F.lit(1), F.col("j")), F.array(F.get("w", F.col("i"))), F.slice("w", F.col("j") + 1, n))
+    return x.select(key, F.when(n == 0, "").otherwise(F.array_join(both, " ")).alias("text"))
+
+
+def mistyped(items: DataFrame, key: str, text: str, p: float = 0.05, seed: int = 0) -> DataFrame:
+    """Letters replaced by a key beside theirs with probability p, with their case."""
+    x = items.select(key, F.split(F.coalesce(F.col(text), F.lit("")), "").alias("c"))
+
+    def typed(c: Column, i: Column) -> Column:
+        beside = F.try_element_at(_table(KEYS_BESIDE), F.lower(c))
+        new = F.get(beside, F.floor(chance(seed, F.col(key), -i - 1) * F.size(beside)).cast("int"))
+        return F.when(beside.isNotNull() & (chance(seed, F.col(key), i) < p), F.when(c == F.lower(c), new).otherwise(F.upper(new))).otherwise(c)
+
+    return x.select(key, F.array_join(F.transform("c", typed), "").alias("text"))

@@ -98,3 +98,25 @@ def meta_tags(pages: DataFrame, key: str, html: str) -> DataFrame:
 def domain_counts(pages: DataFrame, url: str) -> DataFrame:
     """Pages of each network location, port and user included."""
     return pages.groupBy(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1).alias("domain")).agg(F.count("*").alias("pages"))
+
+
+def with_share(counts: DataFrame, n: str) -> DataFrame:
+    """Counts, which are few, with each one's share of their sum."""
+    total = counts.agg(F.sum(n).alias("total"))  # one row
+    return counts.crossJoin(F.broadcast(total)).withColumn("share", F.round(F.col(n) / F.col("total"), 6)).drop("total")
+
+
+def member_groups(members: DataFrame, group: str, kind: str) -> DataFrame:
+    """Each group's number of members, its kinds by name, and whether it has several."""
+    return members.groupBy(group).agg(F.count("*").alias("members"), F.array_join(F.array_sort(F.collect_set(kind)), ",").alias("kinds"), (F.count_distinct(kind) > 1).alias("aligned"))
+
+
+def group_coverage(members: DataFrame, group: str, kind: str) -> DataFrame:
+    """Items of each kind, how many are in a group, and the share of those."""
+    return members.groupBy(F.col(kind).alias("kind")).agg(F.count("*").alias("items"), F.count(group).alias("grouped"), F.round(F.count(group) / F.count("*"), 6).alias("coverage"))
+
+
+def state_counts(jobs: DataFrame, kind: str, state: str) -> DataFrame:
+    """Jobs of each kind by state, and the state's share within the kind."""
+    n = jobs.groupBy(F.col(kind).alias("kind"), F.col(state).alias("state")).agg(F.count("*").alias("n"))
+    return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("kind")), 6))

@@ -73,3 +73,49 @@ def connected(edges: DataFrame) -> DataFrame:
         labels = new.select("id", "component")
         if new.filter("old <> component").isEmpty():
             return labels
+
+
+def neighbours(edges: DataFrame) -> DataFrame:
+    """id and the ends of its out-edges in order; a parallel edge counts again."""
+    return edges.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list("dst")).alias("neighbours"))
+
+
+def shortest_path(edges: DataFrame, start, end) -> DataFrame:
+    """step and id along a shortest way by out-edges, of equal ways that by the least nodes; no rows if there is none.
+
+    Fronts grow until one holds the end or is empty; each node keeps the least node before it.
+    """
+    kind = edges.schema["src"].dataType.simpleString()
+    seen = edges.sparkSession.createDataFrame([(start, None)], f"id {kind}, before {kind}").withColumn("step", F.lit(0))
+    front, step = seen, 0
+    while front.filter(F.col("id") == end).isEmpty():
+        step += 1
+        met = edges.join(front.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("before"))
+        front = met.join(seen.select("id"), "id", "left_anti").withColumn("step", F.lit(step)).checkpoint()
+        if front.isEmpty():
+            return seen.select("step", "id").limit(0)
+        seen = seen.unionByName(front)
+    way, at = [], end
+    while at is not None:  # one row a step, as many as the way is long
+        row = seen.filter(F.col("id") == at).first()
+        way.append((row["step"], at))
+        at = row["before"]
+    return edges.sparkSession.createDataFrame(way[::-1], f"step int, id {kind}")
+
+
+def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
+    """id and community: each node takes the label most frequent among its neighbours of either direction, the least of equal ones.
+
+    All nodes change at once, up to so many rounds; a node keeps its label where that is as frequent as any.
+    """
+    both = edges.select("src", "dst").union(edges.select("dst", "src")).filter("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("k")).checkpoint()
+    labels = nodes_of(edges).withColumn("community", F.col("id"))
+    for _ in range(rounds):
+        votes = both.join(labels.withColumnRenamed("id", "dst"), "dst").groupBy("src", "community").agg(F.sum("k").alias("k"))
+        own = labels.withColumnsRenamed({"id": "src", "community": "own"})
+        best = votes.join(own, "src").groupBy("src").agg(F.min(F.struct((-F.col("k")).alias("k"), (F.col("community") != F.col("own")).alias("other"), "community")).alias("b"))
+        new = labels.join(best, labels["id"] == best["src"], "left").select("id", F.col("community").alias("old"), F.coalesce("b.community", "community").alias("community")).checkpoint()
+        labels = new.select("id", "community")
+        if new.filter("old <> community").isEmpty():
+            break
+    return labels

@@ -39,3 +39,15 @@ def height_segments(points: DataFrame, cloud: str, segments: int = 5) -> DataFra
     k = F.floor((F.col("z") - F.col("low")) / ((F.col("high") - F.col("low")) / segments))
     x = points.join(b, cloud).filter("high > low and z < high").withColumn("segment", F.least(k, F.lit(segments - 1)))
     return x.groupBy(cloud, "segment").agg(F.count("*").alias("n"))
+
+
+def box_corners(boxes: DataFrame, key: str) -> DataFrame:
+    """The eight corners of boxes (cx, cy, cz, length, width, height) turned about the vertical axis, their distance from the centre and the volume."""
+    sign = F.array(F.lit(-1), F.lit(1))
+    x = boxes.withColumn("sx", F.explode(sign)).withColumn("sy", F.explode(sign)).withColumn("sz", F.explode(sign))
+    l, w, h = (F.col(s) * F.col(e) / 2 for s, e in (("sx", "length"), ("sy", "width"), ("sz", "height")))
+    cos, sin = F.cos("turn"), F.sin("turn")
+    return x.select(
+        key, F.round(F.col("cx") + l * cos - w * sin, 6).alias("x"), F.round(F.col("cy") + l * sin + w * cos, 6).alias("y"), F.round(F.col("cz") + h, 6).alias("z"),
+        F.round(F.col("length") * F.col("width") * F.col("height"), 6).alias("volume"), F.round(F.sqrt(l * l + w * w + h * h), 6).alias("distance"),
+    )

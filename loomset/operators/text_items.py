@@ -150,3 +150,17 @@ def tokens(items: DataFrame, key: str, text: str) -> DataFrame:
     """Words, strings, sentences and characters of a text, and its pairs of neighbouring words."""
     t = F.col(text)
     return items.select(key, F.size(X.words(t)).cast("long").alias("words"), F.size(X.pieces(t)).cast("long").alias("strings"), F.size(X.sentences(t)).cast("long").alias("sentences"), F.length(t).cast("long").alias("characters"), language.bigrams(t).alias("bigrams"))
+
+
+def hashed_embedding(items: DataFrame, key: str, text: str, size: int = 384) -> DataFrame:
+    """key, dim, value: a vector of length one whose sums are over strings of three characters within words, at the place of their MD5.
+
+    The word at place i adds 1 / (1 + ln(1 + i)). Zeros have no rows; counts are pre-aggregated by string.
+    """
+    words = items.select(key, F.posexplode(X.pieces(F.col(text))).alias("i", "w")).filter(F.length("w") >= 3)
+    grams = words.select(key, (1 / (1 + F.log(F.col("i") + 1))).alias("v"), F.explode(F.regexp_extract_all("w", F.lit("(?s)(?=(.{3}))"), F.lit(1))).alias("g"))
+    by_gram = grams.groupBy(key, "g").agg(F.sum("v").alias("v"))
+    dim = (F.conv(F.substring(F.md5("g"), 1, 8), 16, 10).cast("long") % size).cast("int")
+    v = by_gram.groupBy(key, dim.alias("dim")).agg(F.sum("v").alias("v"))
+    norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(key)))  # at most `size` rows each
+    return v.select(key, "dim", F.round(F.col("v") / norm, 5).alias("value"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -15,17 +15,40 @@ def statistics(df: DataFrame, series: str, value: str) -> DataFrame:
 
 
 def interpolated(df: DataFrame, series: str, order: list[str], value: str) -> DataFrame:
-    """Gaps filled forward, backward and linearly by place, flat beyond the ends."""
-    w = Window.partitionBy(series).orderBy(*order)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    x = df.withColumn("i", F.row_number().over(w))
+    """Gaps filled forward, backward and linearly by place, flat beyond the ends. order begins with a time.
+
+    Rows are filled within their day; the nearest known values of other days come from one row a day.
+    """
+    day = F.to_date(order[0])
+    back = Window.partitionBy(series, "day").orderBy(*order)
+    ahead = Window.partitionBy(series, "day").orderBy(*(F.desc(c) for c in order))
+    x = df.select(series, *order, value, day.alias("day")).withColumn("i", F.row_number().over(back))
     known = F.when(F.col(value).isNotNull(), F.struct(F.col("i"), F.col(value).alias("v")))
-    x = x.withColumn("p", F.last(known, ignorenulls=True).over(back)).withColumn("q", F.first(known, ignorenulls=True).over(ahead))
+    x = x.withColumn("p", F.last(known, ignorenulls=True).over(back)).withColumn("q", F.last(known, ignorenulls=True).over(ahead))
+
+    days = x.groupBy(series, "day").agg(F.count("*").alias("n"), F.min(known).alias("first"), F.max(known).alias("last"))
+    by_day = Window.partitionBy(series).orderBy("day")
+    days = days.withColumn("before", F.sum("n").over(by_day) - F.col("n"))
+
+    def placed(c: str) -> Column:
+        return F.when(F.col(c).isNotNull(), F.struct((F.col(c)["i"] + F.col("before")).alias("i"), F.col(c)["v"].alias("v")))
+
+    days = days.withColumn("earlier", F.last(placed("last"), ignorenulls=True).over(by_day.rowsBetween(Window.unboundedPreceding, -1)))
+    days = days.withColumn("later", F.last(placed("first"), ignorenulls=True).over(Window.partitionBy(series).orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)))
+    days = days.select(F.col(series).alias("s"), F.col("day").alias("d"), "before", "earlier", "later")
+    x = x.join(days, x[series].eqNullSafe(F.col("s")) & x["day"].eqNullSafe(F.col("d")))
+    x = x.withColumns({"p": F.coalesce(placed("p"), "earlier"), "q": F.coalesce(placed("q"), "later"), "i": F.col("i") + F.col("before")})
     linear = F.when(F.col(value).isNotNull(), F.col(value)).when(F.col("p").isNull(), F.col("q.v")).when(F.col("q").isNull(), F.col("p.v"))
     linear = linear.otherwise(F.col("p.v") + (F.col("q.v") - F.col("p.v")) * (F.col("i") - F.col("p.i")) / (F.col("q.i") - F.col("p.i")))
     return x.select(series, *order, F.round(linear, 6).alias("linear"), F.round("p.v", 6).alias("forward"), F.round("q.v", 6).alias("backward"), F.col(value).isNull().alias("filled"))
 
 
+def detected_period(df: DataFrame, series: str, order: list[str], value: str, most: int = 100) -> DataFrame:
+    """The first lag from 2 on whose autocorrelation is over a half; null where there's none."""
+    acf = autocorrelation(df, series, order, value, most)
+    return acf.groupBy(series).agg(F.min(F.when((F.col("lag") >= 2) & (F.col("acf") > 0.5), F.col("lag"))).alias("period"))
+
+
 def autocorrelation(df: DataFrame, series: str, order: list[str], value: str, lags: int = 10) -> DataFrame:
     """Autocorrelation at each lag, and whether it is over 0.2 in size."""
     w = Window.partitionBy(series)
