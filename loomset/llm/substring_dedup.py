@@ -4,8 +4,8 @@ Consecutive windows that share a minimiser (the run of words in them with the le
 Equal windows have equal minimisers, so a minimiser's bucket holds every occurrence of each of its windows.
 
 1. Every run is sent to its minimiser's bucket as two hashes and a place; buckets with one document end there.
-   The sums behind that are pre-aggregated, and joins on hot minimisers are split by Spark, since no step needs
-   a bucket's rows together.
+   The sums behind that are pre-aggregated and written before they are joined back, so Spark can split the
+   partition of a hot minimiser; no step needs a bucket's rows together.
 2. Where a bucket has several different strings, one copy of each travels there, packed, with the smallest
    doc_id that has it. Sorting the windows of all of them gives each window's smallest doc_id. Buckets of more
    than `most` strings, or `most_windows` windows, are taken apart into windows, which Spark groups, so a task
@@ -120,12 +120,14 @@ def sorted_windows(bucket: pd.DataFrame, window: int) -> pd.DataFrame:
 def removed_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, most: int = MOST_STRINGS, most_windows: int = MOST_WINDOWS) -> DataFrame:
     """doc_id, tkey and the word ranges [lo, hi) that windows of smaller documents cover, as an array for each row."""
     found = runs(docs, window, gram)
-    several = found.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h")
+    several = written(found.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h"))
     shared = written(found.join(several, "h"))
+    discard(several)
 
-    strings = shared.groupBy("h", "g").agg(F.min(F.struct("doc_id", "tkey", "start", "n")).alias("m")).select("h", "g", "m.*")
-    sizes = strings.groupBy("h").agg(F.count("*").alias("strings"), F.sum("n").alias("windows"))
+    strings = written(shared.groupBy("h", "g").agg(F.min(F.struct("doc_id", "tkey", "start", "n")).alias("m")).select("h", "g", "m.*"))
+    sizes = written(strings.groupBy("h").agg(F.count("*").alias("strings"), F.sum("n").alias("windows")))
     kept = written(strings.join(sizes, "h"))
+    discard(strings, sizes)
     wide = (F.col("strings") > most) | (F.col("windows") > most_windows)
     volume = kept.filter("strings > 1").agg(F.coalesce(F.sum(F.col("n") + window - 1), F.lit(0)), F.coalesce(F.max(wide), F.lit(False))).first()
     groups = max(1, int(volume[0] * 7 / bucket_bytes) + 1)

@@ -4,7 +4,8 @@ Windows of 400 bytes that share a minimiser (the 32 bytes of least hash in them)
 equal minimisers, so those that occur twice do so within one minimiser's bucket.
 
 1. Every run is counted at its minimiser by two hashes; a minimiser with one place has no repeated window. The
-   counts are pre-aggregated, and joins on hot minimisers are split by Spark.
+   counts are pre-aggregated and written before they are joined back: Spark splits the partition of a hot
+   minimiser only where both sides of the join come from tables.
 2. Where a bucket has one string only, many times, all its windows repeat. Where it has several, or one in which
    the minimiser repeats, one copy of each goes to a group of buckets, whose suffixes are sorted in two stages: only suffixes smaller than their
    successors are compared, the others follow from them by scans over the buckets of first bytes. Neighbours in
@@ -237,13 +238,15 @@ def repeated_windows(bucket: pd.DataFrame, window: int) -> pd.DataFrame:
 
 def removed_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, most: int = MOST_STRINGS, most_bytes: int = MOST_BYTES) -> DataFrame:
     """doc_id, tkey and the byte ranges [lo, hi) to remove, as an array for each row."""
-    found = runs(docs, window, gram)
-    again = found.groupBy("h").agg(F.sum("p").alias("times")).filter("times > 1").select("h")
+    found = written(runs(docs, window, gram))
+    again = written(found.groupBy("h").agg(F.sum("p").alias("times")).filter("times > 1").select("h"))
     shared = written(found.join(again, "h"))
+    discard(found, again)
 
-    strings = shared.groupBy("h", "g").agg(F.count("*").alias("c"), F.max("p").alias("p"), F.min(F.struct("doc_id", "tkey", "start", "n")).alias("m")).select("h", "g", "c", "p", "m.*")
-    sizes = strings.groupBy("h").agg(F.count("*").alias("strings"), F.sum(F.col("n") + window).alias("bytes"))
+    strings = written(shared.groupBy("h", "g").agg(F.count("*").alias("c"), F.max("p").alias("p"), F.min(F.struct("doc_id", "tkey", "start", "n")).alias("m")).select("h", "g", "c", "p", "m.*"))
+    sizes = written(strings.groupBy("h").agg(F.count("*").alias("strings"), F.sum(F.col("n") + window).alias("bytes")))
     kept = written(strings.join(sizes, "h"))
+    discard(strings, sizes)
     mixed, plain = kept.filter("strings > 1 or p > 1"), kept.filter("strings = 1 and p = 1")
     wide = (F.col("strings") > most) | (F.col("bytes") > most_bytes)
     volume = mixed.agg(F.coalesce(F.sum(F.col("n") + window), F.lit(0)), F.coalesce(F.max(wide), F.lit(False))).first()
@@ -287,10 +290,12 @@ def echoes(docs: DataFrame, size: int = ECHO, step: int = ECHO_STEP, gram: int =
                 rows = pa.array(i + row)
                 yield pa.RecordBatch.from_arrays([int64s(span_hashes(sums, place, place + size)), batch.column(0).take(rows), batch.column(2).take(rows)], ["e", "doc_id", "tkey"])
 
-    found = docs.select("doc_id", "text", "tkey").mapInArrow(scan, "e long, doc_id long, tkey int")
+    found = written(docs.select("doc_id", "text", "tkey").mapInArrow(scan, "e long, doc_id long, tkey int"))
     own = F.xxhash64("doc_id", "tkey")
-    several = found.groupBy("e").agg(F.min(own).alias("x"), F.max(own).alias("y")).filter("x < y").select("e")
-    return found.join(several, "e").groupBy("doc_id", "tkey").agg(F.count_distinct("e").alias("n_echoes"))
+    several = written(found.groupBy("e").agg(F.min(own).alias("x"), F.max(own).alias("y")).filter("x < y").select("e"))
+    out = written(found.join(several, "e").groupBy("doc_id", "tkey").agg(F.size(F.collect_set("e")).alias("n_echoes")))
+    discard(found, several)
+    return out
 
 
 def in_windows(cut: DataFrame, window: int) -> DataFrame:
@@ -323,7 +328,7 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes left) and n_echoes (see echoes()) of every row."""
     source = keyed(docs, id_col, text_col)
     spans = removed_bytes(source, window, gram, bucket_bytes, most, most_bytes)
-    short = written(echoes(source))
+    short = echoes(source)
     joined = source.join(spans, same_row(source, spans), "left").join(short, same_row(source, short), "left")
     joined = joined.select(source["doc_id"], source["text"], F.expr("spans.lo").alias("lo"), F.expr("spans.hi").alias("hi"), F.coalesce("n_echoes", F.lit(0)).cast("long").alias("n_echoes"))
 
