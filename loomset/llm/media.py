@@ -177,10 +177,11 @@ def store_payload(payload: bytes) -> bytes:
     return encode_pgm(np.frombuffer(padded, np.uint8).reshape(-1, WIDTH))
 
 
-def stored_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def stored_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile: int = 32) -> DataFrame:
     """Every whole text stored as an image, and read back from the stored bytes; equal texts get equal values.
 
-    Returns doc_id, n_bytes, media (the PGM file), payload (decoded from it) and feature (the difference hash).
+    Returns doc_id, n_bytes, media (the PGM file), payload (decoded from it), feature (the difference hash) and npy
+    (the image resized to a tile, as an NPY file).
     A null text is empty: one block of padding. A null doc_id stays null.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
@@ -193,11 +194,11 @@ def stored_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 media = [store_payload(p) for p in payloads]
                 pixels = [decode(m) for m in media]
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array([len(p) for p in payloads], pa.int64()), pa.array(media, pa.binary()), pa.array([p.tobytes() for p in pixels], pa.binary()), pa.array([difference_hash(p) for p in pixels], pa.string())],
-                    ["doc_id", "n_bytes", "media", "payload", "feature"],
+                    [rows.column(0), pa.array([len(p) for p in payloads], pa.int64()), pa.array(media, pa.binary()), pa.array([p.tobytes() for p in pixels], pa.binary()), pa.array([difference_hash(p) for p in pixels], pa.string()), pa.array([npy_tile(p, tile) for p in pixels], pa.binary())],
+                    ["doc_id", "n_bytes", "media", "payload", "feature", "npy"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary, payload binary, feature string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary, payload binary, feature string, npy binary")
 
 
 def digests(stored: DataFrame) -> DataFrame:
@@ -211,4 +212,5 @@ def digests(stored: DataFrame) -> DataFrame:
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
+        F.sha2("npy", 256).alias("tile_sha256"),
     )

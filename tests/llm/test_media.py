@@ -57,5 +57,6 @@ def test_query(spark):
         r = by[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-32:]))
         assert r.media_sha256 == hashlib.sha256(media.store_payload(raw)).hexdigest() and r.media_bytes == len(media.store_payload(raw))
+        assert r.tile_sha256 == hashlib.sha256(media.npy_tile(media.decode(media.store_payload(raw)), 32)).hexdigest()
     assert by[8].feature == by[9].feature
     assert media.digests(media.stored_text(spark.createDataFrame([], DOCS))).count() == 0

@@ -84,3 +84,31 @@ def test_filters_lose_no_pair():
         assert len(first)
         fits, most = nj.possible(*(np.array([v]) for v in (len(x), len(y), px.searchsorted(first[0]), py.searchsorted(first[0]))), 80)
         assert fits[0] and len(np.setxor1d(x, y)) <= most[0]
+
+
+def test_pairs_are_given_about_once(spark, monkeypatch):
+    """Long near copies just below and above the threshold: few rows for each pair, and no link lost."""
+    rng = random.Random(7)
+    vocab = [f"w{i}" for i in range(5000)]
+    rows = []
+    for base in range(3):
+        w = [rng.choice(vocab) for _ in range(1500 + 500 * base)]
+        for k in range(16):
+            x = list(w)
+            for at in rng.sample(range(len(x)), len(x) * (10 + k) // 1000):
+                x[at] = rng.choice(vocab)
+            rows.append((base * 100 + k, " ".join(x)))
+    made, give, frame = [], nj.candidates, type(spark.range(0))
+    distinct = frame.distinct
+
+    def counted(*args):
+        out = give(*args)
+        made.append((args[-1], out.count(), out.dropDuplicates(["a", "b"]).count()))
+        return out
+
+    monkeypatch.setattr(nj, "candidates", counted)
+    monkeypatch.setattr(frame, "distinct", lambda self: self if self.columns == ["a", "b"] else distinct(self))
+    got = nj.near_duplicates(docs(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)
+    turn, given, different = made[-1]
+    assert turn is None and given <= 2 * different + 10
