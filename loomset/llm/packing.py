@@ -6,12 +6,14 @@ Bins left with more than `slack` free tokens are cut into sequences whose length
 no padding.
 
 Null and empty texts are the end token alone. Rows are packed one by one, so repeated rows are packed as often
-as they occur; a null doc_id is carried along. No group depends on a key of the data, so none can be hot.
+as they occur; a null doc_id is carried along. Groups are dealt by doc_id, place and ids together, so no doc_id makes
+one hot; only rows that are equal in all of it share a group.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import math
 import re
 import struct
@@ -42,6 +44,20 @@ def tokenizer_path() -> str:
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]+)([!-&(-/:-@\\[-`{-~]*)")
 
 
+#: The steps before the model that the short cut of word_encoder rests on.
+_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
+def by_words(tok) -> bool:
+    """Whether a tokenizer's file is of the kind whose ids can be looked up word by word."""
+    if not (tok.normalizer and tok.pre_tokenizer):
+        return False
+    normal, pre = (json.loads(p.__getstate__()) for p in (tok.normalizer, tok.pre_tokenizer))
+    steps = pre.get("pretokenizers", [])
+    return normal.get("normalizers") == _NORMALIZER and len(steps) == 2 and steps[0] == _SPLIT and steps[1].get("type") == "ByteLevel" and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+
+
 def byte_letters() -> dict[int, str]:
     """The visible letter that byte-level tokenizers write for each byte: itself, or one of those from 256 on."""
     seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -54,18 +70,24 @@ def word_encoder(path: str) -> Callable[[bytes], bytes]:
 
     The pre-tokenizer never joins across a space or a line break, so ids of the words between them are looked up
     one by one. A new word goes to the tokenizer; if it is of Latin letters, and so a single pre-token but for
-    punctuation at its end, straight to the tokenizer's model, which is several times quicker.
+    punctuation at its end, straight to the tokenizer's model, which is several times quicker. Files of another kind
+    are given whole texts.
     """
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
     if tok.get_vocab_size() > 1 << 16:
         raise ValueError("ids don't fit 16 bits")
+    tok.no_truncation()
+    tok.no_padding()
     model, letters = tok.model, byte_letters()
 
     def packed(ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}H", *ids)
 
+    if not by_words(tok):
+        return lambda text: packed(tok.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids)
+
     @functools.lru_cache(4096)
     def whole(word: str) -> bytes:
         return packed(tok.encode(word, add_special_tokens=False).ids)
@@ -180,7 +202,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     cut = tokenised(docs, id_col, text_col, tokenizer).select(
         "doc_id", (F.octet_length("ids") / 2).cast("long").alias("doc_tokens"), F.posexplode(F.expr(f"transform(sequence(0, (octet_length(ids) - 1) div {step}), k -> substring(ids, k * {step} + 1, {step}))")).alias("cut", "ids")
     )
-    dealt = cut.withColumn("grp", F.pmod(F.xxhash64("doc_id", "cut", "doc_tokens", F.lit(seed)), F.lit(groups)))
+    dealt = cut.withColumn("grp", F.pmod(F.xxhash64("doc_id", "cut", "doc_tokens", "ids", F.lit(seed)), F.lit(groups)))
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         # any order of arrival gives the same packing

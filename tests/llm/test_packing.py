@@ -61,3 +61,39 @@ def test_ids_equal_the_tokenizer(spark):
         total = own[-1].offset + own[-1].length
         assert total <= 4096 and (total >= 4096 - packing.SLACK or total & (total - 1) == 0)
     assert packing.pack(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_other_tokenizers_are_given_whole_texts(spark, tmp_path):
+    """A file that keeps the case of letters: none of the short cuts hold."""
+    import json
+    from pathlib import Path
+
+    from tokenizers import Tokenizer
+
+    made = json.loads(Path(packing.tokenizer_path()).read_text())
+    made["normalizer"] = {"type": "NFC"}
+    made["truncation"] = {"direction": "Right", "max_length": 3, "strategy": "LongestFirst", "stride": 0}
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(made))
+    tok = Tokenizer.from_file(str(path))
+    tok.no_truncation()
+    assert packing.by_words(Tokenizer.from_file(packing.tokenizer_path())) and not packing.by_words(tok)
+    rows = [(1, "Upper and LOWER  words\nhere"), (2, None), (3, "Don't")]
+    got = {r.doc_id: np.frombuffer(r.ids, "<u2").tolist() for r in packing.tokenised(docs(spark, rows), tokenizer=str(path)).collect()}
+    assert got == {i: tok.encode(t or "", add_special_tokens=False).ids + [packing.END] for i, t in rows}
+
+
+def test_one_doc_id_fills_many_groups(spark):
+    rows = [(None, " ".join(f"w{k} x{k * 7 % 1000}" for k in range(i, i + 40))) for i in range(400)]
+    pieces = packing.pack(docs(spark, rows), capacity=4096).collect()
+    many = packing.GROUP_BYTES
+    try:
+        packing.GROUP_BYTES = 4000
+        dealt = packing.pack(docs(spark, rows)).collect()
+    finally:
+        packing.GROUP_BYTES = many
+    assert sum(p.length for p in pieces) == sum(p.length for p in dealt)
+    groups = {}
+    for p in dealt:
+        groups[p.sequence_id >> 24] = groups.get(p.sequence_id >> 24, 0) + 1
+    assert len(groups) > 20 and max(groups.values()) < 60
