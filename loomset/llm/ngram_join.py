@@ -398,5 +398,6 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = places.select("comp", *place)
     best = placed.filter("comp is not null").groupBy("comp").agg(F.min(F.struct("__null", "__id", "__tkey")).alias("m")).select("m.__id", "m.__null", "m.__tkey")
     stay = best.unionByName(placed.filter("comp is null").select("__id", "__null", "__tkey")).distinct()
-    own = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "__null": F.col(id_col).isNull(), "__tkey": F.hash(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
-    return own.join(stay, ["__id", "__null", "__tkey"], "left_semi").dropDuplicates(["__id", "__null", "__tkey"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    key = [F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("__id"), F.col(id_col).isNull().alias("__null"), F.hash(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("__tkey")]
+    own = docs.select(F.struct("*").alias("row"), *key)  # in a struct no column's name can clash
+    return own.join(stay, ["__id", "__null", "__tkey"], "left_semi").dropDuplicates(["__id", "__null", "__tkey"]).select("row.*")

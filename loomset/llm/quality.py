@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from loomset.llm.common import prefix_hashes, slices, span_hashes, text_buffers, words
 
@@ -83,7 +84,7 @@ def per_row_sum(values: np.ndarray, rows: np.ndarray) -> np.ndarray:
 def with_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows' other columns and the statistics of their texts, in place of the text."""
     kept = [c for c in df.columns if c != text_col]
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept) + "".join(f", __{c} double" for c in STATISTICS)
+    schema = StructType([*(df.schema[c] for c in kept), *(StructField(f"__{c}", DoubleType()) for c in STATISTICS)])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -92,7 +93,7 @@ def with_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
             x = np.concatenate(parts) if parts else np.zeros((0, len(STATISTICS)))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(np.ascontiguousarray(x[:, k])) for k in range(x.shape[1]))], [*kept, *(f"__{c}" for c in STATISTICS)])
 
-    return df.select(*(F.col(f"`{c}`") for c in kept), F.col(text_col).cast("string").alias("__text")).mapInArrow(scan, schema.removeprefix(", "))
+    return df.select(*(F.col(f"`{c}`") for c in kept), F.col(text_col).cast("string").alias("__text")).mapInArrow(scan, schema)
 
 
 #: A condition: statistic, whether it must be larger, threshold.
@@ -191,12 +192,14 @@ def fold(id_col: str = "doc_id") -> Column:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = TRAINING_ROWS) -> RuleModel:
     """A model of labels.quality from at most so many labelled documents outside the held-out fold.
 
-    The sample is a broadcast of two columns whose size its bound proves.
+    The sample is a broadcast of two columns whose size its bound proves; the bound holds for the rows that reach the
+    driver too (numbers, no texts), however often a doc_id repeats.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col(label).cast("int").alias("__label")).filter((fold("__id") != 0) & F.col("__label").isin(0, 1))
     chosen = known.orderBy(F.xxhash64("__id"), "__label").limit(most)
     taught = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").alias("text")).join(F.broadcast(chosen), "__id").select("__label", "text")
-    got = np.array(with_statistics(taught).toPandas(), float).reshape(-1, len(STATISTICS) + 1)
+    numbers = with_statistics(taught)
+    got = np.array(numbers.orderBy(F.xxhash64(*numbers.columns), *numbers.columns).limit(most).toPandas(), float).reshape(-1, len(STATISTICS) + 1)
     got = got[np.lexsort(got.T[::-1])]  # so that the order of arrival doesn't matter
     return fit_rules(got[:, 1:], got[:, 0])
 
@@ -210,6 +213,5 @@ def scored(docs: DataFrame, model: RuleModel, threshold: float = THRESHOLD) -> D
 
 def kept(docs: DataFrame, model: RuleModel, threshold: float = THRESHOLD) -> DataFrame:
     """The rows that the model doesn't reject, all their columns as they were."""
-    text = docs.withColumn("__kept_text", F.col("text")).withColumnRenamed("text", "__t")
-    x = with_statistics(text, "__t").filter(model.score() >= threshold)
-    return x.select(*(F.col("__kept_text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+    whole = docs.select(F.struct("*").alias("row"), "text")  # in a struct no column's name can clash
+    return with_statistics(whole).filter(model.score() >= threshold).select("row.*")

@@ -112,3 +112,13 @@ def test_pairs_are_given_about_once(spark, monkeypatch):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)
     turn, given, different = made[-1]
     assert turn is None and given <= 2 * different + 10
+
+
+def test_one_of_each_keeps_clashing_columns(spark):
+    base = " ".join(f"w{k}" for k in range(40))
+    d = docs(spark, [(1, base), (2, base + " more"), (3, "another text of its own words"), (None, None)])
+    odd = d.selectExpr("*", "doc_id + 100 AS `__id`", "lang AS `__tkey`", "source AS comp", "text AS row", "1 AS tkey", "2 AS `__null`")
+    got = nj.one_of_each(odd)
+    assert got.columns == odd.columns
+    assert sorted((r.doc_id or 0, r["__id"], r["__tkey"], r.comp, r.row, r.tkey, r["__null"]) for r in got.filter("doc_id is not null").collect()) == [(1, 101, "en", "s", base, 1, 2), (3, 103, "en", "s", "another text of its own words", 1, 2)]
+    assert got.count() == 3

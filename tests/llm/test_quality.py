@@ -92,3 +92,17 @@ def test_kept_rows_and_empty_table(spark):
     assert {r.doc_id for r in good.collect()} == {r.doc_id for r in q.scored(d, model).collect() if r.predicted}
     none = spark.createDataFrame([], DOCS)
     assert q.scored(none, q.fit(none, labels)).count() == 0
+
+
+def test_clashing_names_and_repeated_ids(spark, monkeypatch):
+    """Columns named as the operator's own stay as they were; repeated doc_ids don't outgrow the bound."""
+    d, labels, _ = tables(spark, 200)
+    model = q.fit(d, labels)
+    odd = d.selectExpr("*", "doc_id AS `__t`", "text AS `__kept_text`", "lang AS `__n_bytes`", "source AS `a b`", "n_chars AS row", "1 AS `__text`")
+    got = q.kept(odd, model)
+    assert got.columns == odd.columns and sorted(map(str, got.select(d.columns).collect())) == sorted(map(str, q.kept(d, model).collect()))
+    assert all(r["__t"] == r.doc_id and r["__kept_text"] == r.text and r["__n_bytes"] == r.lang for r in got.collect())
+    sizes = []
+    monkeypatch.setattr(q, "fit_rules", lambda x, y: sizes.append(len(y)))
+    q.fit(d.union(d).union(d), labels, most=50)
+    assert sizes == [50]
