@@ -53,13 +53,16 @@ def zscore_outliers(df: DataFrame, key: str, value: str, threshold: float = 3.0)
     return df.crossJoin(F.broadcast(one)).filter("s > 0").select(key, value, F.round(z, 4).alias("z")).filter(F.abs("z") > threshold)  # a row of two numbers
 
 
-def iqr_fences(df: DataFrame, value: str, multiplier: float = 1.5) -> DataFrame:
+def iqr_fences(df: DataFrame, value: str, multiplier: float = 1.5, buckets: int = 1024) -> DataFrame:
     """The lower and upper quartile as the n div 4-th and 3n div 4-th value (from 0), and the fences around them.
 
-    Values are counted first, so the order statistics come from distinct values and running counts.
+    Values are counted first, so the order statistics come from distinct values and running counts, within equal
+    ranges between the least and the largest value.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    parts = counts.withColumn("bucket", F.floor(F.col("v") / 1000.0))
+    ends = counts.agg(F.min("v").cast("double").alias("least"), F.max("v").cast("double").alias("most"))
+    place = F.try_divide(F.col("v").cast("double") - F.col("least"), F.col("most") - F.col("least"))  # NaN or null, and so one bucket, where the ends aren't finite or are equal
+    parts = counts.crossJoin(F.broadcast(ends)).withColumn("bucket", F.coalesce(F.floor(F.nanvl(place, F.lit(0.0)) * buckets), F.lit(0)))  # a row of two numbers
     sums = parts.groupBy("bucket").agg(F.sum("c").alias("k"))
     before = sums.select("bucket", (F.sum("k").over(Window.orderBy("bucket")) - F.col("k")).alias("before"), F.sum("k").over(Window.partitionBy()).alias("n"))
     run = parts.join(before, "bucket").withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy("bucket").orderBy("v")))
