@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomset.operators import quantiles
+
 
 def _one_by_one(df: DataFrame, columns: list[str], of) -> DataFrame:
     """One row for each column, all out of a single aggregate over the table."""
@@ -20,12 +22,12 @@ def column_stats(df: DataFrame, columns: list[str]) -> DataFrame:
 
     def of(c: str) -> list:
         v = F.col(c).cast("double")
-        return [
-            F.count(v).alias("n"), F.count_if(v.isNull()).alias("nulls"), F.min(v).alias("min"), F.max(v).alias("max"), F.round(F.avg(v), 4).alias("mean"), F.round(F.stddev_pop(v), 4).alias("std"),
-            *(F.round(F.percentile(v, q), 4).alias(name) for q, name in ((0.25, "q25"), (0.5, "median"), (0.75, "q75"))),
-        ]
+        return [F.count(v).alias("n"), F.count_if(v.isNull()).alias("nulls"), F.min(v).alias("min"), F.max(v).alias("max"), F.round(F.avg(v), 4).alias("mean"), F.round(F.stddev_pop(v), 4).alias("std")]
 
-    return _one_by_one(df, columns, of)
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("g"), F.col(c).cast("double").alias("v")) for c in columns)))
+    quartiles = quantiles.percentiles(df.select(each.alias("r")).select("r.*").filter("v is not null"), {"q25": 0.25, "median": 0.5, "q75": 0.75})
+    quartiles = quartiles.select(F.col("g").alias("column"), *(F.round(q, 4).alias(q) for q in ("q25", "median", "q75")))
+    return _one_by_one(df, columns, of).join(quartiles, "column", "left")
 
 
 def categorical_top(df: DataFrame, columns: list[str], top: int = 10) -> DataFrame:
@@ -53,24 +55,10 @@ def zscore_outliers(df: DataFrame, key: str, value: str, threshold: float = 3.0)
     return df.crossJoin(F.broadcast(one)).filter("s > 0").select(key, value, F.round(z, 4).alias("z")).filter(F.abs("z") > threshold)  # a row of two numbers
 
 
-def iqr_fences(df: DataFrame, value: str, multiplier: float = 1.5, buckets: int = 1024) -> DataFrame:
-    """The lower and upper quartile as the n div 4-th and 3n div 4-th value (from 0), and the fences around them.
-
-    Values are counted first, so the order statistics come from distinct values and running counts, within equal
-    ranges between the least and the largest value.
-    """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    ends = counts.agg(F.min("v").cast("double").alias("least"), F.max("v").cast("double").alias("most"))
-    place = F.try_divide(F.col("v").cast("double") - F.col("least"), F.col("most") - F.col("least"))  # NaN or null, and so one bucket, where the ends aren't finite or are equal
-    parts = counts.crossJoin(F.broadcast(ends)).withColumn("bucket", F.coalesce(F.floor(F.nanvl(place, F.lit(0.0)) * buckets), F.lit(0)))  # a row of two numbers
-    sums = parts.groupBy("bucket").agg(F.sum("c").alias("k"))
-    before = sums.select("bucket", (F.sum("k").over(Window.orderBy("bucket")) - F.col("k")).alias("before"), F.sum("k").over(Window.partitionBy()).alias("n"))
-    run = parts.join(before, "bucket").withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy("bucket").orderBy("v")))
-
-    def at(k):
-        return F.min(F.when(F.col("upto") > k, F.col("v")))
-
-    q = run.agg(at(F.expr("n div 4")).alias("q1"), at(F.expr("3 * n div 4")).alias("q3"), F.max("n").alias("n"))
+def iqr_fences(df: DataFrame, value: str, multiplier: float = 1.5) -> DataFrame:
+    """The lower and upper quartile as the n div 4-th and 3n div 4-th value (from 0), and the fences around them."""
+    values = df.filter(F.col(value).isNotNull()).select(F.lit("").alias("g"), F.col(value).alias("v"))
+    q = quantiles.at_places(values, {"q1": F.expr("n div 4"), "q3": F.expr("3 * n div 4")})
     fence = (F.col("q3") - F.col("q1")) * multiplier
     return q.filter("n >= 4").select("q1", "q3", (F.col("q1") - fence).alias("low"), (F.col("q3") + fence).alias("high"))
 
@@ -93,8 +81,8 @@ def imputed(df: DataFrame, key: str, value: str, by: str, strategy: str = "mean"
     if strategy == "mean":
         fill = known.groupBy(by).agg(F.avg(value).alias("fill"))
     elif strategy == "median":
-        w = Window.partitionBy(by)
-        fill = known.select(by, value, F.row_number().over(w.orderBy(value)).alias("k"), F.count("*").over(w).alias("n")).filter("k = n div 2 + 1").select(by, F.col(value).alias("fill"))
+        middle = quantiles.at_places(known.select(quantiles.group_key(by).alias("g"), F.col(value).alias("v")), {"fill": F.expr("n div 2")})
+        fill = known.select(by).distinct().withColumn("g", quantiles.group_key(by)).join(middle, "g").select(by, "fill")
     else:
         n = known.groupBy(by, value).agg(F.count("*").alias("n"))
         fill = n.groupBy(by).agg(F.max_by(value, F.struct("n", -F.col(value))).alias("fill"))

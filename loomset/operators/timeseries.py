@@ -6,12 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomset.operators import quantiles
+
 
 def statistics(df: DataFrame, series: str, value: str) -> DataFrame:
     """Moments and quartiles of each series, skewness and excess kurtosis of the population."""
     v = F.col(value)
-    q = [F.round(F.percentile(v, p), 4).alias(n) for p, n in ((0.25, "q25"), (0.5, "median"), (0.75, "q75"))]
-    return df.groupBy(series).agg(F.count(v).alias("n"), F.round(F.avg(v), 4).alias("mean"), F.round(F.stddev_pop(v), 4).alias("std"), F.round(F.coalesce(F.skewness(v), F.lit(0.0)), 4).alias("skewness"), F.round(F.coalesce(F.kurtosis(v), F.lit(0.0)), 4).alias("kurtosis"), *q)
+    q = _quartiles(df, series, value)
+    moments = df.groupBy(series).agg(F.count(v).alias("n"), F.round(F.avg(v), 4).alias("mean"), F.round(F.stddev_pop(v), 4).alias("std"), F.round(F.coalesce(F.skewness(v), F.lit(0.0)), 4).alias("skewness"), F.round(F.coalesce(F.kurtosis(v), F.lit(0.0)), 4).alias("kurtosis"))
+    return moments.withColumn("g", quantiles.group_key(series)).join(q, "g", "left").select(*moments.columns, *(F.round(c, 4).alias(c) for c in ("q25", "median", "q75")))
+
+
+def _quartiles(df: DataFrame, series: str, value: str) -> DataFrame:
+    """g, q25, median, q75 of each series."""
+    return quantiles.percentiles(df.filter(F.col(value).isNotNull()).select(quantiles.group_key(series).alias("g"), F.col(value).alias("v")), {"q25": 0.25, "median": 0.5, "q75": 0.75})
 
 
 def interpolated(df: DataFrame, series: str, order: list[str], value: str) -> DataFrame:
@@ -88,13 +96,12 @@ def sessions(df: DataFrame, user: str, time: str, key: str, gap_seconds: int) ->
     return x.groupBy(user, "session").agg(F.min(time).alias("start"), F.max(time).alias("end"), F.count("*").alias("events"))
 
 
-
-
 def iqr_anomalies(df: DataFrame, series: str, key: str, value: str, multiplier: float = 3.0) -> DataFrame:
     """Values beyond the quartiles (interpolated) by so many interquartile ranges."""
-    q = df.groupBy(series).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    width = (F.col("q")[1] - F.col("q")[0]) * multiplier
-    return df.join(q, series).filter((F.col(value) < F.col("q")[0] - width) | (F.col(value) > F.col("q")[1] + width)).select(series, key, value)
+    q = _quartiles(df, series, value)
+    width = (F.col("q75") - F.col("q25")) * multiplier
+    x = df.filter(F.col(series).isNotNull()).select(series, key, value, quantiles.group_key(series).alias("g")).join(q, "g")
+    return x.filter((F.col(value) < F.col("q25") - width) | (F.col(value) > F.col("q75") + width)).select(series, key, value)
 
 
 def seasonal_strength(df: DataFrame, series: str, time: str, value: str, period: int = 7) -> DataFrame:
