@@ -28,7 +28,7 @@ def stratified_sample(items: DataFrame, key: str, labels: str, size: int, seed:
     """A sample that keeps the shares of first labels, in the order of a seeded hash.
 
     A label gets the whole part of its share, one at least; unlabelled items get theirs; the rest is topped up from
-    what is left. So that every label is there, the sample may exceed `size` by the number of labels at most.
+    what is left. Places come from ranks within 256 ranges of the hash, as in stratified_split(). So that every label is there, the sample may exceed `size` by the number of labels at most.
     """
     h = shuffled_by(key, seed)
     x = items.select(key, F.element_at(F.when(F.size(labels) > 0, F.col(labels)), 1).alias("label"), h.alias("h"))
@@ -39,7 +39,11 @@ def stratified_sample(items: DataFrame, key: str, labels: str, size: int, seed:
     if total <= size:
         return x.select(key, F.coalesce("label", F.lit("none")).alias("label"))
     missing = size - int(quota.agg(F.sum("quota")).first()[0] or 0)
-    ranked = x.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("h", key)))
+    ranges = x.withColumn("part", F.substring("h", 1, 2))
+    sizes = ranges.groupBy("label", "part").agg(F.count("*").alias("s"))
+    before = sizes.select(F.col("label").alias("l"), F.col("part").alias("p"), (F.sum("s").over(Window.partitionBy("label").orderBy("part")) - F.col("s")).alias("before"))
+    ranked = ranges.withColumn("rank", F.row_number().over(Window.partitionBy("label", "part").orderBy("h", key)))
+    ranked = ranked.join(before, ranked["label"].eqNullSafe(before["l"]) & (ranked["part"] == before["p"])).withColumn("rank", F.col("rank") + F.col("before"))
     placed = ranked.join(quota, ranked["label"].eqNullSafe(quota["label"])).select(key, ranked["label"], "h", (F.col("rank") <= F.col("quota")).alias("chosen"))
     out = placed.filter("chosen")
     if missing > 0:

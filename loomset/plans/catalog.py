@@ -477,10 +477,12 @@ def labels_added(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curation.relabelled(items(spark, sf_dir), "labels", "add", ["reviewed"]).select("doc_id", F.array_join("labels", ",").alias("labels"), "is_labeled")
 
 
-@query("""SELECT doc_id, 'added' AS change FROM documents WHERE doc_id % 3 = 0 AND doc_id % 2 <> 0 UNION ALL SELECT doc_id, 'removed' FROM documents WHERE doc_id % 2 = 0 AND doc_id % 3 <> 0""")
+@query("""WITH f AS (SELECT min(doc_id) AS doc_id FROM documents GROUP BY md5(coalesce(lower(trim(text)), ''))), e AS (SELECT doc_id FROM documents WHERE lang = 'en')
+SELECT doc_id, 'added' AS change FROM f WHERE doc_id NOT IN (SELECT doc_id FROM e) UNION ALL SELECT doc_id, 'removed' FROM e WHERE doc_id NOT IN (SELECT doc_id FROM f)""")
 def versions_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a version of the English documents to one of a document for each text."""
     d = table(spark, sf_dir, "documents")
-    return curation.versions_diff(d.filter("doc_id % 2 = 0"), d.filter("doc_id % 3 = 0"), "doc_id")
+    return curation.versions_diff(d.filter("lang = 'en'"), curation.first_copies(d, "doc_id", "text").filter("not is_duplicate"), "doc_id")
 
 
 @query("""WITH r AS (SELECT o_orderkey, o_custkey, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rank FROM orders)
