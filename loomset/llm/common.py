@@ -60,13 +60,17 @@ def discard(*tables: DataFrame) -> None:
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text (null: empty) and tkey, 32 bits of hash that tell texts of one doc_id apart."""
+    """doc_id, text (null: empty), t1 and t2, two 64-bit hashes that tell texts of one doc_id apart."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("tkey", F.hash("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumns(dict(zip(("t1", "t2"), text_hashes(F.col("text")), strict=True)))
+
+
+def text_hashes(text: Column) -> tuple[Column, Column]:
+    return F.xxhash64(text), F.xxhash64(F.lit("second"), text)
 
 
 def same_row(a: DataFrame, b: DataFrame) -> Column:
-    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["tkey"] == b["tkey"])
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["t1"] == b["t1"]) & (a["t2"] == b["t2"])
 
 
 def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomset.llm.common import written
+from loomset.llm.common import discard, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -15,20 +15,22 @@ def _state(edges: DataFrame) -> tuple:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (the least node reachable) of every node that has an edge to another.
 
-    A step takes the least neighbour of each node by a pre-aggregated sum and joins it back, so a node with very
-    many neighbours is never gathered in one task. Every step's edges are written to the shared folder.
+    A step takes the least neighbour of each node by a pre-aggregated sum and joins it back. Both sides of that join
+    are written tables, so Spark splits a node with very many neighbours. A step's tables go once the next has read them.
     """
     now = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
     before = None
     state = _state(now)
     while state != before:
         before = state
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        both = written(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = written(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        discard(now, both, least)
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         now = written(small.unionByName(least.withColumnRenamed("m", "v")).distinct())
+        discard(large, least)
         state = _state(now)
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomset.llm import cuckoo
-from loomset.llm.common import _LOWER, _SEP, discard, int64s, mixed, prefix_hashes, prefix_of, slices, span_hashes, text_buffers, written
+from loomset.llm.common import _LOWER, _SEP, discard, int64s, keyed, mixed, prefix_hashes, prefix_of, same_row, slices, span_hashes, text_buffers, written
 
 #: Documents that must have a line before it goes, and code points that its key has at least.
 MIN_DOCS, MIN_CHARS = 10, 1
@@ -97,12 +97,6 @@ def lines_of(docs: DataFrame, min_chars: int, filters: dict[int, bytes] | None =
     return docs.select("doc_id", "t1", "t2", "text").mapInArrow(scan, f"doc_id long, t1 long, t2 long, {_KEY}, places array<int>")
 
 
-def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text (null: empty) and two hashes of the text, which tell rows of one doc_id apart."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit("line"), "text")})
-
-
 def _counts(docs: DataFrame, min_chars: int) -> DataFrame:
     return lines_of(docs, min_chars).groupBy("a", "b").agg(F.count("*").alias("n"))
 
@@ -125,18 +119,18 @@ class LineStore:
     @staticmethod
     def of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, shard_keys: int = SHARD_KEYS) -> LineStore:
         """The store of a first set of documents, which may be empty."""
-        counts = written(_counts(_source(docs, id_col, text_col), min_chars))
+        counts = written(_counts(keyed(docs, id_col, text_col), min_chars))
         many = counts.filter(F.col("n") >= min_docs)
         shards = max(1, -(-many.count() // shard_keys))
         return LineStore(counts, _built(many, shards), shards, min_docs, min_chars, shard_keys)
 
     def added(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineStore:
         """The store with these documents too."""
-        return self._changed(_counts(_source(docs, id_col, text_col), self.min_chars))
+        return self._changed(_counts(keyed(docs, id_col, text_col), self.min_chars))
 
     def removed(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineStore:
         """The store without these documents, which must have been taken in (ValueError otherwise)."""
-        return self._changed(_counts(_source(docs, id_col, text_col), self.min_chars).withColumn("n", -F.col("n")))
+        return self._changed(_counts(keyed(docs, id_col, text_col), self.min_chars).withColumn("n", -F.col("n")))
 
     def _changed(self, delta: DataFrame) -> LineStore:
         both = self.counts.withColumn("d", F.lit(0).cast("long")).unionByName(delta.select("a", "b", F.lit(0).cast("long").alias("n"), F.col("n").alias("d")))
@@ -163,7 +157,7 @@ class LineStore:
         discard(self.counts, self.filters)
 
     def dropped(self, source: DataFrame, filter_bytes: int = FILTER_BYTES) -> DataFrame:
-        """doc_id, t1, t2 and the places of the lines that go, from the rows of _source()."""
+        """doc_id, t1, t2 and the places of the lines that go, from the rows of keyed()."""
         size = self.filters.agg(F.coalesce(F.sum(F.length("filter")), F.lit(0))).first()[0]
         filters = {r["shard"]: bytes(r["filter"]) for r in self.filters.collect()} if size <= filter_bytes else None
         maybe = written(lines_of(source, self.min_chars, filters, self.shards))
@@ -174,10 +168,9 @@ class LineStore:
 
     def cleaned(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bytes: int = FILTER_BYTES) -> DataFrame:
         """doc_id, n_lines, n_dropped and kept (the lines that stay, as bytes) of every row."""
-        source = _source(docs, id_col, text_col)
+        source = keyed(docs, id_col, text_col)
         gone = self.dropped(source, filter_bytes)
-        same = source["doc_id"].eqNullSafe(gone["doc_id"]) & (source["t1"] == gone["t1"]) & (source["t2"] == gone["t2"])
-        joined = source.join(gone, same, "left").select(source["doc_id"], source["text"], "places")
+        joined = source.join(gone, same_row(source, gone), "left").select(source["doc_id"], source["text"], "places")
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:

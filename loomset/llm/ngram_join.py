@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomset.llm.common import discard, int64s, keyed, mixed, same_row, slices, text_buffers, windows, words, written
+from loomset.llm.common import discard, int64s, keyed, mixed, same_row, slices, text_buffers, text_hashes, windows, words, written
 from loomset.llm.components import components
 
 SHINGLE = 5
@@ -85,8 +85,8 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def classes_and_counts(docs: DataFrame, size: int) -> DataFrame:
-    """Rows of two kinds: doc_id, tkey, c, n, parts of every document, and block, counts of every task's shingles."""
-    names = {"doc_id": pa.int64(), "tkey": pa.int32(), "c": pa.int64(), "n": pa.int32(), "parts": pa.binary(), "block": pa.int32(), "counts": pa.binary()}
+    """Rows of two kinds: doc_id, t1, t2, c, n, parts of every document, and block, counts of every task's shingles."""
+    names = {"doc_id": pa.int64(), "t1": pa.int64(), "t2": pa.int64(), "c": pa.int64(), "n": pa.int32(), "parts": pa.binary(), "block": pa.int32(), "counts": pa.binary()}
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
@@ -104,13 +104,13 @@ def classes_and_counts(docs: DataFrame, size: int) -> DataFrame:
             if held:
                 total += np.bincount(np.concatenate(held), minlength=CELLS)
             none = [pa.nulls(b.num_rows, t) for t in (pa.int32(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(c, pa.int64()), pa.array(n, pa.int32()), pa.array(parts, pa.binary()), *none], list(names))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(c, pa.int64()), pa.array(n, pa.int32()), pa.array(parts, pa.binary()), *none], list(names))
         if total.any():
             cuts = np.minimum(total, 2**31 - 1).astype("<i4").reshape(BLOCKS, -1)
-            none = [pa.nulls(BLOCKS, t) for t in list(names.values())[:5]]
+            none = [pa.nulls(BLOCKS, t) for t in list(names.values())[:6]]
             yield pa.RecordBatch.from_arrays([*none, pa.array(range(BLOCKS), pa.int32()), pa.array([x.tobytes() for x in cuts], pa.binary())], list(names))
 
-    return docs.select("doc_id", "text", "tkey").mapInArrow(scan, "doc_id long, tkey int, c long, n int, parts binary, block int, counts binary")
+    return docs.select("doc_id", "text", "t1", "t2").mapInArrow(scan, "doc_id long, t1 long, t2 long, c long, n int, parts binary, block int, counts binary")
 
 
 def summed(counts: DataFrame) -> np.ndarray:
@@ -368,7 +368,7 @@ def linked(rows: DataFrame, parts: DataFrame, texts: DataFrame, size: int, perce
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = 80) -> DataFrame:
-    """doc_id, tkey, n_shingles, component_id (the smallest doc_id reachable by links) and comp (the component's key, null without shingles) of every row."""
+    """doc_id, t1, t2, n_shingles, component_id (the smallest doc_id reachable by links) and comp (the component's key, null without shingles) of every row."""
     source = keyed(docs, id_col, text_col)
     known = written(classes_and_counts(source, size))
     of_docs = known.filter("c is not null")
@@ -376,28 +376,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = written(meetings(prefixes(source, counts, size, percent)))
 
     met = rows.select("c").distinct()
-    one_of = of_docs.groupBy("c").agg(F.min(F.struct("doc_id", "tkey")).alias("m"), F.first("parts").alias("parts")).join(met, "c").select("c", "m.*", "parts")
+    one_of = of_docs.groupBy("c").agg(F.min(F.struct("doc_id", "t1", "t2")).alias("m"), F.first("parts").alias("parts")).join(met, "c").select("c", "m.*", "parts")
     classes = written(one_of)
     texts = source.join(classes, same_row(source, classes)).select("c", source["text"])
-    if not of_docs.groupBy("doc_id", "tkey").count().filter("count > 1").isEmpty():
+    if not of_docs.groupBy("doc_id", "t1", "t2").count().filter("count > 1").isEmpty():
         texts = texts.dropDuplicates(["c"])
     texts = written(texts)
     whole = linked(rows, classes.select("c", "parts"), texts, size, percent)
+    whole = written(whole)  # small sides are written first, so that Spark can split a hot class or component
     discard(rows, classes, texts)
 
-    joined = of_docs.join(whole, F.col("c") == F.col("node"), "left").select("doc_id", "tkey", "n", F.coalesce("component", "c").alias("comp"))
-    least = joined.filter("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
+    joined = of_docs.join(whole, F.col("c") == F.col("node"), "left").select("doc_id", "t1", "t2", "n", F.coalesce("component", "c").alias("comp"))
+    joined = written(joined)
+    least = written(joined.filter("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least")))
+    discard(known, whole)
     out = joined.join(least, "comp", "left")
-    return out.select("doc_id", "tkey", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("comp")).alias("comp"))
+    return out.select("doc_id", "t1", "t2", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("comp")).alias("comp"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = 80) -> DataFrame:
     """The rows of the smallest doc_id of each component, and those without shingles; a row that repeats stays once."""
     places = near_duplicates(docs, id_col, text_col, size, percent)
-    place = [F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__null"), F.col("tkey").alias("__tkey")]
+    place = [F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__null"), F.col("t1").alias("__t1"), F.col("t2").alias("__t2")]
     placed = places.select("comp", *place)
-    best = placed.filter("comp is not null").groupBy("comp").agg(F.min(F.struct("__null", "__id", "__tkey")).alias("m")).select("m.__id", "m.__null", "m.__tkey")
-    stay = best.unionByName(placed.filter("comp is null").select("__id", "__null", "__tkey")).distinct()
-    key = [F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("__id"), F.col(id_col).isNull().alias("__null"), F.hash(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("__tkey")]
+    best = placed.filter("comp is not null").groupBy("comp").agg(F.min(F.struct("__null", "__id", "__t1", "__t2")).alias("m")).select("m.__id", "m.__null", "m.__t1", "m.__t2")
+    stay = best.unionByName(placed.filter("comp is null").select("__id", "__null", "__t1", "__t2")).distinct()
+    hashes = text_hashes(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    key = [F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("__id"), F.col(id_col).isNull().alias("__null"), hashes[0].alias("__t1"), hashes[1].alias("__t2")]
     own = docs.select(F.struct("*").alias("row"), *key)  # in a struct no column's name can clash
-    return own.join(stay, ["__id", "__null", "__tkey"], "left_semi").dropDuplicates(["__id", "__null", "__tkey"]).select("row.*")
+    return own.join(stay, ["__id", "__null", "__t1", "__t2"], "left_semi").dropDuplicates(["__id", "__null", "__t1", "__t2"]).select("row.*")

@@ -37,12 +37,11 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """h (minimiser), g (string), doc_id, tkey, start (word), n (windows) of every run in the rows of keyed()."""
+    """h (minimiser), g (string), doc_id, t1, t2, start (word), n (windows) of every run in the rows of keyed()."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offs = text_buffers(b.column(1))
-            ids, keys = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
             for i, j in slices(offs):
                 o = offs[i : j + 1] - offs[i]
                 hashes, *_, rows = words(data[offs[i] : offs[j]], o)
@@ -53,15 +52,15 @@ def runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
                 row = np.searchsorted(rows, first, "right") - 1
                 string = span_hashes(prefix_of(hashes), first, first + n + (window - 1))
                 yield pa.RecordBatch.from_arrays(
-                    [int64s(grams[place]), int64s(string), pa.array(ids[i + row]), pa.array(keys[i + row]), pa.array((first - rows[row]).astype(np.int32)), pa.array(n.astype(np.int32))], ["h", "g", "doc_id", "tkey", "start", "n"]
+                    [int64s(grams[place]), int64s(string), *(b.column(k).take(pa.array(i + row)) for k in (0, 2, 3)), pa.array((first - rows[row]).astype(np.int32)), pa.array(n.astype(np.int32))], ["h", "g", "doc_id", "t1", "t2", "start", "n"]
                 )
 
-    return docs.filter("doc_id is not null").select("doc_id", "text", "tkey").mapInArrow(scan, "h long, g long, doc_id long, tkey int, start int, n int")
+    return docs.filter("doc_id is not null").select("doc_id", "text", "t1", "t2").mapInArrow(scan, "h long, g long, doc_id long, t1 long, t2 long, start int, n int")
 
 
 def cut_strings(found: DataFrame, docs: DataFrame, window: int) -> DataFrame:
     """h, g, lo and the packed string (words joined by one space) of chosen runs, which are grouped by document."""
-    by_doc = found.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("h", "g", "start", "n", "doc_id")).alias("runs"))
+    by_doc = found.groupBy("doc_id", "t1", "t2").agg(F.collect_list(F.struct("h", "g", "start", "n", "doc_id")).alias("runs"))
     joined = docs.join(by_doc, same_row(docs, by_doc)).select(docs["text"], "runs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,13 +117,13 @@ def sorted_windows(bucket: pd.DataFrame, window: int) -> pd.DataFrame:
 
 
 def removed_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, most: int = MOST_STRINGS, most_windows: int = MOST_WINDOWS) -> DataFrame:
-    """doc_id, tkey and the word ranges [lo, hi) that windows of smaller documents cover, as an array for each row."""
+    """doc_id, t1, t2 and the word ranges [lo, hi) that windows of smaller documents cover, as an array for each row."""
     found = runs(docs, window, gram)
     several = written(found.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h"))
     shared = written(found.join(several, "h"))
     discard(several)
 
-    strings = written(shared.groupBy("h", "g").agg(F.min(F.struct("doc_id", "tkey", "start", "n")).alias("m")).select("h", "g", "m.*"))
+    strings = written(shared.groupBy("h", "g").agg(F.min(F.struct("doc_id", "t1", "t2", "start", "n")).alias("m")).select("h", "g", "m.*"))
     sizes = written(strings.groupBy("h").agg(F.count("*").alias("strings"), F.sum("n").alias("windows")))
     kept = written(strings.join(sizes, "h"))
     discard(strings, sizes)
@@ -142,8 +141,8 @@ def removed_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bucke
     lows = written(lows)
     discard(kept)
     hit = shared.join(lows, ["h", "g"]).filter("low < doc_id")
-    spans = hit.select("doc_id", "tkey", (F.col("start") + F.col("a")).alias("lo"), (F.col("start") + F.col("b") + (window - 1)).alias("hi"))
-    spans = written(spans.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")))
+    spans = hit.select("doc_id", "t1", "t2", (F.col("start") + F.col("a")).alias("lo"), (F.col("start") + F.col("b") + (window - 1)).alias("hi"))
+    spans = written(spans.groupBy("doc_id", "t1", "t2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")))
     discard(shared, lows)
     return spans
 

@@ -48,7 +48,7 @@ def pieces(offs: np.ndarray, window: int, most: int = SLICE_BYTES) -> Iterator[t
 
 
 def runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """h (minimiser), g (string), doc_id, tkey, start (byte), n (windows), p (places of the minimiser) of every run in the rows of keyed()."""
+    """h (minimiser), g (string), doc_id, t1, t2, start (byte), n (windows), p (places of the minimiser) of every run in the rows of keyed()."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,16 +64,16 @@ def runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
                 row = np.searchsorted(o, first, "right") - 1
                 rows = pa.array(i + row)
                 yield pa.RecordBatch.from_arrays(
-                    [int64s(grams[place]), int64s(span_hashes(sums, first, first + n + (window - 1))), batch.column(0).take(rows), batch.column(2).take(rows), pa.array((first + a - offs[i + row]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(places.astype(np.int32))],
-                    ["h", "g", "doc_id", "tkey", "start", "n", "p"],
+                    [int64s(grams[place]), int64s(span_hashes(sums, first, first + n + (window - 1))), *(batch.column(k).take(rows) for k in (0, 2, 3)), pa.array((first + a - offs[i + row]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(places.astype(np.int32))],
+                    ["h", "g", "doc_id", "t1", "t2", "start", "n", "p"],
                 )
 
-    return docs.select("doc_id", "text", "tkey").mapInArrow(scan, "h long, g long, doc_id long, tkey int, start int, n int, p int")
+    return docs.select("doc_id", "text", "t1", "t2").mapInArrow(scan, "h long, g long, doc_id long, t1 long, t2 long, start int, n int, p int")
 
 
 def cut_strings(found: DataFrame, docs: DataFrame, window: int) -> DataFrame:
     """h, g, n, c and the bytes of chosen runs, which are grouped by document."""
-    by_doc = found.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("h", "g", "start", "n", "c")).alias("runs"))
+    by_doc = found.groupBy("doc_id", "t1", "t2").agg(F.collect_list(F.struct("h", "g", "start", "n", "c")).alias("runs"))
     joined = docs.join(by_doc, same_row(docs, by_doc)).select(docs["text"], "runs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,13 +237,13 @@ def repeated_windows(bucket: pd.DataFrame, window: int) -> pd.DataFrame:
 
 
 def removed_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, most: int = MOST_STRINGS, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """doc_id, tkey and the byte ranges [lo, hi) to remove, as an array for each row."""
+    """doc_id, t1, t2 and the byte ranges [lo, hi) to remove, as an array for each row."""
     found = written(runs(docs, window, gram))
     again = written(found.groupBy("h").agg(F.sum("p").alias("times")).filter("times > 1").select("h"))
     shared = written(found.join(again, "h"))
     discard(found, again)
 
-    strings = written(shared.groupBy("h", "g").agg(F.count("*").alias("c"), F.max("p").alias("p"), F.min(F.struct("doc_id", "tkey", "start", "n")).alias("m")).select("h", "g", "c", "p", "m.*"))
+    strings = written(shared.groupBy("h", "g").agg(F.count("*").alias("c"), F.max("p").alias("p"), F.min(F.struct("doc_id", "t1", "t2", "start", "n")).alias("m")).select("h", "g", "c", "p", "m.*"))
     sizes = written(strings.groupBy("h").agg(F.count("*").alias("strings"), F.sum(F.col("n") + window).alias("bytes")))
     kept = written(strings.join(sizes, "h"))
     discard(strings, sizes)
@@ -260,14 +260,14 @@ def removed_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bucke
     ranges = written(ranges)
     discard(kept)
     hit = shared.join(ranges, ["h", "g"])
-    spans = hit.select("doc_id", "tkey", (F.col("start") + F.col("a")).alias("lo"), (F.col("start") + F.col("b") + (window - 1)).alias("hi"))
-    spans = written(spans.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")))
+    spans = hit.select("doc_id", "t1", "t2", (F.col("start") + F.col("a")).alias("lo"), (F.col("start") + F.col("b") + (window - 1)).alias("hi"))
+    spans = written(spans.groupBy("doc_id", "t1", "t2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")))
     discard(shared, ranges)
     return spans
 
 
 def echoes(docs: DataFrame, size: int = ECHO, step: int = ECHO_STEP, gram: int = GRAM) -> DataFrame:
-    """doc_id, tkey, n_echoes: the distinct strings of `size` bytes, one at least in `size` + `step` - 1 bytes, that other documents have too.
+    """doc_id, t1, t2, n_echoes: the distinct strings of `size` bytes, one at least in `size` + `step` - 1 bytes, that other documents have too.
 
     Tells of repeats that are shorter than the windows, which stay. Places are chosen by their own bytes only, so
     equal passages choose equal strings. None for documents without.
@@ -288,12 +288,12 @@ def echoes(docs: DataFrame, size: int = ECHO, step: int = ECHO_STEP, gram: int =
                 inside = place + size <= o[row + 1]
                 place, row = place[inside], row[inside]
                 rows = pa.array(i + row)
-                yield pa.RecordBatch.from_arrays([int64s(span_hashes(sums, place, place + size)), batch.column(0).take(rows), batch.column(2).take(rows)], ["e", "doc_id", "tkey"])
+                yield pa.RecordBatch.from_arrays([int64s(span_hashes(sums, place, place + size)), *(batch.column(k).take(rows) for k in (0, 2, 3))], ["e", "doc_id", "t1", "t2"])
 
-    found = written(docs.select("doc_id", "text", "tkey").mapInArrow(scan, "e long, doc_id long, tkey int"))
-    own = F.xxhash64("doc_id", "tkey")
+    found = written(docs.select("doc_id", "text", "t1", "t2").mapInArrow(scan, "e long, doc_id long, t1 long, t2 long"))
+    own = F.xxhash64("doc_id", "t1", "t2")
     several = written(found.groupBy("e").agg(F.min(own).alias("x"), F.max(own).alias("y")).filter("x < y").select("e"))
-    out = written(found.join(several, "e").groupBy("doc_id", "tkey").agg(F.size(F.collect_set("e")).alias("n_echoes")))
+    out = written(found.join(several, "e").groupBy("doc_id", "t1", "t2").agg(F.size(F.collect_set("e")).alias("n_echoes")))
     discard(found, several)
     return out
 

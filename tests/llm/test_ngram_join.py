@@ -6,7 +6,7 @@ import pytest
 
 from loomset.llm import ngram_join as nj
 from loomset.llm.components import components
-from tests.llm.helpers import DOCS, ODD, docs
+from tests.llm.helpers import DOCS, ODD, colliding, docs
 
 
 def shingles(t):
@@ -117,8 +117,19 @@ def test_pairs_are_given_about_once(spark, monkeypatch):
 def test_one_of_each_keeps_clashing_columns(spark):
     base = " ".join(f"w{k}" for k in range(40))
     d = docs(spark, [(1, base), (2, base + " more"), (3, "another text of its own words"), (None, None)])
-    odd = d.selectExpr("*", "doc_id + 100 AS `__id`", "lang AS `__tkey`", "source AS comp", "text AS row", "1 AS tkey", "2 AS `__null`")
+    odd = d.selectExpr("*", "doc_id + 100 AS `__id`", "lang AS `__t1`", "source AS comp", "text AS row", "1 AS t1", "2 AS `__null`")
     got = nj.one_of_each(odd)
     assert got.columns == odd.columns
-    assert sorted((r.doc_id or 0, r["__id"], r["__tkey"], r.comp, r.row, r.tkey, r["__null"]) for r in got.filter("doc_id is not null").collect()) == [(1, 101, "en", "s", base, 1, 2), (3, 103, "en", "s", "another text of its own words", 1, 2)]
+    assert sorted((r.doc_id or 0, r["__id"], r["__t1"], r.comp, r.row, r.t1, r["__null"]) for r in got.filter("doc_id is not null").collect()) == [(1, 101, "en", "s", base, 1, 2), (3, 103, "en", "s", "another text of its own words", 1, 2)]
     assert got.count() == 3
+
+
+def test_texts_of_one_id_that_32_bits_confuse(spark):
+    one, two = colliding(spark, " short end")
+    long = " ".join(f"v{k}" for k in range(30))
+    rows = [(None, one), (None, two), (3, long), (4, two), (4, long + " w"), (4, long + " x")]
+    got = nj.near_duplicates(docs(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)
+    assert sorted(((r.doc_id, r.text) for r in nj.one_of_each(docs(spark, rows)).collect()), key=str) == sorted([(None, one), (4, two), (3, long)], key=str)
+    apart = [(None, one), (None, two), (5, "another text")]
+    assert nj.one_of_each(docs(spark, apart)).count() == 3

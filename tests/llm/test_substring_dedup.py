@@ -5,7 +5,7 @@ import re
 import pytest
 
 from loomset.llm import substring_dedup as sd
-from tests.llm.helpers import DOCS, ODD, docs
+from tests.llm.helpers import DOCS, ODD, colliding, docs
 
 
 def brute(rows, window):
@@ -49,5 +49,12 @@ def test_equals_brute_force(spark, seed, most, most_windows):
     assert sorted(((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept).hexdigest()) for r in got), key=str) == brute(rows, 13)
 
 
+def test_texts_of_one_id_that_32_bits_confuse(spark):
+    one, two = colliding(spark, " " + " ".join(f"w{k}" for k in range(15)))
+    rows = [(1, "w1 " + one), (2, one), (2, two), (None, one), (None, two)]
+    got = sd.dedup_words(docs(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept).hexdigest()) for r in got), key=str) == brute(rows, 13)
+
+
 def test_empty_table(spark):
     assert sd.dedup_words(spark.createDataFrame([], DOCS)).count() == 0

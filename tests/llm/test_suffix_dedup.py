@@ -8,7 +8,7 @@ import pytest
 
 from loomset.llm import suffix_dedup as sd
 from loomset.llm.common import keyed, prefix_hashes
-from tests.llm.helpers import DOCS, ODD, docs
+from tests.llm.helpers import DOCS, ODD, colliding, docs
 
 
 def brute(rows, window):
@@ -50,6 +50,14 @@ def test_equals_brute_force(spark, seed, most, size, most_bytes):
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got), key=str) == brute(rows, 40)
 
 
+def test_texts_of_one_id_that_32_bits_confuse(spark):
+    tail = "".join(random.Random(1).choice("abcdefgh ") for _ in range(60))
+    one, two = colliding(spark, tail)
+    rows = [(None, one), (None, two), (1, one[:50]), (7, two), (7, one)]
+    got = sd.dedup_bytes(docs(spark, rows), window=40, gram=8).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got), key=str) == brute(rows, 40)
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_two_stage_order_is_the_suffix_order(seed):
     rng = random.Random(seed)
