@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 WORD = r"[\p{L}\p{N}_]+"
 SENTENCE_END = r"[.!?]+"
 SPAM_PATTERNS = ["buy now", "click here", "free money", "winner", "congratulations.*won", "limited time offer", "act now", "100% free", "make money fast", "work from home", "no experience needed"]
-STOPWORDS = (
-    "the a an and or but in on at to for of with by from as is was are were been be have has had do does did will would "
-    "could should may might must shall can need this that these those it its i you he she we they them their my your his her "
-    "our not no yes if when where what which who whom how why all each every both few more most other some such only own same so "
-    "than too very just also now here there then"
-).split()
+STOPWORDS = [
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "as", "is", "was", "are", "were", "been", "be",
+    "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "must", "shall", "can", "need", "this", "that",
+    "these", "those", "it", "its", "i", "you", "he", "she", "we", "they", "them", "their", "my", "your", "his", "her", "our", "not", "no", "yes", "if",
+    "when", "where", "what", "which", "who", "whom", "how", "why", "all", "each", "every", "both", "few", "more", "most", "other", "some", "such",
+    "only", "own", "same", "so", "than", "too", "very", "just", "also", "now", "here", "there", "then",
+]
 LABEL_WORDS = {
     "positive": ["excellent", "amazing", "great", "wonderful", "fantastic", "love", "perfect", "best", "عالی", "فوق‌العاده", "بهترین"],
     "negative": ["terrible", "awful", "horrible", "worst", "hate", "bad", "poor", "افتضاح", "بد", "ضعیف"],

@@ -10,7 +10,7 @@ from loomset.operators import augmentation, curation, graph, landed, text_items,
 from loomset.plans.catalog import EDGES, ORACLE_SQL, PIECES, SPLIT, W, daily, edges, items, query, split_items, table
 from loomset.sources import exports
 
-_FORMS = "map {" + ", ".join(f"'{f}': '{k}'" for k, v in language.IRREGULAR.items() for f in v.split()) + "}"
+_FORMS = "map {" + ", ".join(f"'{f}': '{k}'" for f, k in language.IRREGULAR.items()) + "}"
 _LEMMA = f"""coalesce({_FORMS}[w], CASE WHEN ends_with(w, 'ies') AND length(w) > 4 THEN w[:-4] || 'y' WHEN ends_with(w, 'es') AND length(w) > 3 AND w[-3] IN ('s', 'x', 'z', 'h') THEN w[:-3]
 WHEN ends_with(w, 's') AND length(w) > 2 AND w[-2] NOT IN ('s', 'u') THEN w[:-2] WHEN ends_with(w, 'ed') AND length(w) > 3 THEN CASE WHEN w[-3] = w[-4] THEN w[:-4] ELSE w[:-3] END
 WHEN ends_with(w, 'ing') AND length(w) > 4 THEN CASE WHEN w[-4] = w[-5] THEN w[:-5] ELSE w[:-4] END ELSE w END)"""
