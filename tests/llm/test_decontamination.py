@@ -66,23 +66,53 @@ def test_pairs_equal_brute_force(spark):
     assert sorted((str(r.doc_id) for r in clean.collect())) == sorted(str(i) for i, t in rows if not brute([(i, t)], items))
 
 
-def test_blocks_find_all_within_the_radius():
+def test_index_finds_all_within_the_radius():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 2**63, 200, dtype=np.uint64)
-    for k in range(dc.RADIUS + 1):
+    index = dc.MultiIndex(x)
+    for k in range(dc.RADIUS + 2):
         y = x.copy()
-        for bit in rng.permutation(64)[:k]:
-            y ^= np.uint64(1) << np.uint64(bit)
-        agree = np.zeros(len(x), bool)
-        for a, b in zip(dc.blocks_of(x), dc.blocks_of(y)):
-            agree |= a == b
-        assert agree.all()
+        for row in range(len(y)):
+            for bit in rng.permutation(64)[:k]:
+                y[row] ^= np.uint64(1) << np.uint64(bit)
+        given, own = index.near(y)
+        assert (np.bitwise_count(y[given] ^ x[own]) <= dc.RADIUS).all()
+        assert set(np.flatnonzero(np.bitwise_count(y ^ x) <= dc.RADIUS).tolist()) == set(given[given == own].tolist())
+        want = np.argwhere(np.bitwise_count(y[:, None] ^ x) <= dc.RADIUS)
+        assert sorted(zip(given.tolist(), own.tolist(), strict=True)) == [tuple(p) for p in want.tolist()]
 
 
 def test_fingerprints_slide():
-    g = np.random.default_rng(2).integers(0, 2**63, 50, dtype=np.uint64)
-    one_by_one = [dc.fingerprints(g[k : k + 7], 7)[0] for k in range(44)]
-    assert (dc.fingerprints(g, 7) == np.array(one_by_one)).all()
+    rng = np.random.default_rng(2)
+    for kinds in (2**62, 9, 2, 1):
+        g = rng.integers(0, kinds, 50).astype(np.uint64)
+        one_by_one = [dc.fingerprints(g[k : k + 7], 7)[0] for k in range(44)]
+        assert (dc.fingerprints(g, 7) == np.array(one_by_one)).all()
+        x = g[:20]
+        assert dc.fingerprints(x, 20)[0] == dc.fingerprints(rng.permutation(x), 20)[0]  # a set has no order
+
+
+def test_recall_of_the_index():
+    """Of all windows whose weighted similarity with an item is 0.8 or more, the index finds 0.99 or more; just at 0.8 too."""
+    rng = np.random.default_rng(6)
+    alike = found = edge = edge_found = 0
+    for count in (9, 10, 17, 40, 99, 200):
+        items = rng.integers(0, 2**62, (40, count)).astype(np.uint64)
+        items[::4, : count // 3] = items[::4, :1]  # a shingle that repeats
+        index = dc.MultiIndex(np.array([dc.fingerprints(x, count)[0] for x in items], np.uint64))
+        for k in range(40):
+            for changed in range(count // 9 + 2):
+                copy = items[k].copy()
+                copy[rng.permutation(count)[:changed]] = 7 if changed % 2 else rng.integers(0, 2**62, changed).astype(np.uint64)
+                text = np.concatenate([rng.integers(0, 2**62, 5).astype(np.uint64), copy, rng.integers(0, 2**62, 5).astype(np.uint64)])
+                given, own = index.near(dc.fingerprints(text, count))
+                near = set(given[own == k].tolist())
+                for s, shared in enumerate(dc.shared_weights(text, items[k]).tolist()):
+                    if 100 * shared >= 80 * (2 * count - shared):
+                        alike, found = alike + 1, found + (s in near)
+                        if changed == count // 9:
+                            edge, edge_found = edge + 1, edge_found + (s in near)
+    assert alike > 2000 and found / alike >= 0.99 and edge > 200 and edge_found / edge >= 0.99
 
 
 def test_empty_tables(spark):
