@@ -194,7 +194,8 @@ def pack_group(sizes: np.ndarray, capacity: int = CAPACITY, slack: int = SLACK)
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, slack: int = SLACK, seed: int = 0) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset and ids (binary, little-endian uint32).
 
-    The number of groups follows the bytes of text, so a group stays a few megabytes at any input size.
+    The number of groups follows the bytes of text, so a group stays a few megabytes at any input size. Pieces are
+    dealt by their content and the partition that they were read in, which spreads repeated rows over the groups.
     """
     total, rows = docs.select(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0)), F.count("*")).first()
     groups = max(1, math.ceil((total + 2 * rows) / GROUP_BYTES))
@@ -202,7 +203,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     cut = tokenised(docs, id_col, text_col, tokenizer).select(
         "doc_id", (F.octet_length("ids") / 2).cast("long").alias("doc_tokens"), F.posexplode(F.expr(f"transform(sequence(0, (octet_length(ids) - 1) div {step}), k -> substring(ids, k * {step} + 1, {step}))")).alias("cut", "ids")
     )
-    dealt = cut.withColumn("grp", F.pmod(F.xxhash64("doc_id", "cut", "doc_tokens", "ids", F.lit(seed)), F.lit(groups)))
+    dealt = cut.withColumn("grp", F.pmod(F.xxhash64("doc_id", "cut", "doc_tokens", "ids", F.spark_partition_id(), F.lit(seed)), F.lit(groups)))
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         # any order of arrival gives the same packing

@@ -193,7 +193,8 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     Rows of that page_id are all responses, so repeated rows get the same result. A null page_id is the smallest.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html")).withColumn("sha", F.sha1("html"))
-    copied = rows.groupBy("sha").agg(F.count("*").alias("n"), F.max("page_id").alias("last")).filter("n > 1 and last is not null").select("sha", "last")
+    # written first, so that Spark can split the partition of a payload that very many pages have
+    copied = written(rows.groupBy("sha").agg(F.count("*").alias("n"), F.max("page_id").alias("last")).filter("n > 1 and last is not null").select("sha", "last"))
     refers = (F.octet_length("html") >= least) & ~F.col("page_id").eqNullSafe(F.col("last"))
     return rows.join(copied, "sha", "left").select("page_id", "url", "html", F.when(F.col("last").isNotNull() & refers, F.col("last")).alias("refers_to"))
 
