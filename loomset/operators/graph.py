@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomset.operators.shared import discard, written
+
 
 def nodes_of(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
@@ -49,11 +51,12 @@ def pagerank(edges: DataFrame, rounds: int = 100, damping: float = 0.85) -> Data
     return ranks.select("id", F.round("rank", 8).alias("rank"))
 
 
-def hops(edges: DataFrame, start, most: int = 6) -> DataFrame:
-    """Fewest out-edges from a node to each node within reach of so many."""
+def hops(edges: DataFrame, start, most: int | None = None) -> DataFrame:
+    """Fewest out-edges from a node to each node within reach, of so many or of any number."""
     seen = edges.sparkSession.createDataFrame([(start,)], f"id {edges.schema['src'].dataType.simpleString()}").withColumn("hops", F.lit(0))
-    front = seen
-    for k in range(1, most + 1):
+    front, k = seen, 0
+    while most is None or k < most:
+        k += 1
         front = edges.join(front, edges["src"] == front["id"]).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("hops", F.lit(k)).checkpoint()
         if front.isEmpty():
             break
@@ -119,3 +122,40 @@ def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
         if new.filter("old <> community").isEmpty():
             break
     return labels
+
+
+def betweenness(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """id and betweenness of each node: the share of shortest ways by out-edges between two others that lead through it, summed and divided by (n - 1) * (n - 2).
+
+    Ways are counted level by level from all sources at once (or from the ids of `sources`, a stated set), a row for
+    each source and node that it reaches; parallel edges make ways of their own, loops none. What lies behind a node
+    is then handed back level by level. Each level is a join of written tables and a pre-aggregated sum.
+    """
+    links = written(edges.filter("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("k")))
+    nodes = written(nodes_of(edges))
+    n = nodes.count()
+    start = nodes if sources is None else nodes.join(sources.select("id"), "id", "left_semi")
+    levels = [written(start.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(1.0).alias("ways")))]
+    seen = levels[0].select("source", "node")
+    while True:
+        ahead = levels[-1].join(links, F.col("node") == F.col("src")).groupBy("source", "dst").agg(F.sum(F.col("ways") * F.col("k")).alias("ways"))
+        front = written(ahead.withColumnRenamed("dst", "node").join(seen, ["source", "node"], "left_anti"))
+        if front.isEmpty():
+            discard(front)
+            break
+        levels.append(front)
+        seen = seen.unionByName(front.select("source", "node"))
+
+    sums, behind = [], None
+    for level, before in zip(levels[:0:-1], levels[-2::-1], strict=True):
+        own = level.withColumn("share", F.lit(0.0)) if behind is None else level.join(behind, ["source", "node"], "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
+        own = written(own)
+        sums.append(own.select("node", "share"))
+        back = own.withColumnRenamed("node", "dst").join(links, "dst").select("source", F.col("src").alias("node"), (F.col("k") / F.col("ways") * (1 + F.col("share"))).alias("part"))
+        behind = back.join(before, ["source", "node"]).groupBy("source", "node").agg(F.sum(F.col("ways") * F.col("part")).alias("share"))
+    total = nodes.select(F.col("id").alias("node"), F.lit(0.0).alias("share"))
+    for x in sums:
+        total = total.unionByName(x)
+    out = written(total.groupBy(F.col("node").alias("id")).agg(F.round(F.sum("share") / max((n - 1) * (n - 2), 1), 6).alias("betweenness")))
+    discard(links, nodes, *levels)
+    return out

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomset.operators import graph
 from loomset.plans.catalog import EDGES, POINTS, SPLIT, cloud, edges, query, table
 from loomset.operators import splits
-from loomset.sources import exports
+from loomset.sources import exports, imports
 
 ITEMS = """a AS (SELECT l_partkey AS id, l_orderkey AS o, l_linenumber AS n, CASE WHEN l_linestatus = 'O' THEN 'box' ELSE 'polygon' END AS type, l_returnflag AS label,
 (l_linenumber * 3)::BIGINT AS x, (l_linenumber * 2)::BIGINT AS y, floor(l_quantity)::BIGINT AS w, floor(l_quantity / 2)::BIGINT AS h FROM lineitem),
@@ -148,3 +148,26 @@ def subtitles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dataset_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = splits.auto_split(table(spark, sf_dir, "documents"), "doc_id")
     return exports.card_yaml(s.groupBy("split").agg(F.count("*").alias("rows")), "documents")
+
+
+_CORNERS = "CASE WHEN type <> 'box' THEN concat(x, ',', y, ';', x + w, ',', y, ';', x, ',', y + h) END AS points"
+
+
+def _flat(annotations: DataFrame) -> DataFrame:
+    """Points as one string of whole numbers, other numbers whole too."""
+    points = F.array_join(F.transform("points", lambda p: F.concat_ws(",", p["x"].cast("long"), p["y"].cast("long"))), ";")
+    return annotations.withColumns({"points": points} | {c: F.col(c).cast("long") for c in ("x", "y", "width", "height")})
+
+
+@query(f"""WITH {ITEMS} SELECT file_path AS name, items.width AS image_width, items.height AS image_height, type, label, CASE WHEN type = 'box' THEN x END AS x, CASE WHEN type = 'box' THEN y END AS y,
+CASE WHEN type = 'box' THEN w END AS width, CASE WHEN type = 'box' THEN h END AS height, {_CORNERS} FROM ann JOIN items USING (id)""")
+def cvat_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images, _ = imports.cvat_columns(exports.cvat_images(annotated(spark, sf_dir)), "value")
+    return _flat(images).drop("image", "place", "occluded")
+
+
+@query(f"""WITH {ITEMS} SELECT id::VARCHAR AS external_id, file_path AS row_data, items.width::VARCHAR AS meta_width, place::INTEGER AS place, type, label, CASE WHEN type = 'box' THEN x END AS x, CASE WHEN type = 'box' THEN y END AS y,
+CASE WHEN type = 'box' THEN w END AS width, CASE WHEN type = 'box' THEN h END AS height, {_CORNERS} FROM ann JOIN items USING (id)""")
+def labelbox_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = imports.labelbox_annotations(exports.box_rows(annotated(spark, sf_dir)), "value")
+    return _flat(rows.withColumn("meta_width", F.col("metadata")["width"]).drop("metadata", "value"))

@@ -192,3 +192,12 @@ def words_inserted(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def characters_mistyped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return augmentation.mistyped(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query(f"""WITH RECURSIVE {EDGES}, n AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges),
+p AS (SELECT src AS s, [src, dst] AS way FROM edges WHERE src <> dst UNION ALL SELECT s, list_append(way, dst) FROM p JOIN edges ON way[-1] = src AND NOT list_contains(way, dst)),
+best AS (SELECT *, count(*) OVER (PARTITION BY s, way[-1]) AS ways FROM (SELECT * FROM p QUALIFY len(way) = min(len(way)) OVER (PARTITION BY s, way[-1]))),
+i AS (SELECT unnest(way[2:-2]) AS id, 1 / ways AS part FROM best WHERE len(way) > 2), t AS (SELECT id, sum(part) AS part FROM i GROUP BY 1)
+SELECT n.id, round(coalesce(part, 0) / ((SELECT count(*) FROM n) - 1) / ((SELECT count(*) FROM n) - 2), 6) AS betweenness FROM n LEFT JOIN t ON t.id = n.id""")
+def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.betweenness(edges(spark, sf_dir))

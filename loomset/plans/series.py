@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomset.operators import forest
 from loomset.operators import stationarity as st
 from loomset.plans.catalog import gapped, query, table
 
@@ -48,3 +49,8 @@ def partial_autocorrelation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def spline_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.spline_filled(gapped(spark, sf_dir), "event_type", _ORDER, "value")
+
+
+@query()
+def forest_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.forest_anomalies(table(spark, sf_dir, "lineitem").selectExpr("l_orderkey * 8 + l_linenumber AS line", "l_quantity", "l_extendedprice", "l_discount", "l_tax"), "line", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])

@@ -1,3 +1,5 @@
+import random
+
 from loomset.operators import graph
 
 
@@ -16,3 +18,47 @@ def test_pagerank_of_cycles_takes_the_hundred_rounds(spark):
     want = ranks(edges)
     assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-8 for x in want)
     assert any(abs(ranks(edges, 10)[x] - want[x]) > 1e-4 for x in want)
+
+
+def ways_through(edges):
+    """Betweenness by spelling out every shortest way, parallel edges apart."""
+    ids = sorted({x for e in edges for x in e})
+    after = {i: [d for s, d in edges if s == i and d != i] for i in ids}
+    out = dict.fromkeys(ids, 0.0)
+    for s in ids:
+        ways, front, seen = {s: [[s]]}, [s], {s}
+        while front:
+            new = {}
+            for v in front:
+                for w in after[v]:
+                    if w not in seen:
+                        new.setdefault(w, []).extend([*p, w] for p in ways[v])
+            ways |= new
+            seen |= set(new)
+            front = list(new)
+        for t, all_ways in ways.items():
+            for p in all_ways:
+                for v in p[1:-1]:
+                    out[v] += 1 / len(all_ways)
+    n = len(ids)
+    return {i: round(v / max((n - 1) * (n - 2), 1), 6) for i, v in out.items()}
+
+
+def test_betweenness_equals_spelled_out_ways(spark):
+    rng = random.Random(2)
+    some = [(rng.randint(0, 14), rng.randint(0, 14)) for _ in range(40)]
+    hub = [(i, 100) for i in range(20)] + [(100, 200 + i) for i in range(20)] + [(200 + i, 300) for i in range(20)]
+    for edges in (some + some[:5], hub, [(k, k + 1) for k in range(12)] + [(12, 0)], [(1, 1)], [(1, 2)]):
+        got = graph.betweenness(spark.createDataFrame(edges, "src long, dst long")).collect()
+        want = ways_through(edges)
+        assert {r.id for r in got} == set(want) and all(abs(r.betweenness - want[r.id]) < 2e-6 for r in got)
+    df = spark.createDataFrame(hub, "src long, dst long")
+    one = {r.id: r.betweenness for r in graph.betweenness(df, spark.createDataFrame([(0,)], "id long")).collect()}
+    assert one[100] > 0 and one[0] == 0 and sum(v > 0 for v in one.values()) == 21
+    assert graph.betweenness(df.limit(0)).count() == 0
+
+
+def test_hops_have_no_end(spark):
+    df = spark.createDataFrame([(k, k + 1) for k in range(11)], "src long, dst long")
+    assert {r.id: r.hops for r in graph.hops(df, 0).collect()} == {k: k for k in range(12)}
+    assert {r.id for r in graph.hops(df, 0, 3).collect()} == {0, 1, 2, 3}
