@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows written as Parquet and read again: lineage ends here, a lost executor costs no recomputation, and Spark can split skewed joins of them."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder's path in the folder that the cluster shares."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
-    path = f"{base.rstrip('/')}/loomset-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/loomset-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows written as Parquet and read again: lineage ends here, a lost executor costs no recomputation, and Spark can split skewed joins of them."""
+    path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def discard(*tables: DataFrame) -> None:

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomset.operators import graph
-from loomset.plans.catalog import EDGES, POINTS, SPLIT, cloud, edges, query, table
+from loomset.plans.catalog import EDGES, ORACLE_SQL, POINTS, SPLIT, cloud, edges, items, query, table
 from loomset.operators import splits
-from loomset.sources import exports, imports
+from loomset.operators.shared import shared_dir
+from loomset.sources import exports, imports, records
 
 ITEMS = """a AS (SELECT l_partkey AS id, l_orderkey AS o, l_linenumber AS n, CASE WHEN l_linestatus = 'O' THEN 'box' ELSE 'polygon' END AS type, l_returnflag AS label,
 (l_linenumber * 3)::BIGINT AS x, (l_linenumber * 2)::BIGINT AS y, floor(l_quantity)::BIGINT AS w, floor(l_quantity / 2)::BIGINT AS h FROM lineitem),
@@ -171,3 +172,26 @@ CASE WHEN type = 'box' THEN w END AS width, CASE WHEN type = 'box' THEN h END AS
 def labelbox_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = imports.labelbox_annotations(exports.box_rows(annotated(spark, sf_dir)), "value")
     return _flat(rows.withColumn("meta_width", F.col("metadata")["width"]).drop("metadata", "value"))
+
+
+@query("""SELECT doc_id::VARCHAR AS id, 'text' AS data_type, md5(coalesce(text, '')) AS content, array_to_string(list_filter([CASE WHEN quality = 1 THEN 'quality' END, CASE WHEN toxic = 1 THEN 'toxic' END], lambda x: x IS NOT NULL), ',') AS labels, (n_chars % 64) / 64 AS quality_score
+FROM documents LEFT JOIN labels USING (doc_id)""")
+def record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as framed examples into the shared folder, and read back."""
+    d = items(spark, sf_dir).select(F.col("doc_id").alias("id"), F.lit("text").alias("data_type"), F.col("text").alias("content"), "labels", (F.col("n_chars") % 64 / 64).alias("quality_score"))
+    path = f"{_uri(shared_dir(spark))}/records"
+    records.write_records(records.item_examples(d), path, file_bytes=8 << 20)
+    back = records.example_items(records.read_records(spark, path))
+    return back.withColumns({"content": F.md5(F.coalesce("content", F.lit(""))), "labels": F.array_join("labels", ",")})
+
+
+def _uri(path: str) -> str:
+    return path if ":/" in path else f"file://{path}"
+
+
+@query(ORACLE_SQL["packed_members"].replace("SELECT stem || '.json' AS name", "SELECT name, md5(content) AS content FROM (SELECT stem || '.json' AS name") + ")")
+def tar_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The members of packed_members() written as tar shards into the shared folder, and read back."""
+    path = f"{_uri(shared_dir(spark))}/tars"
+    records.write_tars(packed_members(spark, sf_dir), path, file_bytes=8 << 20)
+    return records.read_tars(spark, path).select("name", F.md5("content").alias("content"))
