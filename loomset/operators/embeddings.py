@@ -29,7 +29,7 @@ PIVOTS, BLOCK = 64, 1024
 _SLACK = 1e-9
 
 
-def _sound(rows: DataFrame, key: str, vector: str, side: Column | None) -> DataFrame:
+def sound(rows: DataFrame, key: str, vector: str, side: Column | None = None) -> DataFrame:
     """side, id, v (doubles), h1 and h2 (hashes of the vector) of the rows that have a direction."""
     x = rows.select((F.lit(0) if side is None else side.cast("int")).alias("side"), F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     x = x.withColumn("v", F.transform("v", lambda c: c + F.lit(0.0)))  # one zero
@@ -39,14 +39,14 @@ def _sound(rows: DataFrame, key: str, vector: str, side: Column | None) -> DataF
 
 def classes(rows: DataFrame, key: str, vector: str, side: Column | None = None) -> DataFrame:
     """side, id, class (the least id of the side's equal vectors) and copies (how many those are) of every row with a direction."""
-    x = _sound(rows, key, vector, side).select("side", "id", "h1", "h2")
+    x = sound(rows, key, vector, side).select("side", "id", "h1", "h2")
     named = x.groupBy("side", "h1", "h2").agg(F.min("id").alias("class"), F.count("*").alias("copies"))
     return x.join(named, ["side", "h1", "h2"]).select("side", "id", "class", "copies")
 
 
 def similar_vectors(rows: DataFrame, key: str, vector: str, threshold: float, side: Column | None = None, across: bool = False, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
     """side_a, a, side_b, b, similarity: pairs of classes whose cosine is at least the threshold (over 0), (side_a, a) before (side_b, b); with `across`, of different sides only."""
-    one = _sound(rows, key, vector, side).groupBy("side", "h1", "h2").agg(F.min("id").alias("id"), F.first("v").alias("v"))
+    one = sound(rows, key, vector, side).groupBy("side", "h1", "h2").agg(F.min("id").alias("id"), F.first("v").alias("v"))
     size = F.aggregate("v", F.lit(0.0), lambda n, c: F.greatest(n, F.abs(c)))
     unit = F.transform("v", lambda c: c / size)  # first by the largest entry, so that no square overflows
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda n, c: n + c * c))

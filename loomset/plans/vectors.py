@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomset.operators import embeddings, neighbours
+from loomset.operators import clustering, embeddings, neighbours
 from loomset.plans.catalog import query, table
 
 # Beside each vector, rounded ones of a third of them and scaled ones of a fifth, as a corpus embedded more than once has.
@@ -80,3 +80,18 @@ def point_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT cloud, id, round(mean, 6) AS mean_distance, mean > most AS outlier FROM m JOIN t USING (cloud)""")
 def point_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.point_outliers(cloud_points(spark, sf_dir), "cloud", "id")
+
+
+@query()
+def vector_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.leader_clusters(near_vectors(spark, sf_dir), "id", "v", 0.85)
+
+
+@query()
+def vector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.average_clusters(near_vectors(spark, sf_dir), "id", "v", 0.8)
+
+
+@query()
+def vector_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.means(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8, 20).withColumn("distance", F.round("distance", 6))
