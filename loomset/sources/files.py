@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ITEM = "id string, project_id string, data_type string, source_url string, content string, file_path string, file_size long, metadata string, labels array<string>, quality_score double, created_at timestamp, dataset_split string"
@@ -18,7 +18,7 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_binary(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """path, content and size of files, a row each."""
+    """path, content and size of files, a row each; Spark lists no empty ones."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", "content", F.col("length").alias("size"))
 
 
@@ -60,7 +60,12 @@ def write_hub_dataset(items: DataFrame, path: str, key: str, text: str, split: s
 def coco_categories(boxes: DataFrame, label: str) -> DataFrame:
     """Categories numbered from 1 by name."""
     names = boxes.select(F.col(label).alias("name")).filter("name is not null").distinct()
-    return names.agg(F.sort_array(F.collect_list("name")).alias("names")).select(F.posexplode("names").alias("k", "name")).select((F.col("k") + 1).cast("long").alias("id"), "name")
+    # places within ranges of the first two characters, and the names in the ranges before
+    part = F.substring("name", 1, 2)
+    sizes = names.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row a range
+    ranked = names.withColumn("part", part).withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("name")))
+    return ranked.join(before, "part").select((F.col("before") + F.col("k")).alias("id"), "name")
 
 
 def coco_annotations(boxes: DataFrame, image: str, label: str) -> DataFrame:

@@ -1,11 +1,15 @@
-"""Streams of events: windowed counts, first arrivals, changes and limits. Each takes and returns a streaming frame."""
+"""Streams of events: windowed counts, first arrivals, changes, limits and breakers. Each takes and returns a streaming frame.
+
+Keyed state sees a batch's rows of its key in the order of time and event_id; a row that comes in a later batch counts
+when it comes. What a key has in one batch is in memory at once; fewer files a batch make that less.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -29,20 +33,25 @@ def first_arrivals(events: DataFrame, keys: list[str], late: str = "1 hour") ->
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
+def _in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    return pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")
+
+
+def _micros(pdf: pd.DataFrame) -> list[int]:
+    return pdf["ts"].astype("datetime64[us]").astype("int64").tolist()
+
+
 def changes(events: DataFrame, key: str, value: str) -> DataFrame:
     """A row whenever a key's value differs from the one before; state is one value for each key."""
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before = state.get[0] if state.exists else None
-        for pdf in batches:
-            pdf = pdf.sort_values(["ts", "event_id"])
-            was = pdf[value].shift(1)
-            if len(pdf):
-                was.iloc[0] = before
-                before = str(pdf[value].iloc[-1])
-            out = pdf[was != pdf[value]]
-            yield pd.DataFrame({key: k[0], "event_id": out["event_id"], "value": out[value].astype(str)})
-        state.update((before,))
+        pdf = _in_order(batches)
+        now = pdf[value].astype(str)
+        was = now.shift(1)
+        was.iloc[0] = state.get[0] if state.exists else None
+        out = pdf[was != now]
+        state.update((now.iloc[-1],))
+        yield pd.DataFrame({key: k[0], "event_id": out["event_id"], "value": out[value].astype(str)})
 
     kind = events.schema[key].dataType.simpleString()
     return events.select(key, "event_id", "ts", value).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, event_id long, value string", "last string", "append", GroupStateTimeout.NoTimeout)
@@ -56,21 +65,53 @@ def rate_limited(events: DataFrame, client: str, limit: int = 100, seconds: int
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         times = list(state.get[0]) if state.exists else []
-        for pdf in batches:
-            pdf = pdf.sort_values(["ts", "event_id"])
-            said = []
-            for t in (pdf["ts"].astype("int64") // {"ns": 10**9, "us": 10**6, "ms": 10**3, "s": 1}[pdf["ts"].dt.unit]).tolist():
-                times = [x for x in times if x > t - seconds]
-                said.append(len(times) < limit)
-                if said[-1]:
-                    times.append(t)
-            yield pd.DataFrame({client: k[0], "event_id": pdf["event_id"], "allowed": said})
+        pdf = _in_order(batches)
+        said = []
+        for t in _micros(pdf):
+            times = [x for x in times if x > t - seconds * 1_000_000]
+            said.append(len(times) < limit)
+            if said[-1]:
+                times.append(t)
         state.update((times,))
+        yield pd.DataFrame({client: k[0], "event_id": pdf["event_id"], "allowed": said})
 
     kind = events.schema[client].dataType.simpleString()
     return events.select(client, "event_id", "ts").groupBy(client).applyInPandasWithState(step, f"{client} {kind}, event_id long, allowed boolean", "times array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
+def breaker(events: DataFrame, key: str, failed: Column, failures: int = 5, reset_seconds: float = 60.0, trials: int = 3) -> DataFrame:
+    """key, event_id, allowed and state after each call, of a breaker for each key.
+
+    So many failures in a row open it. Calls are then refused, and leave no trace, until the last failure is
+    `reset_seconds` past; it is half-open after that, until so many calls succeed (closed) or one fails (open). A call
+    whose `failed` is null succeeded.
+    """
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        count, last, now, tried = state.get if state.exists else (0, 0, "closed", 0)
+        pdf = _in_order(batches)
+        allowed, states = [], []
+        for t, bad in zip(_micros(pdf), pdf["failed"].tolist(), strict=True):
+            if now == "open" and t - last >= reset_seconds * 1_000_000:
+                now, tried = "half-open", 0
+            allowed.append(now != "open")
+            if allowed[-1] and bad:
+                count, last = count + 1, t
+                now = "open" if now == "half-open" or count >= failures else now
+            elif allowed[-1] and now == "half-open":
+                tried += 1
+                now, count = ("closed", 0) if tried >= trials else (now, count)
+            elif allowed[-1]:
+                count = 0
+            states.append(now)
+        state.update((count, last, now, tried))
+        yield pd.DataFrame({key: k[0], "event_id": pdf["event_id"], "allowed": allowed, "state": states})
+
+    kind = events.schema[key].dataType.simpleString()
+    calls = events.select(key, "event_id", "ts", F.coalesce(failed, F.lit(False)).alias("failed"))
+    return calls.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, event_id long, allowed boolean, state string", "count long, last long, state string, tried long", "append", GroupStateTimeout.NoTimeout)
+
+
 def drained(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Runs a stream over all that is there now into Parquet files, and reads those."""
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
