@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from loomset.operators import elements
 from loomset.plans.catalog import query, table
 
-_UNESCAPED = "replace(replace(replace(replace(replace({t}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&amp;', '&')"
+# a reference that a title's end cuts off before its semicolon counts too
+_UNESCAPED = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({t}, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', chr(34), 'g'), '&#x27;?', chr(39), 'g'), '&amp;?', '&', 'g')"
 _PIECES = "string_split_regex({t}, '<[^>]*>')"
 _LENGTH = "length(trim({t}, ' ' || chr(10) || chr(9)))".format(t=_UNESCAPED.format(t="s"))
 _WORDS = "list_sum(list_transform({p}, lambda s: len(list_filter(string_split_regex({u}, '\\s+'), lambda w: w <> ''))))"
