@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder's path in the folder that the cluster shares."""
+    """A new folder's path in the folder that the cluster shares; where none is set, a local master (and only that) gets a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="loomset-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/loomset-{uuid.uuid4().hex}"
 
 
