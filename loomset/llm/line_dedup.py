@@ -10,7 +10,7 @@ A line's key is the line without white space at both ends, A-Z lower-cased; two
    documents and taking them away again restores the counts and what is dropped.
 3. A document's lines are held against the filters first. Few pass that aren't to be dropped, and those are found
    out by a join with the exact counts. Filters are sent to the tasks only up to FILTER_BYTES in all; beyond that
-   every line goes to the join with the counts, written tables both, whose hot keys Spark splits.
+   every line goes to the join with the counts, whose hot keys Spark splits.
 
 Each row is a document, repeated rows too. A null or empty text has one empty line. Empty keys have no code point
 and stay. A document whose lines all go has an empty text. Rows with null ids are documents like others. Columns
@@ -35,6 +35,8 @@ from loomset.llm.common import _LOWER, _SEP, discard, int64s, keyed, mixed, pref
 MIN_DOCS, MIN_CHARS = 10, 1
 #: Keys at the threshold that a shard's filter holds on average, and bytes of filters that are sent to each task.
 SHARD_KEYS, FILTER_BYTES = 50_000, 32 << 20
+#: Documents whose kept lines go back from a task at once.
+ROWS = 128
 _KEY = "a long, b long"
 _CODES = mixed(np.arange(256, dtype=np.uint64) + np.uint64(0x632BE59BD9B4E019))
 
@@ -160,11 +162,8 @@ class LineStore:
         """doc_id, t1, t2 and the places of the lines that go, from the rows of keyed()."""
         size = self.filters.agg(F.coalesce(F.sum(F.length("filter")), F.lit(0))).first()[0]
         filters = {r["shard"]: bytes(r["filter"]) for r in self.filters.collect()} if size <= filter_bytes else None
-        maybe = written(lines_of(source, self.min_chars, filters, self.shards))
-        sure = maybe.join(self.counts.filter(F.col("n") >= self.min_docs).select("a", "b"), ["a", "b"])
-        out = written(sure.groupBy("doc_id", "t1", "t2").agg(F.flatten(F.collect_set("places")).alias("places")))
-        discard(maybe)
-        return out
+        sure = lines_of(source, self.min_chars, filters, self.shards).join(self.counts.filter(F.col("n") >= self.min_docs).select("a", "b"), ["a", "b"])
+        return written(sure.groupBy("doc_id", "t1", "t2").agg(F.flatten(F.collect_set("places")).alias("places")))
 
     def cleaned(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bytes: int = FILTER_BYTES) -> DataFrame:
         """doc_id, n_lines, n_dropped and kept (the lines that stay, as bytes) of every row."""
@@ -173,22 +172,22 @@ class LineStore:
         joined = source.join(gone, same_row(source, gone), "left").select(source["doc_id"], source["text"], "places")
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                total, dropped, kept = [], [], []
-                data, offs = text_buffers(b.column(1))
-                for i, places in enumerate(b.column(2)):
-                    text = data[offs[i] : offs[i + 1]].tobytes()
-                    n = text.count(b"\n") + 1
-                    if places.is_valid:
-                        stay = np.ones(n, bool)
-                        stay[places.values.to_numpy()] = False
-                        text = b"\n".join(line for line, s in zip(text.split(b"\n"), stay.tolist(), strict=True) if s)
-                        dropped.append(n - int(stay.sum()))
-                    else:
-                        dropped.append(0)
-                    total.append(n)
-                    kept.append(text)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_lines", "n_dropped", "kept"])
+            for batch in batches:
+                for at in range(0, batch.num_rows, ROWS):
+                    b = batch.slice(at, ROWS)
+                    total, dropped, kept = [], [], []
+                    data, offs = text_buffers(b.column(1))
+                    for i, places in enumerate(b.column(2)):
+                        text = data[offs[i] : offs[i + 1]].tobytes()
+                        n, gone = text.count(b"\n") + 1, 0
+                        if places.is_valid:
+                            stay = np.ones(n, bool)
+                            stay[places.values.to_numpy()] = False
+                            text, gone = b"\n".join(line for line, s in zip(text.split(b"\n"), stay.tolist(), strict=True) if s), n - int(stay.sum())
+                        total.append(n)
+                        dropped.append(gone)
+                        kept.append(text)
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_lines", "n_dropped", "kept"])
 
         return joined.mapInArrow(cut, "doc_id long, n_lines long, n_dropped long, kept binary")
 
