@@ -2,7 +2,7 @@
 
 import pytest
 
-from loomset.plans import catalog, derived, exports, items, leakage, page_parts, series, streams, vectors  # noqa: F401
+from loomset.plans import catalog, derived, exports, items, leakage, media, page_parts, series, streams, vectors  # noqa: F401
 from tests.oracle import assert_same
 
 SF = "/root/testdata/sf0.001"
