@@ -98,6 +98,24 @@ def atom_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landed.atom_entries(_file(feed_parts(spark, sf_dir), "<feed>", one, "</feed>"), "feed", "xml")
 
 
+@query(f"""WITH {_FEED}, k AS (SELECT *, feed % 2 = 1 AS atom, (row_number() OVER (PARTITION BY feed ORDER BY item_id) - 1)::INT AS at_place FROM f)
+SELECT feed, CASE WHEN atom THEN 'atom' ELSE 'rss' END AS kind, 'all & ' || feed AS feed_title, at_place AS place, 'é < ' || item_id AS title, 'http://x.example/?a=' || item_id || '&b' AS link, 'id:' || item_id AS record_id, 'N. ' || substring(t, 1, 1) || '.' AS author,
+'a & b|' || item_id AS categories, '2024-01-02' AS published, CASE WHEN atom THEN '2024-01-03' END AS updated, trim(t || ' <&amp;> ok') AS content, CASE WHEN NOT atom THEN 'http://m.example/' || item_id || '?p&q' END AS media_url, CASE WHEN NOT atom THEN 'audio/mpeg' END AS media_type FROM k""")
+def feed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, t = F.col("item_id").cast("string"), F.col("t")
+    said = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    body = said("<![CDATA[", t, " <&amp;>]]> &#111;&#x6b;")
+    initial = F.substring("t", 1, 1)
+    rss = said("<item><title>&#233; &lt; ", n, "</title><link>http://x.example/?a=", n, "&amp;b</link><guid isPermaLink='false'>id:", n, "</guid><author>N. ", initial, ".</author><category>a &amp; b</category><category>", n, "</category><pubDate>2024-01-02</pubDate><description>", body, "</description><enclosure type='audio/mpeg' url='http://m.example/", n, "?p&amp;q'/></item>")
+    atom = said("<entry><title type='html'>&#xe9; &lt; ", n, "</title><link rel='self' href='http://self.example/'/><link href=\"http://x.example/?a=", n, "&amp;b\" rel='alternate'/><id>id:", n, "</id><author><email>e</email><name>N. ", initial, ".</name></author><category term='a &amp; b'/><category term='", n, "'/><published>2024-01-02</published><updated>2024-01-03</updated><summary>no</summary><content>", body, "</content></entry>")
+    parts = feed_parts(spark, sf_dir)
+    files = []
+    for odd, one, head, tail in ((0, rss, "<rss><channel><title>all &amp; ", "</channel></rss>"), (1, atom, "<feed><title>all &amp; ", "</feed>")):
+        f = _file(parts.filter(F.col("feed") % 2 == odd), "", one, tail)
+        files.append(f.select("feed", F.concat(F.lit(head), F.col("feed").cast("string"), F.lit("</title>"), F.col("xml")).alias("xml")))
+    return landed.feed_records(files[0].unionByName(files[1]), "feed", "xml").withColumn("categories", F.array_join("categories", "|"))
+
+
 @query("SELECT page_id // 100 AS feed, (row_number() OVER (PARTITION BY page_id // 100 ORDER BY page_id) - 1)::INT AS place, url, CASE WHEN page_id % 2 = 0 THEN '2024-05-01' END AS modified FROM pages WHERE page_id IS NOT NULL AND url IS NOT NULL")
 def sitemap_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").filter("page_id is not null and url is not null").select(F.col("page_id").alias("item_id"), F.floor(F.col("page_id") / 100).alias("feed"), exports.escaped(F.col("url")).alias("t"))
