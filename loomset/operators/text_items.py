@@ -34,7 +34,8 @@ def readability(items: DataFrame, key: str, text: str) -> DataFrame:
     per_sentence, per_word = F.col("w") / F.col("s"), F.col("y") / F.col("w")
     ease = F.greatest(F.lit(0.0), F.least(F.lit(100.0), 206.835 - 1.015 * per_sentence - 84.6 * per_word))
     grade = F.greatest(F.lit(0.0), 0.39 * per_sentence + 11.8 * per_word - 15.59)
-    return x.select(key, F.round(ease, 2).alias("ease"), F.round(grade, 1).alias("grade"), X.difficulty(ease).alias("difficulty"))
+    at = lambda c, places: F.round(c * 10.0**places, 0) / 10.0**places  # noqa: E731  (a value just under a tie in binary is one once multiplied, as SQL's round() has it)
+    return x.select(key, at(ease, 2).alias("ease"), at(grade, 1).alias("grade"), X.difficulty(ease).alias("difficulty"))
 
 
 def coherence(items: DataFrame, key: str, text: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomset.functions import language, unicode
 from loomset.functions import text as X
-from loomset.operators import augmentation, graph, landed, leakage, places, timeseries
+from loomset.operators import augmentation, graph, landed, leakage, places, text_items, timeseries
 
 TEXTS = [(1, None), (2, ""), (3, "  ﬁne &amp; \x07 dandy  http://a.b/c  x@y.zz @me #tag 😀 OK "), (4, "The children were running; boxes, studies and planned leaves."), (5, "Good BIG fast cars\nare not small or Happy"), (6, "a" * 3000)]
 
@@ -105,3 +105,19 @@ def test_places_and_labels(spark):
     assert [r[0] for r in meta.select(landed.metadata_labels(F.col("m"))).collect()] == [[], [], ["a", "b", "q", "z"], []]
     feed = spark.createDataFrame([(1, None), (2, "<rss></rss>"), (3, "<item><title>A &lt;b&gt;</title></item>")], "k long, x string")
     assert [tuple(r) for r in landed.rss_items(feed, "k", "x").collect()] == [(3, 0, "A <b>", None, None, None)]
+
+
+def test_readability_rounds_as_sql(spark):
+    """Grades and eases just under a tie in binary, as DuckDB's round() has them."""
+    import duckdb
+
+    rows = []
+    for w in range(10, 150):
+        for s in (1, 2, 4, 5):
+            for y in range(w, 2 * w, 3):
+                words = ["aba" if k < y - w else "ba" for k in range(w)]
+                rows.append((len(rows), " ".join(words) + ". ba" * (s - 1), w + s - 1, y + s - 1, s))
+    got = {r.id: (r.ease, r.grade) for r in text_items.readability(spark.createDataFrame([r[:2] for r in rows], "id long, text string"), "id", "text").collect()}
+    raw = [(max(0.0, min(100.0, 206.835 - 1.015 * (w / s) - 84.6 * (y / w))), max(0.0, 0.39 * (w / s) + 11.8 * (y / w) - 15.59)) for _, _, w, y, s in rows]
+    want = duckdb.connect().execute("SELECT round(unnest(?::DOUBLE[]), 2), round(unnest(?::DOUBLE[]), 1)", [[e for e, _ in raw], [g for _, g in raw]]).fetchall()
+    assert [got[i] for i in range(len(rows))] == want
