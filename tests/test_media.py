@@ -3,7 +3,9 @@
 import math
 import random
 import wave
+from functools import reduce
 from io import BytesIO
+from operator import add
 
 import numpy as np
 import pytest
@@ -280,3 +282,20 @@ def test_tables_without_rows(spark):
     assert images.quality(empty, "id", "image").count() == images.linked_images(empty, "id", "image").count() == sound.speech(empty, "id", "image").count() == 0
     seen = frames.looked(empty, "id", "frame", "image")
     assert frames.scenes(seen).count() == frames.quality(seen).count() == frames.similar_videos(empty, "id", "frame", "image").count() == 0
+
+
+def test_palette_at_its_limits(spark):
+    """Means that are right at 0.7 or 0.3 but for rounding fall where sums in order put them."""
+    draw = np.random.default_rng(5)
+    rows, want = [], {}
+    for i in range(60):
+        limit = (0.7, 0.3)[i % 2]
+        x = draw.integers(0, 256, 64)
+        while (off := int(limit * 255 * 64 + 0.5) - int(x.sum())):  # the brightest channel's mean is the limit
+            k = draw.integers(0, 64)
+            x[k] = np.clip(x[k] + off, 0, 255)
+        rows.append((i, ppm(np.repeat(x.astype(np.uint8)[None, :, None], 3, 2))))
+        top = reduce(add, (int(v) / 255 for v in x)) / 64  # sum() would compensate
+        want[i] = (top < 0.3, top > 0.7)
+    got = {r.id: (r.is_dark, r.is_bright) for r in images.palette(spark.createDataFrame(rows, "id long, image binary"), "id", "image").collect()}
+    assert got == want
