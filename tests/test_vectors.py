@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomset.operators import embeddings, neighbours
 
@@ -114,3 +115,20 @@ def test_normals_and_outliers(spark):
     assert all(abs(r.nx**2 + r.ny**2 + r.nz**2 - 1) < 1e-4 for r in normals)
     assert {(r.nx, r.ny, r.nz) for r in normals if r.c == "e"} == {(0.0, 0.0, 1.0)}
     assert neighbours.point_normals(df.limit(0), "c", "id").count() == 0
+
+
+def test_vectors_are_not_repeated_by_cells(spark, monkeypatch):
+    """Directions spread evenly near all planes between pivots: no table on the way holds one twice, and none is lost."""
+    draw = np.random.default_rng(8)
+    v = draw.normal(size=(400, 16))
+    v[200:] = v[:200] + draw.normal(size=(200, 16)) * 0.1
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "k long, v array<double>")
+    counts, plain = [], embeddings.written
+    monkeypatch.setattr(embeddings, "written", lambda t: counts.append((out := plain(t)).count()) or out)
+    got = {(r.a, r.b) for r in embeddings.similar_vectors(df, "k", "v", 0.9, pivots=8, block=50).collect()}
+    assert max(counts) <= 400
+    unit = v / np.sqrt((v * v).sum(1))[:, None]
+    good = unit @ unit.T >= 0.9
+    assert got == {(i, j) for i in range(400) for j in range(i + 1, 400) if good[i, j]}
+    new = {(r.a, r.b) for r in embeddings.similar_vectors(df, "k", "v", 0.9, F.when(F.col("k") < 100, 1).otherwise(0), pivots=8, block=50, fresh=True).collect()}
+    assert {tuple(sorted(p)) for p in new} == {p for p in got if min(p) < 100}
