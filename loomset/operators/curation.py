@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomset.functions import vectors
 from loomset.operators import pages as pages_of
+from loomset.operators.shared import written
 
 
 def page(items: DataFrame, where: Column, order: list, skip: int = 0, limit: int = 50) -> DataFrame:
@@ -67,12 +72,57 @@ def first_copies(items: DataFrame, key: str, content: str) -> DataFrame:
     return x.join(x.groupBy("hash").agg(F.min(key).alias("first")), "hash").select(key, "first", (F.col(key) != F.col("first")).alias("is_duplicate"))
 
 
-def nearest(vectors_: DataFrame, key: str, vector: str, queries: Column, k: int = 10) -> DataFrame:
-    """For each stated query row, its k nearest other rows by cosine; queries are a stated set, met by all rows."""
-    q = vectors_.filter(queries).select(F.col(key).alias("query"), F.col(vector).alias("q"))
-    met = vectors_.crossJoin(q).filter(F.col(key) != F.col("query")).select("query", key, vectors.cosine(F.col("q"), F.col(vector)).alias("s"))
-    order = Window.partitionBy("query").orderBy(F.desc("s"), key)
-    return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query", key, "rank", F.round("s", 5).alias("similarity"))
+def nearest(vectors_: DataFrame, key: str, vector: str, queries: Column, k: int = 10, block: int = 8192) -> DataFrame:
+    """For each stated query row, its k nearest other rows by cosine; queries are a stated set, met by all rows. Keys are whole numbers.
+
+    Blocks of rows meet blocks of queries as matrices, and each gives k rows to a query; cosines of what may be among
+    them are summed in the order of vectors.cosine(). Vectors that are null, empty or not finite, or of extreme size, take the plain way.
+    """
+    x = vectors_.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("asks")).filter("key is not null")
+    size = F.aggregate("v", F.lit(0.0), lambda n, c: n + c * c)
+    x = written(x.withColumn("plain", F.coalesce((F.size("v") > 0) & (size < 1e200) & (size > 1e-200), F.lit(False))))
+
+    def pack(group: pa.Table) -> pa.Table:
+        x = np.asarray(group["v"].combine_chunks().flatten())
+        return pa.table([group["d"].slice(0, 1), pa.array([np.asarray(group["key"], np.int64).tobytes()]), pa.array([np.ascontiguousarray(x).tobytes()])], ["d", "ids", "vs"])
+
+    def blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
+        rows = rows.withColumn("d", F.size("v"))
+        n = rows.groupBy("d").agg(F.ceil(F.count("*") / size).alias("n"))
+        packed = rows.join(F.broadcast(n), "d").select("d", "key", "v", F.pmod(F.xxhash64("key"), "n").alias("part")).groupBy("d", "part").applyInArrow(pack, "d int, ids binary, vs binary")
+        return written(packed.toDF(f"d_{name}", f"ids_{name}", f"vs_{name}"))
+
+    def in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(a))
+        for c in range(a.shape[1]):
+            total += a[:, c] * b[:, c]
+        return total
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in range(b.num_rows):
+                (dp, p, x), (dq, q, y) = ((b.column(c)[row].as_py(), np.frombuffer(b.column(c + 1)[row].as_buffer(), np.int64), np.frombuffer(b.column(c + 2)[row].as_buffer(), np.float64)) for c in (0, 3))
+                x, y = x.reshape(-1, dp), y.reshape(-1, dq)
+                nx, ny = np.sqrt(in_order(x, x)), np.sqrt(in_order(y, y))
+                for start in range(0, len(q), 256):
+                    q_, y_, ny_ = q[start : start + 256], y[start : start + 256], ny[start : start + 256]
+                    near = (y_ / ny_[:, None]) @ (x / nx[:, None]).T if dp == dq else np.zeros((len(q_), len(p)))
+                    near[q_[:, None] == p] = -np.inf
+                    least = np.partition(near, max(len(p) - k, 0), axis=1)[:, max(len(p) - k, 0)]
+                    r, s = np.nonzero((near >= least[:, None] - 1e-9) & (near > -2))
+                    score = in_order(y_[r], x[s]) / (ny_[r] * nx[s]) if dp == dq else np.zeros(len(r))
+                    order = np.lexsort((p[s], -score, r))
+                    r, s, score = r[order], s[order], score[order]
+                    n = np.bincount(r, minlength=len(q_))
+                    kept = np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n) < k
+                    yield pa.RecordBatch.from_arrays([pa.array(q_[r[kept]]), pa.array(p[s[kept]]), pa.array(score[kept])], ["query", "key", "s"])
+
+    met = blocks(x.filter("plain"), block, "p").crossJoin(blocks(x.filter("plain and asks"), block // 8 or 1, "q")).mapInArrow(multiply, "query long, key long, s double")
+    asked = x.filter("asks").select(F.col("key").alias("query"), F.col("v").alias("q"), F.col("plain").alias("sound"))
+    odd = x.filter("not plain").drop("plain", "asks").crossJoin(asked.drop("sound")).unionByName(x.filter("plain").drop("plain", "asks").crossJoin(asked.filter("not sound").drop("sound")))
+    met = met.unionByName(odd.filter(F.col("key") != F.col("query")).select("query", "key", vectors.cosine(F.col("q"), F.col("v")).alias("s")))
+    order = Window.partitionBy("query").orderBy(F.desc("s"), "key")
+    return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query", F.col("key").alias(key), "rank", F.round("s", 5).alias("similarity"))
 
 
 def violations(items: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:

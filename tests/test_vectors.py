@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomset.operators import embeddings, neighbours
+from loomset.functions import vectors as V
+from loomset.operators import curation, embeddings, neighbours
 
 NAN, INF = float("nan"), float("inf")
 
@@ -132,3 +133,15 @@ def test_vectors_are_not_repeated_by_cells(spark, monkeypatch):
     assert got == {(i, j) for i in range(400) for j in range(i + 1, 400) if good[i, j]}
     new = {(r.a, r.b) for r in embeddings.similar_vectors(df, "k", "v", 0.9, F.when(F.col("k") < 100, 1).otherwise(0), pivots=8, block=50, fresh=True).collect()}
     assert {tuple(sorted(p)) for p in new} == {p for p in got if min(p) < 100}
+
+
+def test_nearest_in_blocks_equals_every_pair(spark):
+    """Ties, copies, other lengths and vectors without a direction included; the plan joins blocks, not rows."""
+    rows = vectors(9)
+    df = spark.createDataFrame(rows, "k long, v array<double>")
+    got = curation.nearest(df, "k", "v", F.col("k") % 5 == 0, 4, block=32)
+    q = df.filter("k % 5 = 0").select(F.col("k").alias("query"), F.col("v").alias("q"))
+    every = df.crossJoin(q).filter("k <> query").select("query", "k", V.cosine(F.col("q"), F.col("v")).alias("s"))
+    want = every.selectExpr("query", "k", "s", "row_number() OVER (PARTITION BY query ORDER BY s DESC, k) AS rank").filter("rank <= 4").select("query", "k", "rank", F.round("s", 5).alias("similarity"))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
