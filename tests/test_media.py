@@ -299,3 +299,23 @@ def test_palette_at_its_limits(spark):
         want[i] = (top < 0.3, top > 0.7)
     got = {r.id: (r.is_dark, r.is_bright) for r in images.palette(spark.createDataFrame(rows, "id long, image binary"), "id", "image").collect()}
     assert got == want
+
+
+def test_long_fingerprints_meet_in_blocks(spark, monkeypatch):
+    """Every pair of 16 words within the distance, whatever blocks it is in, and a row moved once for each block at most."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(-(1 << 62), 1 << 62, (12, 16))
+    rows = []
+    for k in range(120):
+        w = base[k % 12].copy()
+        for bit in rng.choice(1024, rng.integers(0, 120), replace=False):
+            w[bit // 64] ^= np.int64(np.uint64(1 << int(bit % 64)).astype(np.int64))
+        rows.append((k, w.tolist()))
+    monkeypatch.setattr(hamming, "BLOCK_ROWS", (25, 25))
+    df = spark.createDataFrame(rows, "id long, words array<long>")
+    got = sorted(tuple(r) for r in hamming.near_fingerprints(df, "id", "words", 153, 16).collect())
+    x = np.array([w for _, w in rows]).view(np.uint64)
+    off = np.bitwise_count(x[:, None] ^ x[None]).sum(axis=2, dtype=np.int64)
+    want = sorted((a, b, int(off[a, b])) for a in range(120) for b in range(a + 1, 120) if off[a, b] <= 153)
+    assert got == want and len({a % 12 for a, _, _ in want}) == 12
+    assert hamming.near_blocks(spark.createDataFrame([], "id long, words array<long>"), 153).count() == 0
