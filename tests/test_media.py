@@ -319,3 +319,12 @@ def test_long_fingerprints_meet_in_blocks(spark, monkeypatch):
     want = sorted((a, b, int(off[a, b])) for a in range(120) for b in range(a + 1, 120) if off[a, b] <= 153)
     assert got == want and len({a % 12 for a, _, _ in want}) == 12
     assert hamming.near_blocks(spark.createDataFrame([], "id long, words array<long>"), 153).count() == 0
+
+
+def test_pictures_of_one_size_get_fingerprints_together():
+    """The same words as one by one, whatever the order of sizes; areas are worked out once a size."""
+    rng = np.random.default_rng(6)
+    pictures = [None if k % 7 == 0 else rng.integers(0, 256, [(16, 16, 1), (5, 64, 1), (40, 33, 3)][k % 3]).astype(np.uint8) for k in range(60)]
+    assert images.fingerprints_of(pictures) == [images.fingerprint(x) for x in pictures]
+    x = np.arange(256, dtype=np.uint8).reshape(16, 16, 1)
+    assert images.fingerprint(x)[2] == sum(1 << (63 - k) for k in range(32, 64))
