@@ -13,9 +13,12 @@ import struct
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomset.operators.shared import in_slices
+
 
 def wav(samples: Column, rate: int) -> Column:
     """Bytes as unsigned 8-bit samples of one channel, with their header before them."""
@@ -31,8 +34,8 @@ def wav(samples: Column, rate: int) -> Column:
     return F.concat(text("RIFF"), word(n + 36 + n % 2, 4), text("WAVEfmt "), word(16, 4), word(1, 2), word(1, 2), word(rate, 4), word(rate, 4), word(1, 2), word(8, 2), text("data"), word(n, 4), samples, odd)
 
 
-def decoded(data: bytes | None) -> tuple[int, np.ndarray] | None:
-    """Rate and samples of a PCM file, read chunk by chunk; a last chunk cut short counts as far as it goes."""
+def _layout(data: bytes | None) -> tuple[int, int, int, int, int] | None:
+    """Rate, channels, bytes a sample, where the samples begin and how many whole ones of all channels there are, read chunk by chunk."""
     if not data or data[:4] != b"RIFF" or data[8:12] != b"WAVE":
         return None
     at, form = 12, None
@@ -44,19 +47,27 @@ def decoded(data: bytes | None) -> tuple[int, np.ndarray] | None:
             if not form or form[0] not in (1, 65534) or form[1] < 1 or form[2] < 1 or form[5] not in (8, 16, 24, 32):
                 return None
             channels, rate, width = form[1], form[2], form[5] // 8
-            raw = np.frombuffer(data, np.uint8, min(size, len(data) - at - 8), at + 8)
-            raw = raw[: len(raw) // (width * channels) * width * channels]
-            if width == 1:
-                x = (raw.astype(np.float64) - 128) / 128
-            else:
-                wide = np.zeros((len(raw) // width, 4), np.uint8)
-                wide[:, 4 - width :] = raw.reshape(-1, width)
-                x = wide.view("<i4").ravel() / 2147483648.0
-            return rate, x.reshape(-1, channels).mean(axis=1) if channels > 1 else x
+            return rate, channels, width, at + 8, min(size, len(data) - at - 8) // (width * channels)
         at += 8 + size + size % 2
     return None
 
 
+def decoded(data: bytes | None) -> tuple[int, np.ndarray] | None:
+    """Rate and samples of a PCM file; a last chunk cut short counts as far as it goes."""
+    form = _layout(data)
+    if form is None:
+        return None
+    rate, channels, width, at, n = form
+    raw = np.frombuffer(data, np.uint8, n * width * channels, at)
+    if width == 1:
+        x = (raw.astype(np.float64) - 128) / 128
+    else:
+        wide = np.zeros((len(raw) // width, 4), np.uint8)
+        wide[:, 4 - width :] = raw.reshape(-1, width)
+        x = wide.view("<i4").ravel() / 2147483648.0
+    return rate, x.reshape(-1, channels).mean(axis=1) if channels > 1 else x
+
+
 def encoded(rate: int, x: np.ndarray) -> bytes:
     """A file of one channel of 16 bits."""
     body = np.clip(np.floor(x * 32768 + 0.5), -32768, 32767).astype("<i2").tobytes()
@@ -71,27 +82,21 @@ def loudness(x: np.ndarray, frame: int, hop: int) -> np.ndarray:
     return np.sqrt(np.maximum(sums[np.clip(first + frame, 0, len(x))] - sums[np.clip(first, 0, len(x))], 0) / frame)
 
 
-def frames(sound: Column, seconds: tuple[float, float] | None = (0.025, 0.010), samples: tuple[int, int] = (2048, 512)) -> Column:
-    """Struct of rate, n (samples), frame, hop (samples) and rms of a sound; frames by seconds, or by samples where those are None."""
-
-    @F.pandas_udf("rate int, n long, frame int, hop int, rms array<double>")
-    def measure(data: pd.Series) -> pd.DataFrame:
-        out = []
-        for d in data:
-            got = decoded(d)
-            if got is None:
-                out.append((None, None, None, None, None))
-                continue
-            rate, x = got
-            frame, hop = (max(int(s * rate), 1) for s in seconds) if seconds else samples
-            out.append((rate, len(x), frame, hop, np.round(loudness(x, frame, hop), 9).tolist()))
-        return pd.DataFrame(out, columns=["rate", "n", "frame", "hop", "rms"]).astype({"rate": "Int32", "n": "Int64", "frame": "Int32", "hop": "Int32"})
-
-    return measure(sound)
+def _framed(sounds: DataFrame, key: str, sound: str, seconds: tuple[float, float] | None = (0.025, 0.010), samples: tuple[int, int] = (2048, 512)) -> DataFrame:
+    """key, rate, n (samples), frame, hop (samples) and rms of every sound; frames by seconds, or by samples where those are None."""
 
+    def measure(data: list[bytes | None]) -> tuple[np.ndarray, list]:
+        at, out = [], []
+        for k, got in enumerate(map(decoded, data)):
+            if got is not None:
+                rate, x = got
+                frame, hop = (max(int(s * rate), 1) for s in seconds) if seconds else samples
+                at.append(k)
+                out.append((rate, len(x), frame, hop, np.round(loudness(x, frame, hop), 9)))
+        return at, list(zip(*out, strict=True)) or [[]] * 5
 
-def _framed(sounds: DataFrame, key: str, sound: str, **how) -> DataFrame:
-    return sounds.select(F.col(key).alias("key"), frames(F.col(sound), **how).alias("f")).filter("f.rms is not null").select("key", "f.*")
+    whole = [(c, "int", pa.int32()) for c in ("frame", "hop")]
+    return in_slices(sounds, F.col(key), F.col(sound), measure, [("rate", "int", pa.int32()), ("n", "long", pa.int64()), *whole, ("rms", "array<double>", pa.list_(pa.float64()))])
 
 
 def speech(sounds: DataFrame, key: str, sound: str, threshold: float = 0.02, least: float = 0.3) -> DataFrame:
@@ -137,16 +142,18 @@ def trimmed(sounds: DataFrame, key: str, sound: str, below: float = 30.0) -> Dat
 def pieces(sounds: DataFrame, key: str, sound: str, seconds: float = 30.0) -> DataFrame:
     """key, place, start (samples), n and piece: the sound in files of so many seconds, the last shorter; no samples, no pieces."""
 
-    @F.pandas_udf("array<struct<start long, n long, piece binary>>")
-    def cut(data: pd.Series) -> pd.Series:
+    def cut(data: list[bytes | None]) -> tuple[np.ndarray, list]:
         out = []
-        for d in data:
-            got = decoded(d)
+        for k, got in enumerate(map(decoded, data)):
             size = max(int(seconds * got[0]), 1) if got else 1
-            out.append([{"start": a, "n": len(got[1][a : a + size]), "piece": encoded(got[0], got[1][a : a + size])} for a in range(0, len(got[1]), size)] if got else None)
-        return pd.Series(out, dtype=object)
+            for a in range(0, len(got[1]) if got else 0, size):
+                x = got[1][a : a + size]
+                out.append((k, a // size, a, len(x), encoded(got[0], x)))
+        at, *values = zip(*out, strict=True) if out else [[]] * 5
+        return at, values
 
-    return sounds.select(key, F.posexplode(cut(F.col(sound))).alias("place", "p")).select(key, "place", "p.*")
+    x = in_slices(sounds, F.col(key), F.col(sound), cut, [("place", "int", pa.int32()), ("start", "long", pa.int64()), ("n", "long", pa.int64()), ("piece", "binary", pa.binary())])
+    return x.withColumnRenamed("key", key)
 
 
 def noise(sounds: DataFrame, key: str, sound: str) -> DataFrame:
@@ -162,7 +169,12 @@ def noise(sounds: DataFrame, key: str, sound: str) -> DataFrame:
 
 def duration(sounds: DataFrame, key: str, sound: str, least: float = 1.0, most: float = 300.0) -> DataFrame:
     """key, seconds, and whether the sound is too short or too long."""
-    x = _framed(sounds, key, sound).withColumn("s", F.col("n") / F.col("rate"))
+
+    def measure(data: list[bytes | None]) -> tuple[np.ndarray, list]:
+        forms = [(k, form) for k, form in enumerate(map(_layout, data)) if form]
+        return [k for k, _ in forms], [[form[0] for _, form in forms], [form[4] for _, form in forms]]
+
+    x = in_slices(sounds, F.col(key), F.col(sound), measure, [("rate", "int", pa.int32()), ("n", "long", pa.int64())]).withColumn("s", F.col("n") / F.col("rate"))
     return x.select(F.col("key").alias(key), F.round(F.col("s") + 1e-9, 2).alias("seconds"), F.when(F.col("s") < least, "too_short").when(F.col("s") > most, "too_long").alias("issue"))
 
 

@@ -328,3 +328,17 @@ def test_pictures_of_one_size_get_fingerprints_together():
     assert images.fingerprints_of(pictures) == [images.fingerprint(x) for x in pictures]
     x = np.arange(256, dtype=np.uint8).reshape(16, 16, 1)
     assert images.fingerprint(x)[2] == sum(1 << (63 - k) for k in range(32, 64))
+
+
+def test_files_are_measured_in_slices(spark, monkeypatch):
+    """Slices of a few files give what whole batches give; lengths need no samples, and broken files give no rows."""
+    from loomset.operators import shared
+
+    rows = [(k, waved(bytes(range(100, 100 + k % 50)) * 2 * (1 + k % 3), rate=100)) for k in range(40)] + [(40, None), (41, b"RIFF"), (None, waved(b"\1\2" * 300, rate=100))]
+    df = spark.createDataFrame(rows, "k long, s binary").coalesce(1)
+    want = [sorted(map(tuple, f(df, "k", "s").collect()), key=repr) for f in (sound.noise, sound.duration, lambda *a: sound.pieces(*a, 1.0), lambda *a: sound.speech(*a, 0.5, 0.01))]
+    monkeypatch.setattr(shared, "SLICE_BYTES", 300)
+    got = [sorted(map(tuple, f(df, "k", "s").collect()), key=repr) for f in (sound.noise, sound.duration, lambda *a: sound.pieces(*a, 1.0), lambda *a: sound.speech(*a, 0.5, 0.01))]
+    assert got == want and len(got[1]) == 41
+    seconds = {k: round(len(sound.decoded(s)[1]) / 100, 2) for k, s in rows if s and len(s) > 4}
+    assert {r[0]: r[1] for r in got[1]} == seconds
