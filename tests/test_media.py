@@ -277,6 +277,27 @@ def test_scenes_stability_and_like_films(spark):
     assert got == {p for p in like if w[p[0]] != w[p[1]]} and {(0, 20), (1, 21)} <= like
 
 
+def test_frames_are_compared_within_runs(spark):
+    """Runs' borders, repeated and negative numbers, gaps and changing sizes, held against all pairs; nothing is joined and no picture is written."""
+    rng = np.random.default_rng(3)
+    numbers = [*range(-2, frames.RUN * 2 + 3), frames.RUN, 700, 700, 701, 701, 703]
+    rows = [(v, k, ppm(rng.integers(0, 256, (2, 3 + (k % 50 == 7), 1 + 2 * (k % 90 == 5)), dtype=np.uint8))) for v in (1, 2) for k in numbers]
+    rng.shuffle(rows)
+    seen = frames.looked(spark.createDataFrame([(int(v), int(k), d) for v, k, d in rows], "video long, frame long, image binary").repartition(3), "video", "frame", "image")
+    assert seen.columns == ["video", "frame", "sharpness", "brightness", "changes"] and seen.count() == len(rows)
+    want = []
+    for v, k, d in rows:
+        for w, j, e in rows:
+            if v == w and int(j) == int(k) - 1:
+                x, y = images.pixels(d), images.pixels(e)
+                p, q = frames.histogram(x).astype(float), frames.histogram(y).astype(float)
+                score = math.sqrt(max(0, 1 - np.sqrt(p * q).sum() / math.sqrt(p.sum() * q.sum()))) if len(p) == len(q) else 1.0
+                want.append((int(v), int(k), round(score, 6), round(np.abs(images.grey(x) - images.grey(y)).mean(), 6) if x.shape[:2] == y.shape[:2] else -1))
+    got = frames.changes(seen)
+    assert "Join" not in got._jdf.queryExecution().toString()
+    assert sorted((r["video"], r["frame"], round(r["score"], 6), -1 if r["difference"] is None else round(r["difference"], 6)) for r in got.collect()) == sorted(want)
+
+
 def test_tables_without_rows(spark):
     empty = spark.createDataFrame([], "id long, frame long, image binary")
     assert images.quality(empty, "id", "image").count() == images.linked_images(empty, "id", "image").count() == sound.speech(empty, "id", "image").count() == 0
