@@ -298,6 +298,19 @@ def test_frames_are_compared_within_runs(spark):
     assert sorted((r["video"], r["frame"], round(r["score"], 6), -1 if r["difference"] is None else round(r["difference"], 6)) for r in got.collect()) == sorted(want)
 
 
+def test_fingerprints_are_made_once(spark):
+    """Links read the fingerprints several times, but each image is looked at once."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<long>")
+    def words(i):
+        made.add(1)
+        return [i // 2, 0, 0]
+
+    got = {r["id"]: r["n_links"] for r in hamming.linked(spark.range(20).select("id", words("id").alias("words")), "id", "words", 1, 3).collect()}
+    assert made.value == 20 and got == {i: sum((i // 2 ^ j // 2).bit_count() < 2 for j in range(20)) - 1 for i in range(20)}
+
+
 def test_tables_without_rows(spark):
     empty = spark.createDataFrame([], "id long, frame long, image binary")
     assert images.quality(empty, "id", "image").count() == images.linked_images(empty, "id", "image").count() == sound.speech(empty, "id", "image").count() == 0
