@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from heapq import nsmallest
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from loomset.functions import language
 from loomset.functions import text as X
+from loomset.operators.shared import by_key
 
 #: Lifts exact halves, which engines round differently, to the upper side.
 TIE = 1e-9
+_STOPWORDS = frozenset(X.STOPWORDS)
 
 
 def text_stats(items: DataFrame, key: str, text: str) -> DataFrame:
@@ -48,12 +57,26 @@ def coherence(items: DataFrame, key: str, text: str) -> DataFrame:
     return x.select(key, F.round(ttr + TIE, 3).alias("ttr"), F.round(hapax + TIE, 3).alias("hapax_ratio"), F.round(length + TIE, 2).alias("avg_word_length"), F.round(score, 3).alias("score"))
 
 
+def _most_frequent(texts: Iterable[str], top: int) -> list[tuple[str, int]]:
+    """The words that keywords() means and their counts, of texts whose words stand between spaces; the first place of several texts' counts."""
+    counts: Counter[str] = Counter()
+    places: dict[str, int] = {}
+    for t in texts:
+        words = t.split(" ")
+        counts.update(words)
+        first = dict(zip(reversed(words), range(len(words) - 1, -1, -1), strict=True))
+        places = {w: min(k, places.get(w, k)) for w, k in first.items()} | {w: k for w, k in places.items() if w not in first} if places else first
+    kept = ((-n, places[w], w) for w, n in counts.items() if len(w) > 2 and w not in _STOPWORDS)
+    return [(w, -n) for n, _, w in nsmallest(top, kept)]
+
+
 def keywords(items: DataFrame, key: str, text: str, top: int = 10) -> DataFrame:
-    """The most frequent words over two letters that aren't stop words; ties by first place."""
-    w = items.select(key, F.posexplode(X.words(F.col(text))).alias("place", "word")).filter((F.length("word") > 2) & ~F.col("word").isin(X.STOPWORDS))
-    counts = w.groupBy(key, "word").agg(F.count("*").alias("n"), F.min("place").alias("place"))
-    order = Window.partitionBy(key).orderBy(F.desc("n"), "place")
-    return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select(key, "rank", "word", "n")
+    """The most frequent words over two letters that aren't stop words; ties by first place. Words are counted in the task that has the text."""
+
+    def ranked(rows: Iterable[dict]) -> Iterator[tuple]:
+        return ((k, w, n) for k, (w, n) in enumerate(_most_frequent((r["words"] for r in rows if r["words"]), top), 1))
+
+    return by_key(items, key, {"words": F.array_join(X.words(F.col(text)), " ")}, ranked, [("rank", "int", pa.int32()), ("word", "string", pa.string()), ("n", "long", pa.int64())])
 
 
 def quality_check(items: DataFrame, key: str, text: str) -> DataFrame:
@@ -127,15 +150,31 @@ def summarised(items: DataFrame, key: str, text: str, most: int = 3, top: int =
     """The sentences that hold most of a text's keywords, in the order of the text; a text of no more sentences is whole.
 
     A sentence's score is the sum of its words' keyword counts, half as much again for the first three; of equal
-    ones the later counts.
+    ones the later counts. Texts of one key have their sentences and words counted together.
     """
-    s = items.select(key, F.posexplode(X.sentences(F.col(text))).alias("place", "sentence"))
-    words = s.select(key, "place", F.explode(X.words(F.col("sentence"))).alias("word")).groupBy(key, "place", "word").agg(F.count("*").alias("times"))
-    scores = words.join(keywords(items, key, text, top).select(key, "word", "n"), [key, "word"]).groupBy(key, "place").agg(F.sum(F.col("n") * F.col("times")).alias("score"))
-    boosted = F.coalesce("score", F.lit(0)) * F.when(F.col("place") < 3, 1.5).otherwise(1.0)
-    ranked = s.join(scores, [key, "place"], "left").withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(boosted.desc(), F.desc("place"))))
-    best = ranked.filter(F.col("rank") <= most).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "sentence"))), lambda x: x["sentence"]), " ").alias("summary"))
-    return items.select(key, text).join(best, key, "left").select(key, F.when(F.size(X.sentences(F.col(text))) <= most, F.col(text)).otherwise(F.col("summary")).alias("summary"))
+    t = F.col(text)
+    s = X.sentences(t)
+    lines = F.array_join(F.transform(s, lambda x: F.array_join(X.words(x), " ")), "\n")
+    values = {"text": t, "words": F.array_join(X.words(t), " "), "sentences": F.array_join(s, "\n"), "lines": lines}
+
+    def summed(rows: Iterable[dict]) -> Iterator[tuple]:
+        rows = list(rows)
+        counts = dict(_most_frequent((r["words"] for r in rows if r["words"]), top))
+        scores: Counter[int] = Counter()
+        found = []
+        for r in rows:
+            r["n"] = 0
+            if r["sentences"]:
+                sentences = r["sentences"].split("\n")
+                r["n"] = len(sentences)
+                found += enumerate(sentences)
+                for place, line in enumerate(r["lines"].split("\n")):
+                    scores[place] += sum(counts.get(w, 0) for w in line.split(" "))
+        best = nsmallest(most, found, key=lambda x: (-scores[x[0]] * (1.5 if x[0] < 3 else 1.0), -x[0]))
+        summary = " ".join(x for _, x in sorted(best)) if best else None
+        return ((r["text"] if r["n"] <= most else summary,) for r in rows)
+
+    return by_key(items, key, values, summed, [("summary", "string", pa.string())])
 
 
 def stemmed(items: DataFrame, key: str, text: str) -> DataFrame:
@@ -156,12 +195,24 @@ def tokens(items: DataFrame, key: str, text: str) -> DataFrame:
 def hashed_embedding(items: DataFrame, key: str, text: str, size: int = 384) -> DataFrame:
     """key, dim, value: a vector of length one whose sums are over strings of three characters within words, at the place of their MD5.
 
-    The word at place i adds 1 / (1 + ln(1 + i)). Zeros have no rows; counts are pre-aggregated by string.
+    The word at place i adds 1 / (1 + ln(1 + i)). Zeros have no rows; sums are made in the task that has the text.
     """
-    words = items.select(key, F.posexplode(X.pieces(F.col(text))).alias("i", "w")).filter(F.length("w") >= 3)
-    grams = words.select(key, (1 / (1 + F.log(F.col("i") + 1))).alias("v"), F.explode(F.regexp_extract_all("w", F.lit("(?s)(?=(.{3}))"), F.lit(1))).alias("g"))
-    by_gram = grams.groupBy(key, "g").agg(F.sum("v").alias("v"))
-    dim = (F.conv(F.substring(F.md5("g"), 1, 8), 16, 10).cast("long") % size).cast("int")
-    v = by_gram.groupBy(key, dim.alias("dim")).agg(F.sum("v").alias("v"))
-    norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(key)))  # at most `size` rows each
-    return v.select(key, "dim", F.round(F.col("v") / norm, 5).alias("value"))
+
+    def summed(rows: Iterable[dict]) -> Iterator[tuple]:
+        total = np.zeros(size)
+        for r in rows:
+            at = [_dims(w, size) for w in r["words"].split(" ")] if r["words"] else []
+            if at:
+                weights = 1 / (1 + np.log(np.arange(len(at)) + 1))
+                total += np.bincount(np.concatenate(at), np.repeat(weights, [len(d) for d in at]), size)
+        filled = np.nonzero(total)[0]
+        return zip(filled.tolist(), (total[filled] / np.sqrt((total * total).sum())).tolist(), strict=True) if len(filled) else iter(())
+
+    v = by_key(items, key, {"words": F.array_join(X.pieces(F.col(text)), " ")}, summed, [("dim", "int", pa.int32()), ("value", "double", pa.float64())])
+    return v.withColumn("value", F.round("value", 5))
+
+
+@lru_cache(maxsize=1 << 16)
+def _dims(word: str, size: int) -> np.ndarray:
+    """The places of a word's strings of three characters."""
+    return np.array([int(hashlib.md5(word[k : k + 3].encode()).hexdigest()[:8], 16) % size for k in range(len(word) - 2)], np.int64)

@@ -1,15 +1,18 @@
 """Operators without SQL held against plain Python, and edge cases of those with it."""
 
+import hashlib
 import html
+import math
 import re
 import unicodedata
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from loomset.functions import language, unicode
 from loomset.functions import text as X
-from loomset.operators import augmentation, graph, landed, leakage, places, text_items, timeseries
+from loomset.operators import augmentation, dedup, graph, landed, leakage, places, text_items, timeseries
 
 TEXTS = [(1, None), (2, ""), (3, "  ﬁne &amp; \x07 dandy  http://a.b/c  x@y.zz @me #tag 😀 OK "), (4, "The children were running; boxes, studies and planned leaves."), (5, "Good BIG fast cars\nare not small or Happy"), (6, "a" * 3000)]
 
@@ -121,3 +124,35 @@ def test_readability_rounds_as_sql(spark):
     raw = [(max(0.0, min(100.0, 206.835 - 1.015 * (w / s) - 84.6 * (y / w))), max(0.0, 0.39 * (w / s) + 11.8 * (y / w) - 15.59)) for _, _, w, y, s in rows]
     want = duckdb.connect().execute("SELECT round(unnest(?::DOUBLE[]), 2), round(unnest(?::DOUBLE[]), 1)", [[e for e, _ in raw], [g for _, g in raw]]).fetchall()
     assert [got[i] for i in range(len(rows))] == want
+
+
+def test_words_stay_in_the_task_of_their_text(spark):
+    """Repeated and null keys, null and empty texts, against plain Python; texts are shuffled once, their words never."""
+    rows = [(1, "Red fox. Red Red dog dog! Blue? one two. owls owls owls"), (1, "dog red cat. The end of it."), (2, None), (3, ""), (4, "... !!"), (None, "Lone words here"), (None, "here it was again"), (5, "naïve ÉTÉ été 𝒳𝒴𝒵𝒲 x1_y"), (6, "word " * 3000)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    words = {k: [re.findall(r"\w+", (t or "").lower()) for i, t in rows if i == k] for k, _ in rows}
+    keys, marks, vectors, short = [], {}, {}, {}
+    for k, texts in words.items():
+        every = [w for t in texts for w in t]
+        first = {w: min(t.index(w) for t in texts if w in t) for w in every}
+        ranked = sorted((w for w in first if len(w) > 2 and w not in X.STOPWORDS), key=lambda w: (-every.count(w), first[w]))
+        keys += [(k, n, w, every.count(w)) for n, w in enumerate(ranked[:3], 1)]
+        bits = [int(hashlib.md5(w.encode()).hexdigest()[16:], 16) for w in every]
+        marks[k] = f"{sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in bits) > len(bits)):016x}"
+        total = Counter()
+        for t in (t or "" for i, t in rows if i == k):
+            for i, w in enumerate(t.lower().split()):
+                for j in range(len(w) - 2):
+                    total[int(hashlib.md5(w[j : j + 3].encode()).hexdigest()[:8], 16) % 384] += 1 / (1 + math.log(1 + i))
+        norm = math.sqrt(sum(v * v for v in total.values()))
+        vectors |= {(k, d): round(v / norm, 4) for d, v in total.items()}
+    got = text_items.keywords(df, "id", "text", 3)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(keys, key=repr)
+    hashes, v, whole = dedup.simhash(df, "id", "text"), text_items.hashed_embedding(df, "id", "text"), text_items.summarised(df, "id", "text")
+    assert {r["id"]: r["simhash"] for r in hashes.collect()} == marks
+    assert {(r["id"], r["dim"]): round(r["value"], 4) for r in v.collect()} == pytest.approx(vectors, abs=2e-4)
+    short = [tuple(r) for r in whole.collect()]
+    assert len(short) == len(rows) and {(2, None), (3, ""), (4, "... !!"), (None, "here it was again"), (1, rows[1][1]), (6, rows[-1][1])} <= set(short)
+    for x in (got, hashes, v, whole):
+        plan = x._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("RepartitionByExpression") == 1 and "Generate" not in plan and "Aggregate" not in plan
