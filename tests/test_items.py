@@ -156,3 +156,8 @@ def test_words_stay_in_the_task_of_their_text(spark):
     for x in (got, hashes, v, whole):
         plan = x._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("RepartitionByExpression") == 1 and "Generate" not in plan and "Aggregate" not in plan
+
+
+def test_languages_finds_words_once(texts):
+    plan = texts.select("id", language.detected(F.col("text")).alias("lang"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
