@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,11 +97,17 @@ def random_insertion(items: DataFrame, key: str, text: str, seed: int = 0) -> Da
 
 def mistyped(items: DataFrame, key: str, text: str, p: float = 0.05, seed: int = 0) -> DataFrame:
     """Letters replaced by a key beside theirs with probability p, with their case."""
-    x = items.select(key, F.split(F.coalesce(F.col(text), F.lit("")), "").alias("c"))
+    start = F.concat(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), F.lit(":"))
+    x = items.select(key, start.alias("start"), F.split(F.coalesce(F.col(text), F.lit("")), "").alias("c"))
+    most = math.ceil(p * 2**32)
+
+    def drawn(i: Column) -> Column:
+        """Whether chance() is under p, told by the digits of the hash, since most characters need no more than that."""
+        return F.lit(most > 0) if not 0 < most < 2**32 else F.md5(F.concat("start", i.cast("string"))) < f"{most:08x}"
 
     def typed(c: Column, i: Column) -> Column:
         beside = F.try_element_at(_table(KEYS_BESIDE), F.lower(c))
         new = F.get(beside, F.floor(chance(seed, F.col(key), -i - 1) * F.size(beside)).cast("int"))
-        return F.when(beside.isNotNull() & (chance(seed, F.col(key), i) < p), F.when(c == F.lower(c), new).otherwise(F.upper(new))).otherwise(c)
+        return F.when(drawn(i) & beside.isNotNull(), F.when(c == F.lower(c), new).otherwise(F.upper(new))).otherwise(c)
 
     return x.select(key, F.array_join(F.transform("c", typed), "").alias("text"))

@@ -161,3 +161,15 @@ def test_words_stay_in_the_task_of_their_text(spark):
 def test_languages_finds_words_once(texts):
     plan = texts.select("id", language.detected(F.col("text")).alias("lang"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 1
+
+
+def test_mistyped_draws_by_digits(texts):
+    """At any p, what the digits tell is what chance() tells; characters that stay cost no number."""
+    for p in (-1.0, 0.0, 1e-12, 0.05, 0.5, 1.0, 2.0):
+        x = augmentation.mistyped(texts, "id", "text", p)
+        assert f"< {p})" not in x._jdf.queryExecution().optimizedPlan().toString()
+        chosen = F.transform(F.split(F.coalesce("text", F.lit("")), ""), lambda c, i: (augmentation.chance(0, F.col("id"), i) < p) & F.lower(c).rlike("^[a-z]$"))
+        want = {r.id: r.c for r in texts.select("id", chosen.alias("c")).collect()}
+        for r in x.collect():
+            t = dict(TEXTS)[r.id] or ""
+            assert [a != b for a, b in zip(t, r.text, strict=True)] == want[r.id][: len(t)]
