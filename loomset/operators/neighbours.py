@@ -5,7 +5,8 @@
    holds more than k points. The k-th distance within that cell bounds the true one, so only cells of that size that
    meet the ball of that radius can hold nearer points. Few places share a large cell's level, since the crowded
    parts of it have smaller cells of their own, so a crowd isn't compared with itself in pairs.
-3. Spark keeps the k + 1 nearest of every place, in part before it shuffles, by distance and then id.
+3. A cell's points are lists of BLOCK at most; a place meets a list whole and keeps the k + 1 nearest of it within the
+   bound, by distance and then id, so pairs of points are never rows that a task sorts. Spark puts a place's lists together.
 
 Rows with a null id or coordinate, or one that isn't finite, take no part; a null cloud is a cloud like others. In a
 cloud of k points or fewer each point's neighbours are all others. Repeated rows (of one id) are neighbours of each
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from loomset.operators.shared import discard, written
 
-LEVELS = 16
+LEVELS, BLOCK = 16, 64
 _AXES = ("x", "y", "z")
 
 
@@ -53,17 +54,33 @@ def nearest_points(points: DataFrame, cloud: str, key: str, k: int = 10) -> Data
     level = written(fine.join(full, same, "leftsemi").groupBy("place").agg(F.max("level").alias("level")))
     asked = written(placed.join(level, "place", "left").withColumn("level", F.coalesce("level", F.lit(0))))
     used = [r["level"] for r in asked.select("level").distinct().collect()]  # LEVELS + 1 at most
-    known = in_cells(placed.withColumn("level", F.explode(F.lit(used or [0])))).select(*(F.col(x).alias(f"r_{x}") for x in ids), *(F.col(a).alias(f"r_{a}") for a in _AXES), F.col("ids").alias("r_ids"))
+    known = in_cells(placed.withColumn("level", F.explode(F.lit(used or [0])))).select(*(F.col(x).alias(f"r_{x}") for x in ids), F.struct(*_AXES, "ids").alias("point"), "place")
+    nth = F.row_number().over(Window.partitionBy(*(f"r_{x}" for x in ids)).orderBy("place"))
+    known = known.withColumn("block", F.floor((nth - 1) / BLOCK)).groupBy(*(f"r_{x}" for x in ids), "block").agg(F.collect_list("point").alias("points"))
     known = written(known)
 
-    def around(rows: DataFrame) -> DataFrame:
-        """place, away, id and coordinates of the k + 1 nearest points among those of the given cells."""
-        met = rows.join(known, same).withColumn("away", F.sqrt(sum(((F.col(f"r_{a}") - F.col(a)) * (F.col(f"r_{a}") - F.col(a)) for a in _AXES[1:]), (F.col("r_x") - F.col("x")) * (F.col("r_x") - F.col("x")))))
-        one = met.select("place", "away", *(F.col(f"r_{a}").alias(f"n{a}") for a in _AXES), F.explode("r_ids").alias("id"))
-        return one.withColumn("rank", F.row_number().over(Window.partitionBy("place").orderBy("away", "id"))).filter(F.col("rank") <= k + 1)
+    def away(p):
+        return F.sqrt(sum(((p[a] - F.col(a)) * (p[a] - F.col(a)) for a in _AXES[1:]), (p["x"] - F.col("x")) * (p["x"] - F.col("x"))))
+
+    def nearest(rows: DataFrame, each) -> DataFrame:
+        """place and near of each place and block of the given cells: the k + 1 first of what each point of the block gives."""
+        return rows.join(known, same).select("place", F.slice(F.sort_array(F.flatten(each(F.col("points")))), 1, k + 1).alias("near")).filter(F.size("near") > 0)
+
+    def distances(points):
+        return F.transform(points, lambda p: F.array_repeat(away(p), F.size(p["ids"])))
+
+    def within(points):
+        """away, id and coordinates of the points within the radius, of all without one."""
+        inside = F.filter(points, lambda p: F.col("radius").isNull() | (away(p) <= F.col("radius")))
+        return F.transform(inside, lambda p: F.transform(p["ids"], lambda i: F.struct(away(p).alias("away"), i.alias("id"), *(p[a].alias(a) for a in _AXES))))
+
+    def first(near):
+        """The k + 1 first of a place's lists."""
+        return F.slice(F.sort_array(F.flatten(F.collect_list(near))), 1, k + 1)
 
     # the bound: the k-th distance to other points within the place's own cell (without it, the box is that cell)
-    bound = around(in_cells(asked)).filter(F.col("rank") == k + 1).select("place", F.col("away").alias("radius"))
+    own = nearest(in_cells(asked), distances)
+    bound = own.groupBy("place").agg(first("near").alias("near")).filter(F.size("near") == k + 1).select("place", F.get("near", F.lit(k)).alias("radius"))
     bounded = asked.join(written(bound), "place", "left")
     last = F.pow(F.lit(2.0), "level").cast("long") - 1
     wide = bounded
@@ -71,7 +88,7 @@ def nearest_points(points: DataFrame, cloud: str, key: str, k: int = 10) -> Data
         slack = F.col("radius") * 1.000001 + F.abs(F.col(a)) * 1e-12
         low, high = (F.when(F.col("radius").isNull(), F.lit(edge)).otherwise(F.least(F.greatest(cell(a, F.col(a) + sign * slack), F.lit(0)), last)) for sign, edge in ((-1, 0), (1, 0)))
         wide = wide.withColumn(f"i{a}", F.explode(F.sequence(low.cast("long"), high.cast("long"))))
-    found = around(wide).groupBy("place").agg(F.sort_array(F.collect_list(F.struct("away", "id", *(F.col(f"n{a}").alias(a) for a in _AXES)))).alias("near"))
+    found = nearest(wide, within).groupBy("place").agg(first("near").alias("near"))
     lists = written(placed.select("place", *(F.col(x).alias(f"p_{x}") for x in ("c", *_AXES))).join(found, "place"))
 
     here = p["c"].eqNullSafe(lists["p_c"])

@@ -145,3 +145,24 @@ def test_nearest_in_blocks_equals_every_pair(spark):
     want = every.selectExpr("query", "k", "s", "row_number() OVER (PARTITION BY query ORDER BY s DESC, k) AS rank").filter("rank <= 4").select("query", "k", "rank", F.round("s", 5).alias("similarity"))
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
     assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_points_meet_lists_of_points(spark, monkeypatch):
+    """With lists shorter than a cell's points the neighbours are those of all pairs, and no plan ranks pairs of points as rows."""
+    from loomset.operators import neighbours
+
+    plans, keep = [], neighbours.written
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return keep(df)
+
+    monkeypatch.setattr(neighbours, "BLOCK", 3)
+    monkeypatch.setattr(neighbours, "written", noted)
+    draw = np.random.default_rng(4)
+    rows = [(int(i % 2), i, *(float(x) for x in (draw.integers(0, 4, 3) if i < 40 else draw.normal(0, 1 + i % 3, 3)))) for i in range(120)]
+    got = {r["id"]: [(n["id"], n["away"]) for n in r["near"]] for r in neighbours.nearest_points(spark.createDataFrame(rows, "cloud int, id long, x double, y double, z double"), "cloud", "id", 4).collect()}
+    for c, i, *at in rows:
+        near = sorted((float(np.sqrt(sum((a - b) ** 2 for a, b in zip(at, other)))), j) for d, j, *other in rows if c == d and i != j)[:4]
+        assert [j for j, _ in got[i]] == [j for _, j in near] and np.allclose([a for _, a in got[i]], [a for a, _ in near])
+    assert plans and not any("windowspecdefinition(place" in p for p in plans)
