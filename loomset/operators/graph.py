@@ -31,24 +31,33 @@ def basic_metrics(edges: DataFrame) -> DataFrame:
 def pagerank(edges: DataFrame, rounds: int = 100, damping: float = 0.85) -> DataFrame:
     """Ranks after so many rounds from 1 / n; the mass of nodes without out-edges is dropped.
 
-    Parallel edges are counted once for all before the rounds; each round is one join and one pre-aggregated sum.
-    Rounds end early only where one leaves every rank exactly as it was: the others would too.
+    A node that no edge enters has its last rank after one round, so what all such nodes give is summed once; only
+    edges from other nodes go through the rounds, parallel ones as one. A node that gets the same from all as the round
+    before keeps its rank as it is, since a sum's last digits change with its order; rounds end early where all do.
     """
-    nodes = nodes_of(edges)
-    n = nodes.count()
-    links = edges.groupBy("src", "dst").agg(F.count("*").alias("k"))
-    out = edges.groupBy("src").agg(F.count("*").alias("out"))
-    weighted = links.join(out, "src").select("src", "dst", (F.col("k") / F.col("out")).alias("w")).checkpoint()
-    ranks = nodes.select("id", F.lit(1.0 / max(n, 1)).alias("rank")).checkpoint()
-    for k in range(rounds):
-        gained = weighted.join(ranks, weighted["src"] == ranks["id"]).groupBy("dst").agg(F.sum(F.col("w") * F.col("rank")).alias("s"))
-        ranks = ranks.join(gained, ranks["id"] == gained["dst"], "left").select("id", F.col("rank").alias("old"), (F.lit((1 - damping) / max(n, 1)) + damping * F.coalesce("s", F.lit(0.0))).alias("rank"))
-        if k % 5 == 4:
-            ranks = ranks.checkpoint()
-            if ranks.filter("old <> rank").isEmpty():
-                break
-        ranks = ranks.select("id", "rank")
-    return ranks.select("id", F.round("rank", 8).alias("rank"))
+    whole = F.col("src").isNotNull() & F.col("dst").isNotNull()
+    ends = F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("out"), F.lit(False).alias("entered")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("out"), whole.alias("entered")))
+    nodes = written(edges.select(F.explode(ends).alias("e")).select("e.*").groupBy("id").agg(F.sum("out").alias("out"), F.max("entered").alias("entered")))
+    n = max(nodes.count(), 1)
+    if rounds < 1:
+        return nodes.select("id", F.round(F.lit(1.0 / n), 8).alias("rank"))
+    least = (1 - damping) / n
+    givers = nodes.select(F.col("id").alias("src"), "out", "entered")
+    links = written(edges.filter(whole).join(givers, "src").groupBy("dst", F.when(F.col("entered"), F.col("src")).alias("src")).agg(F.sum(1 / F.col("out")).alias("w")))
+    inner = links.filter("src is not null")
+    still = F.coalesce(F.sum(F.when(F.col("src").isNull(), F.col("w"))), F.lit(0.0))
+    ranks = written(links.groupBy(F.col("dst").alias("id")).agg(still.alias("still"), (F.lit(least) + damping * F.sum(F.col("w") / n)).alias("rank"), F.lit(True).alias("moved")))
+    for k in range(2, rounds + 1):
+        before = ranks
+        gained = inner.join(before.select(F.col("id").alias("src"), "rank", "moved"), "src").groupBy("dst").agg(F.sum(F.col("w") * F.col("rank")).alias("s"), F.max("moved").alias("met"))
+        met = F.lit(True) if k == 2 else F.coalesce("met", F.lit(False))  # nodes that no edge enters change in the first round alone
+        new = F.when(met, F.lit(least) + damping * (least * F.col("still") + F.coalesce("s", F.lit(0.0)))).otherwise(F.col("rank"))
+        ranks = written(before.join(gained, before["id"] == gained["dst"], "left").select("id", "still", new.alias("rank"), (new != F.col("rank")).alias("moved")))
+        discard(before)
+        if ranks.filter("moved").isEmpty():
+            break
+    discard(links)
+    return nodes.filter("not entered").select("id", F.lit(least).alias("rank")).union(ranks.select("id", "rank")).select("id", F.round("rank", 8).alias("rank"))
 
 
 def hops(edges: DataFrame, start, most: int | None = None) -> DataFrame:

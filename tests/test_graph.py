@@ -1,6 +1,7 @@
 import random
 
 from loomset.operators import graph
+from loomset.operators.shared import written
 
 
 def ranks(edges, rounds=100, damping=0.85):
@@ -20,6 +21,35 @@ def test_pagerank_of_cycles_takes_the_hundred_rounds(spark):
     assert any(abs(ranks(edges, 10)[x] - want[x]) > 1e-4 for x in want)
 
 
+def test_pagerank_after_few_rounds(spark):
+    rng = random.Random(3)
+    edges = [(rng.randint(0, 9), rng.randint(5, 14)) for _ in range(30)] + [(20 + i, 30 + i % 2) for i in range(5)]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    for rounds in (0, 1, 2, 3, 7):
+        got = {r.id: r.rank for r in graph.pagerank(df, rounds).collect()}
+        want = ranks(edges, rounds)
+        assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-8 for x in want)
+    assert graph.pagerank(df.limit(0)).count() == 0
+
+
+def test_pagerank_carries_only_entered_nodes_and_ends_with_the_longest_way(spark, monkeypatch):
+    edges = [(k, 1000 + k % 10) for k in range(100) for _ in range(1 + k % 3)] + [(1000 + k, 2000) for k in range(10)]
+    sizes = []
+
+    def counted(df):
+        out = written(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "written", counted)
+    got = {r.id: r.rank for r in graph.pagerank(spark.createDataFrame([*edges, (5, None), (None, 1000)], "src long, dst long")).collect()}
+    want = ranks([*edges, (5, 3000)])  # the null end is a node too
+    want[None] = (1 - 0.85) / len(want)
+    del want[3000]
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-8 for x in want)
+    assert sizes[:1] == [112] and max(sizes[1:]) <= 20 and len(sizes) <= 6
+
+
 def ways_through(edges):
     """Betweenness by spelling out every shortest way, parallel edges apart."""
     ids = sorted({x for e in edges for x in e})
