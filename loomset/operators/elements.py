@@ -15,7 +15,7 @@ repeated results.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -137,8 +137,8 @@ def _cleaned(found: DataFrame) -> DataFrame:
     return kept.filter(F.col("bad").isNull() | ~F.arrays_overlap(F.concat("path", F.array("place")), "bad")).drop("bad")
 
 
-def main_content(pages: DataFrame, key: str, html: str, min_text: int = 25, min_content: int = 100) -> DataFrame:
-    """key, tag, score, text, n_words and excerpt of each page's element that most looks like its content.
+def main_content(pages: DataFrame, key: str, html: str, min_text: int = 25, min_content: int = 100, tags: Iterable[str] = tuple(TAG_SCORES)) -> DataFrame:
+    """key, tag, score, text, n_words and excerpt of each page's element, of those named, that most looks like its content.
 
     An element's score grows with its text, its good paragraphs, its images, its kind and names, and falls with more
     than one link for a hundred characters. Without an element over 0 the body counts, without a body the page, and
@@ -151,7 +151,7 @@ def main_content(pages: DataFrame, key: str, html: str, min_text: int = 25, min_
     good = kept.filter("tag = 'p'").select("row", "place", "path").join(measured.filter(F.col("length") > min_text).select("row", "place"), ["row", "place"])
     good = good.select("row", F.explode("path").alias("place")).groupBy("row", "place").agg(F.count("*").alias("good"))
 
-    of = kept.filter(F.col("tag").isin(*TAG_SCORES)).select("row", "place", "tag", "names").join(measured.filter(F.col("length") >= min_content), ["row", "place"]).join(good, ["row", "place"], "left")
+    of = kept.filter(F.col("tag").isin(*tags)).select("row", "place", "tag", "names").join(measured.filter(F.col("length") >= min_content), ["row", "place"]).join(good, ["row", "place"], "left")
     density = F.col("links") / (F.col("length") / 100)
     kind = F.create_map(*(F.lit(x) for pair in TAG_SCORES.items() for x in pair))[F.col("tag")]
     score = F.least(F.col("length") / 100, F.lit(10.0)) + F.when(F.col("names").rlike(POSITIVE), 25).otherwise(0) - F.when(F.col("names").rlike(UNLIKELY), 25).otherwise(0) + kind

@@ -7,6 +7,8 @@ import xml.etree.ElementTree as ET
 import pytest
 
 from loomset.operators import elements
+from loomset.plans import catalog, page_parts  # noqa: F401
+from tests.oracle import assert_same
 
 UNLIKELY, POSITIVE = re.compile(elements.UNLIKELY), re.compile(elements.POSITIVE)
 
@@ -89,6 +91,14 @@ def test_main_content_equals_a_tree_walk(spark):
     assert len({v[0] for v in got.values()}) >= 4
 
 
+def test_main_content_query_passes_over_blocks_beside_articles(spark, tmp_path):
+    page = '<!DOCTYPE html><html lang="en"><head><title>t</title></head><body><nav><ul><li><a href="/a">a</a></li></ul></nav><!-- ad --><div class="ad">{}</div><article><h1>{}</h1><p><b>{}<br></article><footer>&copy; f</footer></body></html>'
+    texts = [("an ad " * n, "words &am", "more words " * m) for n in (1, 30, 300) for m in (1, 5, 8, 9, 40)]
+    pages = [(k, page.format(*t)) for k, t in enumerate(texts)] + [(100, None), (101, ""), (101, "")]
+    spark.createDataFrame(pages, "page_id long, html string").toPandas().to_parquet(tmp_path / "pages.parquet")
+    assert_same(catalog.QUERIES["main_content"](spark, str(tmp_path)), str(tmp_path), catalog.ORACLE_SQL["main_content"])
+
+
 def test_odd_pages(spark):
     odd = [(1, None), (2, ""), (3, "no tags, only words"), (4, "<div>" * 3000 + "deep " * 40), (4, "<p>one<p>two"), (None, "<body>x</body>"), (6, "<!-- only --><?pi?><!DOCTYPE html>"), (7, "<" * 2000)]
     got = {(r.k, r.text, r.tag) for r in elements.main_content(frame(spark, odd), "k", "html").collect() if r.k != 7}
