@@ -15,13 +15,14 @@ repeated results.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, MapType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, MapType, StringType, StructField, StructType
 
 from loomset.operators.shared import written
 
@@ -47,19 +48,32 @@ BLOCK_ELEMENTS = ["p", "div", "article", "section", "main", "header", "footer",
 TAG_SCORES = {"article": 30, "main": 25, "section": 10, "div": 5}
 #: White space as Python's str.strip() and str.split() have it.
 _SPACE = r"[\s\x1C-\x1F\x85\p{Z}]"
+_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+_REMOVED = frozenset(REMOVED)
+_UNLIKELY, _POSITIVE, _HIDDEN = (re.compile(p, re.ASCII) for p in (UNLIKELY, POSITIVE, HIDDEN))
+
+
+def _no_content(tag: str, attrs: dict) -> bool:
+    """Whether an element holds no content: scripts, forms, navigation, hidden ones and those with unlikely names."""
+    if tag in _REMOVED or not attrs:
+        return tag in _REMOVED
+    names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
+    return bool(_HIDDEN.search(attrs.get("style", "")) or _UNLIKELY.search(names) and not _POSITIVE.search(names))
 
 
 class _Reader(HTMLParser):
-    """Nodes of one page in document order: (parent, depth, path, tag, attributes, text)."""
+    """Nodes of one page in document order: (parent, depth, path, tag, attributes, text, gone)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.nodes: list[tuple] = []
-        self.open: list[tuple[str, int]] = []
+        self.open: list[tuple[str, int, bool]] = []
 
-    def _add(self, tag: str, attrs: dict, text: str | None) -> int:
-        path = [place for _, place in self.open]
-        self.nodes.append((path[-1] if path else -1, len(path), path, tag, attrs, text))
+    def _add(self, tag: str, attrs: dict, text: str | None, bad: bool = False) -> int:
+        path = [place for _, place, _ in self.open]
+        self.nodes.append((path[-1] if path else -1, len(path), path, tag, attrs, text, bad or any(b for _, _, b in self.open)))
         return len(self.nodes) - 1
 
     def _end(self, names: set[str], within: set[str]) -> None:
@@ -72,10 +86,12 @@ class _Reader(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in ENDS:
             self._end(*ENDS[tag])
-        place = self._add(tag, {k: v or "" for k, v in reversed(attrs)}, None)
+        named = {k: v or "" for k, v in reversed(attrs)}
+        bad = _no_content(tag, named)
+        place = self._add(tag, named, None, bad)
         if tag not in VOID:
             del self.open[MAX_DEPTH - 1 :]
-            self.open.append((tag, place))
+            self.open.append((tag, place, bad))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -93,11 +109,11 @@ class _Reader(HTMLParser):
 
 
 def nodes(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """row (a number for each page), key, place, parent (-1: none), depth, path, tag (empty: a text), attrs and text of every node; written in the shared folder."""
-    source = written(pages.select(F.col(key).alias("key"), F.col(html).cast("string").alias("html"))).withColumn("row", F.monotonically_increasing_id())
+    """row (a number for each page), key, place, parent (-1: none), depth, path, tag (empty: a text), attrs, text and gone (within an element without content) of every node; written in the shared folder."""
+    source = pages.select(F.col(key).alias("key"), F.col(html).cast("string").alias("html")).withColumn("row", F.monotonically_increasing_id())  # numbered once, as the nodes are written
     schema = StructType(
         [StructField("row", LongType()), StructField("key", source.schema["key"].dataType), StructField("place", IntegerType()), StructField("parent", IntegerType()), StructField("depth", IntegerType())]
-        + [StructField("path", ArrayType(IntegerType())), StructField("tag", StringType()), StructField("attrs", MapType(StringType(), StringType())), StructField("text", StringType())]
+        + [StructField("path", ArrayType(IntegerType())), StructField("tag", StringType()), StructField("attrs", MapType(StringType(), StringType())), StructField("text", StringType()), StructField("gone", BooleanType())]
     )
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,11 +123,11 @@ def nodes(pages: DataFrame, key: str, html: str) -> DataFrame:
                 reader.feed(page.as_py() or "")
                 reader.close()
                 for at in range(0, len(reader.nodes), 10_000):
-                    parent, depth, path, tag, attrs, text = zip(*reader.nodes[at : at + 10_000], strict=True)
+                    parent, depth, path, tag, attrs, text, gone = zip(*reader.nodes[at : at + 10_000], strict=True)
                     same = pa.array([i] * len(tag))
                     yield pa.RecordBatch.from_arrays(
                         [b.column(0).take(same), b.column(1).take(same), pa.array(range(at, at + len(tag)), pa.int32()), pa.array(parent, pa.int32()), pa.array(depth, pa.int32()), pa.array(path, pa.list_(pa.int32()))]
-                        + [pa.array(tag, pa.string()), pa.array([list(a.items()) for a in attrs], pa.map_(pa.string(), pa.string())), pa.array(text, pa.string())],
+                        + [pa.array(tag, pa.string()), pa.array([list(a.items()) for a in attrs], pa.map_(pa.string(), pa.string())), pa.array(text, pa.string()), pa.array(gone, pa.bool_())],
                         schema.names,
                     )
 
@@ -119,7 +135,7 @@ def nodes(pages: DataFrame, key: str, html: str) -> DataFrame:
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def _inner_text(found: DataFrame, of: DataFrame) -> DataFrame:
@@ -128,48 +144,39 @@ def _inner_text(found: DataFrame, of: DataFrame) -> DataFrame:
     return texts.join(of.select("row", "place"), ["row", "place"]).groupBy("row", "place").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "text"))), lambda t: t["text"]), "").alias("inner"))
 
 
-def _cleaned(found: DataFrame) -> DataFrame:
-    """The nodes outside elements that hold no content: scripts, forms, navigation, hidden ones and those with unlikely names."""
-    names = F.concat_ws(" ", F.coalesce(F.col("attrs")["class"], F.lit("")), F.coalesce(F.col("attrs")["id"], F.lit("")))
-    gone = F.col("tag").isin(REMOVED) | F.coalesce(F.col("attrs")["style"], F.lit("")).rlike(HIDDEN) | names.rlike(UNLIKELY) & ~names.rlike(POSITIVE)
-    bad = found.filter((F.col("tag") != "") & gone).groupBy("row").agg(F.collect_set("place").alias("bad"))
-    kept = found.withColumn("names", names).join(bad, "row", "left")
-    return kept.filter(F.col("bad").isNull() | ~F.arrays_overlap(F.concat("path", F.array("place")), "bad")).drop("bad")
-
-
 def main_content(pages: DataFrame, key: str, html: str, min_text: int = 25, min_content: int = 100, tags: Iterable[str] = tuple(TAG_SCORES)) -> DataFrame:
     """key, tag, score, text, n_words and excerpt of each page's element, of those named, that most looks like its content.
 
     An element's score grows with its text, its good paragraphs, its images, its kind and names, and falls with more
     than one link for a hundred characters. Without an element over 0 the body counts, without a body the page, and
-    then the score is null. Pages without text have an empty one.
+    then the score is null. Pages without text have an empty one. Texts are shuffled once, to their page's task.
     """
     found = nodes(pages, key, html)
-    kept = written(_cleaned(found))
-    climbing = kept.filter("tag in ('', 'a', 'img')").select("row", "tag", F.length(stripped(F.coalesce("text", F.lit("")))).alias("n"), F.explode("path").alias("place"))
-    measured = written(climbing.groupBy("row", "place").agg(F.sum("n").alias("length"), F.count(F.when(F.col("tag") == "a", 1)).alias("links"), F.count(F.when(F.col("tag") == "img", 1)).alias("images")))
+    names = F.concat_ws(" ", F.coalesce(F.col("attrs")["class"], F.lit("")), F.coalesce(F.col("attrs")["id"], F.lit("")))
+    kept = found.filter("not gone")
+    climbing = kept.filter("tag in ('', 'a', 'img')").select("row", F.col("place").alias("at"), "tag", F.length(stripped(F.coalesce("text", F.lit("")))).alias("n"), F.explode("path").alias("place"))
+    measured = written(climbing.groupBy("row", "place").agg(F.sum("n").alias("length"), F.count(F.when(F.col("tag") == "a", 1)).alias("links"), F.count(F.when(F.col("tag") == "img", 1)).alias("images"), F.max("at").alias("last")))
     good = kept.filter("tag = 'p'").select("row", "place", "path").join(measured.filter(F.col("length") > min_text).select("row", "place"), ["row", "place"])
     good = good.select("row", F.explode("path").alias("place")).groupBy("row", "place").agg(F.count("*").alias("good"))
 
-    of = kept.filter(F.col("tag").isin(*tags)).select("row", "place", "tag", "names").join(measured.filter(F.col("length") >= min_content), ["row", "place"]).join(good, ["row", "place"], "left")
+    of = kept.filter(F.col("tag").isin(*tags)).select("row", "place", "tag", names.alias("names")).join(measured.filter(F.col("length") >= min_content), ["row", "place"]).join(good, ["row", "place"], "left")
     density = F.col("links") / (F.col("length") / 100)
     kind = F.create_map(*(F.lit(x) for pair in TAG_SCORES.items() for x in pair))[F.col("tag")]
     score = F.least(F.col("length") / 100, F.lit(10.0)) + F.when(F.col("names").rlike(POSITIVE), 25).otherwise(0) - F.when(F.col("names").rlike(UNLIKELY), 25).otherwise(0) + kind
     score = score + F.coalesce("good", F.lit(0)) * 3 - F.when(density > 1, density * 5).otherwise(0.0) + F.least(F.col("images") * 2, F.lit(10))
-    best = of.withColumn("score", score).filter("score > 0").groupBy("row").agg(F.max(F.struct("score", (-F.col("place")).alias("place"), "tag")).alias("b")).select("row", (-F.col("b.place")).alias("place"), "b.tag", "b.score")
-    body = kept.filter("tag = 'body'").groupBy("row").agg(F.min("place").alias("body"))
+    best = of.withColumn("score", score).filter("score > 0").groupBy("row").agg(F.max(F.struct("score", (-F.col("place")).alias("place"), "tag", "last")).alias("b")).select("row", (-F.col("b.place")).alias("place"), "b.tag", "b.score", "b.last")
+    body = kept.filter("tag = 'body'").groupBy("row").agg(F.min("place").alias("body")).join(measured.select("row", F.col("place").alias("body"), F.col("last").alias("body_last")), ["row", "body"], "left")
     whole = found.select("row", "key").distinct().join(best, "row", "left").join(body, "row", "left")
-    whole = whole.select("row", "key", F.coalesce("place", "body").alias("root"), F.when(F.col("place").isNotNull(), F.col("tag")).when(F.col("body").isNotNull(), "body").alias("tag"), "score")
-    whole = written(whole)
-
-    inside = kept.join(whole.select("row", "root"), "row").filter(F.col("root").isNull() | F.array_contains("path", F.col("root")))
-    texts = inside.filter("tag = ''").select("row", "place", stripped(F.col("text")).alias("piece")).filter("piece <> ''")
-    blocks = inside.filter(F.col("tag").isin(BLOCK_ELEMENTS)).select("row", "place").join(measured.filter("length > 0").select("row", "place"), ["row", "place"]).select("row", "place", F.lit("\n").alias("piece"))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "piece"))), lambda p: p["piece"]), " ")
-    joined = texts.unionByName(blocks).groupBy("row").agg(text.alias("text"))
+    whole = whole.select("row", "key", F.coalesce("place", "body").alias("root"), F.when(F.col("place").isNotNull(), F.col("tag")).when(F.col("body").isNotNull(), "body").alias("tag"), "score", F.when(F.col("place").isNotNull(), F.col("last")).otherwise(F.col("body_last")).alias("last"))
+
+    texts = kept.filter("tag = ''").select("row", "place", stripped(F.col("text")).alias("piece")).filter("piece <> ''")
+    blocks = kept.filter(F.col("tag").isin(BLOCK_ELEMENTS)).select("row", "place").join(measured.filter("length > 0").select("row", "place"), ["row", "place"]).select("row", "place", F.lit("\n").alias("piece"))
+    pieces = texts.unionByName(blocks).groupBy("row").agg(F.collect_list(F.struct("place", "piece")).alias("pieces"))
+    inside = F.filter("pieces", lambda p: F.col("root").isNull() | (p["place"] > F.col("root")) & (p["place"] <= F.col("last")))  # an element's nodes follow it up to its last text
+    text = F.array_join(F.transform(F.sort_array(inside), lambda p: p["piece"]), " ")
     tidy = stripped(F.regexp_replace(F.regexp_replace("text", rf"\n{_SPACE}*\n", "\n\n"), " +", " "))
-    out = whole.join(joined, "row", "left").select("key", "tag", "score", F.coalesce(tidy, F.lit("")).alias("text"))
-    return out.select(F.col("key").alias(key), "tag", F.round("score", 6).alias("score"), "text", F.size(F.filter(F.split("text", rf"{_SPACE}+"), lambda w: w != "")).cast("long").alias("n_words"), excerpt(F.col("text")).alias("excerpt"))
+    out = whole.join(pieces, "row", "left").select("key", "tag", "score", text.alias("text")).withColumn("text", F.coalesce(tidy, F.lit("")))
+    return out.select(F.col("key").alias(key), "tag", F.round("score", 6).alias("score"), "text", F.regexp_count("text", F.lit(_SPACE.replace("[", "[^") + "+")).cast("long").alias("n_words"), excerpt(F.col("text")).alias("excerpt"))
 
 
 def excerpt(text: Column, most: int = 300) -> Column:

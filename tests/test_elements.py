@@ -170,3 +170,11 @@ def test_excerpt(spark):
             e = e[:300]
             e = e[: e.rfind(".") + 1] if e.rfind(".") > 150 else e.rsplit(" ", 1)[0] + "..."
         assert got[t] == e
+
+
+def test_stripped_and_words_know_all_white_space(spark):
+    spaces = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    page = "".join(f"<p>{s}a{s}{s}b{s}</p>" for s in spaces if s not in "\r")
+    assert [r.n_words for r in elements.main_content(frame(spark, [(1, f"<body>{page}</body>")]), "k", "html").collect()] == [2 * (len(spaces) - 1)]
+    df = spark.createDataFrame([(s, f"{s}a {s}b{s}{s}") for s in spaces], "s string, t string")
+    assert all(r.x == r.t.strip() for r in df.select("t", elements.stripped(df["t"]).alias("x")).collect())
