@@ -89,7 +89,7 @@ def vector_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def vector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.average_clusters(near_vectors(spark, sf_dir), "id", "v", 0.8)
+    return clustering.average_clusters(near_vectors(spark, sf_dir), "id", "v", 0.8, clustering.TASK_ROWS)
 
 
 @query()
