@@ -355,6 +355,22 @@ def test_long_fingerprints_meet_in_blocks(spark, monkeypatch):
     assert hamming.near_blocks(spark.createDataFrame([], "id long, words array<long>"), 153).count() == 0
 
 
+def test_few_words_tell_most_fingerprints_apart(monkeypatch):
+    """All rows are compared by some words, few by all, and no pair is lost, whichever words tell rows apart."""
+    rng = np.random.default_rng(5)
+    for n_words, distance in ((1, 3), (3, 19), (4, 60), (16, 153)):
+        a = rng.integers(0, 1 << 63, (300, n_words), np.uint64) * np.uint64(2)
+        a[:, : n_words // 2] = 7  # tells nothing
+        b = np.r_[a[:90] ^ np.uint64(1 << 5), a[:40], rng.integers(0, 1 << 63, (200, n_words), np.uint64)]
+        got = sorted(zip(*(v.tolist() for v in hamming.near_rows(a, b, distance)), strict=True))
+        off = np.bitwise_count(a[:, None] ^ b[None]).sum(axis=2, dtype=np.int64)
+        assert got == [(i, j, off[i, j]) for i, j in np.argwhere(off <= distance).tolist()] and len(got) >= 130
+    heads, plain = [], hamming.first_bits
+    monkeypatch.setattr(hamming, "first_bits", lambda left, turned, cols, head, tile: heads.append(head) or plain(left, turned, cols, head, tile))
+    hamming.near_rows(*(rng.integers(0, 1 << 63, (2000, 16), np.uint64) for _ in "ab"), 153)
+    assert max(heads) < 9
+
+
 def test_pictures_of_one_size_get_fingerprints_together():
     """The same words as one by one, whatever the order of sizes; areas are worked out once a size."""
     rng = np.random.default_rng(6)
